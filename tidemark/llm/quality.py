@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, text_of
 
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks", "n_stutter")
 
 #: name -> the condition under which a document fails, over the measurements. Position = bit.
 RULES: dict[str, Column | object] = {
     "too_few_words": lambda: F.col("n_words") < 20,
     "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
     "symbols_per_word": lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words"),
-    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "duplicate_lines": lambda: (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    "stuttering": lambda: 100 * F.col("n_stutter") > 30 * F.col("n_words"),
     "shouting": lambda: 100 * F.col("n_upper") > 40 * F.col("n_letters"),
     "marks_per_word": lambda: 100 * F.col("n_marks") > 50 * F.col("n_words"),
     "few_letters": lambda: 100 * F.col("n_letters") < 50 * F.col("word_chars"),
@@ -38,8 +39,8 @@ BASE = ("too_few_words", "repeated_windows")
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
-    "v1": (*BASE, "symbols_per_word", "duplicate_lines", "shouting", "marks_per_word", "few_letters"),
-    "v2": (*BASE, "symbols_per_word", "duplicate_lines", "shouting", "marks_per_word", "few_letters", "word_length"),
+    "v1": (*BASE, "symbols_per_word", "duplicate_lines", "stuttering", "shouting", "marks_per_word", "few_letters"),
+    "v2": (*BASE, "symbols_per_word", "duplicate_lines", "stuttering", "shouting", "marks_per_word", "few_letters", "word_length"),
 }
 DEFAULT_POLICY = "v2"
 
@@ -80,7 +81,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     body = text_of(text)
     left = lambda pattern: F.char_length(F.regexp_replace(body, pattern, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    both = let(F.array_remove(F.split(body, SPACE), ""), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
+    both = let(F.array_remove(F.split(body, SPACE), ""), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("s")))
     both_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     out = docs.withColumns({"_w": both, "_l": both_lines})
     values = {
@@ -90,6 +91,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.col("_l")["d"],
         "n_repeat_words": F.col("_w")["r"],
         "n_lines": F.col("_l")["n"],
+        "n_stutter": F.col("_w")["s"],
         "n_letters": F.char_length(F.regexp_replace(body, r"[^\p{L}]+", "")),
         "n_upper": F.char_length(F.regexp_replace(body, r"[^\p{Lu}]+", "")),
         "n_marks": F.char_length(F.regexp_replace(body, r"[^!?#*$%&|<>~^{}\\\[\]]+", "")),
