@@ -1,5 +1,28 @@
 """DuckDB SQL for the training-data queries that SQL can express on whole tables."""
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_NOT_SPACE = r"[^\x20\x09-\x0D]"
+_COUNT = lambda pattern, c="t": f"length({c}) - length(regexp_replace({c}, '{pattern}', '', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": rf"""with d as (select row_number() over () r, doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}+') w from documents),
+l as (select r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_NOT_SPACE}')) l from d),
+p as (select r, unnest(range(1, len(w) - 6)) i, w from d where len(w) >= 8), q as (select r, i, w[i:i + 7] s from p),
+c as (select r, i from q qualify count(*) over (partition by r, s) > 1), x as (select r, count(distinct i + k) n from c, range(0, 8) t(k) group by r),
+m as (select d.doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, {_COUNT('[#*$%&|<>]+')} n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(x.n, 0)::bigint n_repeat_words, len(l)::bigint n_lines,
+{_COUNT(chr(92) + 'p{L}+')} n_letters, {_COUNT(chr(92) + 'p{Lu}+')} n_upper, {_COUNT('[!?#*$%&|<>~^{}' + chr(92) * 2 + chr(92) + '[' + chr(92) + ']]+')} n_marks, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::bigint n_stutter
+from d join l using (r) left join x using (r)),
+b as (select *, ((n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (100 * n_symbols > 30 * n_words)::bigint + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines)::bigint + 16 * (100 * n_stutter > 30 * n_words)::bigint
++ 32 * (100 * n_upper > 40 * n_letters)::bigint + 64 * (100 * n_marks > 50 * n_words)::bigint + 128 * (100 * n_letters < 50 * word_chars)::bigint + 256 * (word_chars < 2 * n_words or word_chars > 14 * n_words)::bigint)::bigint fail_bits from m)
+select *, fail_bits & 3 <> 0 base_failed, fail_bits = 0 kept from b""",
+    "op7_ngram_jaccard": rf"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NOT_SPACE}+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) end) g from d), n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+reach as (select doc_id a, doc_id b from d union select reach.a, e.b from reach join e on e.a = reach.b)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c component_id from d left join n using (doc_id) join (select a doc_id, min(b) c from reach group by 1) using (doc_id)""",
+    "op8_topk_search": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, (row_number() over w)::int "rank", vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5""",
+}
