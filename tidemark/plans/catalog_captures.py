@@ -218,11 +218,11 @@ def theta_verify(spark, d):
     return R.verify_third_party(o.filter("source_id = 'purchase'").select("release_id", "actual", "hit_at"), o.filter("source_id <> 'purchase'"), ["release_id"], "actual", 0.5, "hit_at")
 
 
-_CLASS = "case when p.actual is null then 'ERROR' when o.actual is null then 'NOT_UPDATED' when abs(p.actual - o.actual) < 1e-6 then 'CONFIRMED' else 'MISMATCH' end"
+_CLASS = "case when o.actual is null then 'NOT_UPDATED' when p.actual is null then 'ERROR' when abs(p.actual - o.actual) < 1e-6 then 'CONFIRMED' else 'MISMATCH' end"
 
 
 @query("classify_confirmation", f"""{OBS} select r.release_id, s.source_id, {_CLASS} status,
-case when p.actual is null then 'no primary value' when o.actual is null then 'no observation' else printf('%.1f against %.1f', o.actual, p.actual) end detail
+case when o.actual is null then 'no observation' when p.actual is null then 'no primary value' else printf('%.1f against %.1f', o.actual, p.actual) end detail
 from releases r cross join (select source_id from sources where not is_primary) s left join (select * from obs where source_id = 'purchase') p on p.release_id = r.release_id left join obs o on o.release_id = r.release_id and o.source_id = s.source_id""")
 def classify_confirmation(spark, d):
     return R.classify_confirmations(X.releases(spark, d), X.obs(spark, d), X.sources(spark))

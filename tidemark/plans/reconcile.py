@@ -20,8 +20,8 @@ def compare_payloads(a: DataFrame, b: DataFrame, keys: list[str], value: str = "
 def classify_confirmations(releases: DataFrame, obs: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(release_id, source_id, status, detail) for every confirming source of every release.
 
-    CONFIRMED or MISMATCH against the primary's value, NOT_UPDATED without an observation,
-    ERROR without a primary. All observations of a release meet in one aggregate keyed by
+    NOT_UPDATED without an observation, ERROR where there is one but no primary value, else
+    CONFIRMED or MISMATCH against it. All observations of a release meet in one aggregate keyed by
     release; the sources are a small dimension whose ids become literals.
     """
     rows = [(r.source_id, r.is_primary) for r in sources.orderBy("priority").collect()]
@@ -29,8 +29,8 @@ def classify_confirmations(releases: DataFrame, obs: DataFrame, sources: DataFra
     per = obs.groupBy("release_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "actual"))).alias("m"))
     each = releases.select("release_id").join(per, "release_id", "left").withColumn("source_id", F.explode(F.array(*map(F.lit, others))))
     p, v = F.try_element_at("m", F.lit(primary)), F.try_element_at("m", F.col("source_id"))
-    status = F.when(p.isNull(), "ERROR").when(v.isNull(), "NOT_UPDATED").when(values_equal(p, v, tolerance), "CONFIRMED").otherwise("MISMATCH")
-    detail = F.when(p.isNull(), "no primary value").when(v.isNull(), "no observation").otherwise(F.format_string("%.1f against %.1f", v, p))
+    status = F.when(v.isNull(), "NOT_UPDATED").when(p.isNull(), "ERROR").when(values_equal(p, v, tolerance), "CONFIRMED").otherwise("MISMATCH")
+    detail = F.when(v.isNull(), "no observation").when(p.isNull(), "no primary value").otherwise(F.format_string("%.1f against %.1f", v, p))
     return each.select("release_id", "source_id", status.alias("status"), detail.alias("detail"))
 
 
