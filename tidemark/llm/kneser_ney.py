@@ -31,6 +31,8 @@ from .common import staged
 ORDER = 4
 BITS = 16
 BROADCAST_ENTRIES = 3_000_000
+#: So many ids of trusted documents are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 QUANTILE = 0.99
 #: Bits that a text of n characters may lie above the quantile: MARGIN + SHORT / sqrt(n).
 MARGIN, SHORT = 0.15, 6.0
@@ -216,10 +218,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     ``trusted_ids``: doc_id of the trusted documents.
     """
     trusted_ids = staged(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "kn-trusted")
-    trusted = docs.join(trusted_ids, docs["doc_id"].cast("long") == trusted_ids["doc_id"], "left_semi")
+    small = F.broadcast(trusted_ids) if trusted_ids.count() <= BROADCAST_IDS else trusted_ids
+    trusted = docs.join(small, docs["doc_id"].cast("long") == trusted_ids["doc_id"], "left_semi")
     scored = staged(score(docs, model(trusted), most_broadcast), "kn-scores").withColumn("rate", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
     allowance = F.lit(short) / F.sqrt("n")
-    known = scored.filter("n > 0").join(trusted_ids, "doc_id", "left_semi").withColumn("net", F.col("rate") - allowance)
+    known = scored.filter("n > 0").join(small, "doc_id", "left_semi").withColumn("net", F.col("rate") - allowance)
     by_lang = known.groupBy("lang").agg(F.percentile_approx("net", F.lit(quantile), F.lit(10_000)).alias("own"))
     overall = known.agg(F.percentile_approx("net", F.lit(quantile), F.lit(10_000)).alias("all"))
     out = scored.join(by_lang.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l"), "left").join(F.broadcast(overall))

@@ -25,4 +25,21 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c component_id from d left
     "op8_topk_search": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, (row_number() over w)::int "rank", vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5""",
+    "op6_chat_formatting": r"""with t as (select conv_id, turn, role, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::int n, 'c' || conv_id || '-' || turn id from conversations),
+u as (select * from t where role = 'user'), d as (select u.*, case when u.turn % 4 >= 2 and e.id is not null then 1 else 0 end as level from u left join u e on e.conv_id = u.conv_id and e.turn = u.turn - 2),
+a as (select t.*, d.id call_id, d.turn call_turn, coalesce(d.level, -1) as level from t left join d on d.conv_id = t.conv_id and d.turn = t.turn - 1 where t.role = 'assistant')
+select conv_id, turn place, -1 as level, 0 pos, 0 part, 'message' kind, 'ok' status, '' errors, '{"content":' || case when role = 'user' then to_json(to_json({'text': text})::varchar)::varchar else to_json(text)::varchar end || ',"role":"' || case when role = 'user' then 'assistant' else role end || '","type":"message"}' line from t where role <> 'assistant'
+union all select d.conv_id, d.turn, d.level, 0, 1, 'call', case when d.n > 30 then 'invalid' when a.id is null then 'no result' else 'linked' end, case when d.n > 30 then 'max_words is not integer' else '' end,
+'{"arguments":{"max_words":' || case when d.n > 30 then '"' || d.n || '"' else d.n::varchar end || ',"style":"plain"},"id":"' || d.id || '","name":"reply","role":"assistant","type":"call"}' from d left join a on a.call_id = d.id
+union all select conv_id, coalesce(call_turn, turn), level, 0, 2, 'result', case when call_id is null then 'no call' else 'linked' end, '', '{"content":' || to_json(text)::varchar || ',"id":"c' || conv_id || '-' || (turn - 1) || '","role":"tool","type":"result"}' from a""",
+    "op3_source_mixing": rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}+'))::bigint size, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 5))::bigint u from documents),
+s as (select source, sum(size)::bigint z, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from d group by source),
+o as (select *, sum(z) over () * 150 budget, coalesce(sum(200 * z) over before, 0) full_before, sum(w) over (order by z::double / w, source rows between current row and unbounded following) w_left from s window before as (order by z::double / w, source rows between unbounded preceding and 1 preceding)),
+f as (select (budget - full_before)::double n, w_left::double w from o where 200 * z::double * w_left >= w * (budget - full_before)::double order by z::double / o.w, source limit 1),
+g as (select s.source, z, coalesce(least(f.n * s.w / f.w / 100.0, 2.0 * z), 2.0 * z) target from s left join f on true),
+p as (select source, z, target, case when z = 0 then 0 else floor(target / z)::bigint end whole, target - case when z = 0 then 0 else floor(target / z) end * z want from g),
+h as (select source, u, sum(size) s from d group by all), c as (select *, sum(s) over (partition by source order by u rows unbounded preceding) cum, sum(s) over (partition by source, u // 1024) bucket from h),
+e as (select c.source, min(u // 1024) b from (select source, u // 1024 * 1024 u, max(cum) cum from c group by source, u // 1024) c join p on c.source is not distinct from p.source where cum > want group by 1),
+l as (select e.source, coalesce(max(case when c.cum - c.s / 2 <= p.want then c.u + 1 end), min(e.b * 1024)) lim from e join c on c.source is not distinct from e.source and c.u // 1024 = e.b join p on p.source is not distinct from e.source group by 1)
+select doc_id, size, z source_size, target, (least(whole + (u < coalesce(lim, 0))::bigint, 2) * size)::bigint taken from d join p on p.source is not distinct from d.source left join l on l.source is not distinct from d.source""",
 }
