@@ -58,12 +58,17 @@ def distinct_links(spark, d):
     return E.extract_links(pages(spark, d)).groupBy("url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n_pages"))
 
 
-@query("section_between", f"select page_id, {text_sql(chr(39).join(['regexp_extract(html, ', '(?is)(<article.*?)(?:</article>|<footer|', '||chr(92)||', 'z)', ', 1)']))} section from pages where html like '%<article%'")
+_ARTICLE = r"regexp_extract(html, '(?is)(<article.*?)(?:</article>|<footer|\z)', 1)"
+_H1 = "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query("section_between", f"select page_id, {text_sql(_ARTICLE)} section from pages where html like '%<article%'")
 def section_between(spark, d):
     return pages(spark, d).select("page_id", C.html_to_text(E.section_between(F.col("html"), "<ARTICLE", ["</article>", "<footer"])).alias("section")).filter("section is not null")
 
 
-@query("extract_title", f"select page_id, coalesce(nullif({text_sql(chr(39).join(['regexp_extract(html, ', '(?is)<h1[^>]*>(.*?)</h1>', ', 1)']))}, ''), nullif({text_sql(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))}, '')) title from pages")
+@query("extract_title", f"select page_id, coalesce(nullif({text_sql(_H1)}, ''), nullif({text_sql(_TITLE)}, '')) title from pages")
 def extract_title(spark, d):
     return pages(spark, d).select("page_id", E.extract_title(F.col("html")).alias("title"))
 
