@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged
 
@@ -109,11 +110,8 @@ def _collect(k: int):
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, without a window over all of them: partial top lists merge in an aggregate."""
-    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"))
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order))
+    """The k best of each query. Spark keeps only k rows per query and task before the shuffle (a window group limit)."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
