@@ -2,20 +2,22 @@
 
 A document is the set of its distinct word n-grams (64-bit hashes). Sets whose Jaccard
 similarity reaches the threshold have sizes in the same or in adjacent size bands, and
-within a band differ in at most ``k`` features. The feature domain is cut into
-``k // 2 + 1`` parts, so two such sets differ in at most one feature in some part; each
-part is cut in ``CUTS`` and the sets agree on some choice of ``CUTS - 1`` of them. One
-signature per part and choice therefore finds every pair, and each set carries about
-``k`` signatures however many documents there are.
-
-Pairs are never listed per signature. Documents with equal sets are one class, and only
-its smallest id goes on. Of the classes under one signature, the smallest id is the hub,
-and every other class is compared with its hubs: a number of rows in proportion to the
-signatures. As all classes under a signature share its hub, links among them are found
-among the differences from the hub, which are short; a group of more than BLOCK classes
-is dealt out as pairs of blocks, so that no task holds a group whatever its size. Every
-comparison is of exact set sizes. Components then come from star contraction over the
-links found, a few rounds of aggregations and joins over staged tables.
+within a band differ in at most ``k`` features. The feature domain is cut into parts, each
+part in CUTS cells, and a signature is a part with all cells but one, for each choice of
+the one. There are about a quarter more cells than ``k``, so two such sets share not one
+but many signatures: enough to drop those of nearly empty cells, and to ask for several
+in common before two sets are compared. A set carries about ``1.25 k`` signatures however
+many documents there are.
+
+Pairs are never listed per signature, but for signatures of at most PAIRS classes.
+Documents with equal sets are one class, and only its smallest id goes on. Of the classes
+under a common signature, the smallest id is the hub, and every other class is compared
+with its hubs: a number of rows in proportion to the signatures. As all classes under a
+signature share its hub, links among them are found among the differences from the hub,
+which are short; a group of more than CHUNK classes is dealt out in chunks and pairs of
+blocks, so that no task holds a group whatever its size. Every comparison is of exact set
+sizes. Components then come from star contraction over the links found, a few rounds of
+aggregations and joins over staged tables.
 
 Null, empty or wordless text: empty set, linked with nothing, component is the document
 itself. Rows with a null id take no part and get a null component. Rows that share an id
@@ -25,7 +27,8 @@ are one document with several texts, and so one component. Other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from functools import cache
+from math import ceil, exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,9 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CUTS = 2
+BAND_BITS = 10
+#: Signatures of at most so many classes name their pairs (six at most), others a hub.
+PAIRS = 4
 BLOCK = 2048
 #: Hub rows per task when a group is compared with its hub.
 CHUNK = 1024
@@ -80,29 +86,46 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each band and the differences ``k`` that linked sets in it, or in it and the band before, can have."""
-    starts = [1]
-    while starts[-1] <= largest:
-        starts.append(max(starts[-1] + 1, ceil(starts[-1] * 100 / percent)))
-    tops = [b - 1 for b in starts[1:]]
-    return np.array(starts[:-1], np.int64), np.array([2 * top * (100 - percent) // (100 + percent) for top in tops], np.int64)
+@cache
+def bands(percent: int, largest: int = 1 << 31) -> dict[str, np.ndarray]:
+    """Size bands and what holds in each.
+
+    start: first size. k: differences that linked sets in the band, or in it and the band
+    before, can have. parts: parts of the feature domain. weak: cells with fewer features
+    are dropped by a set that has at most ``spare`` of them. common: signatures that linked
+    sets then still share: of all cells, those that neither differ nor are dropped.
+    """
+    start = [1]
+    while start[-1] <= largest:
+        start.append(max(start[-1] + 1, ceil(start[-1] * 100 / percent)))
+    out: dict[str, list[int]] = {"start": [], "k": [], "parts": [], "weak": [], "spare": [], "common": []}
+    for low, after in zip(start, start[1:], strict=False):
+        k = 2 * (after - 1) * (100 - percent) // (100 + percent)
+        parts = ceil(1.25 * (k + 1) / CUTS)
+        cells = CUTS * parts
+        spare = ceil(2 * (cells - k - 1) / 3)
+        mean = low * percent / 100 / cells
+        few = [exp(-mean) * sum(mean**j / factorial(j) for j in range(t)) * cells for t in (1, 2, 3)]
+        weak = max([1, *(t for t, x in zip((1, 2, 3), few, strict=True) if x <= spare / 2)])
+        for name, value in zip(out, (low, k, parts, weak, spare, cells - k - spare), strict=True):
+            out[name].append(value)
+    return {name: np.array(values, np.int64) for name, values in out.items()}
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The signatures of each set; none where only an equal set could reach the threshold."""
-    starts, ks = bands(percent, max((len(s) for s in sets), default=1) * 2 + 2)
+    """The signatures of each set, with their band in the top bits; none where only an equal set could be linked."""
+    table = bands(percent)
     out: list[list[np.ndarray]] = [[] for _ in sets]
     for i, s in enumerate(sets):
         if not len(s):
             continue
-        own = int(np.searchsorted(starts, len(s), "right")) - 1
+        own = int(np.searchsorted(table["start"], len(s), "right")) - 1
         low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
         for band in (own, own + 1):
             #: the next band matters only if a set there can still be similar enough
-            if not (k := int(ks[band])) or band > own and 100 * len(s) < percent * starts[band]:
+            if not table["k"][band] or band > own and 100 * len(s) < percent * table["start"][band]:
                 continue
-            parts = k // 2 + 1
+            parts = int(table["parts"][band])
             place = _mix(s + np.uint64(2 * band + 1))
             part = ((place >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             cell = part * CUTS + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(CUTS)).astype(np.int64)
@@ -110,8 +133,11 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
             sums = np.bincount(cell, low, parts * CUTS).astype(np.uint64) + (np.bincount(cell, high, parts * CUTS).astype(np.uint64) << np.uint64(32))
             sums = _mix(sums).reshape(parts, CUTS)
             rest = sums.sum(1, dtype=np.uint64)[:, None] - sums  # all cells of a part but one
-            label = np.arange(parts * CUTS, dtype=np.uint64).reshape(parts, CUTS) + np.uint64(band << 40)
-            out[i].append(_mix(rest + _mix(label)).ravel())
+            held = np.bincount(cell, minlength=parts * CUTS).reshape(parts, CUTS)
+            strong = (held.sum(1)[:, None] - held).ravel() >= table["weak"][band]
+            label = np.arange(parts * CUTS, dtype=np.uint64).reshape(parts, CUTS) + np.uint64(1 << 40)
+            found = (_mix(rest + _mix(label)).ravel() >> np.uint64(BAND_BITS)) | np.uint64(band << (64 - BAND_BITS))
+            out[i].append(found[strong] if len(found) - strong.sum() <= table["spare"][band] else found)
     return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 
@@ -134,108 +160,132 @@ def features(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: s
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>")
 
 
+def _labels(size: np.ndarray, linked: np.ndarray, diffs: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of a hub's members: -1 where one is in the hub's own component, else the place of the first that it reaches.
+
+    Two members differ by the symmetric difference of their differences from the hub. Only
+    elements that two members hold count, and they are multiplied out in blocks.
+    """
+    n, apart = len(size), np.array([len(d) for d in diffs], np.int64)
+    label = np.where(linked, -1, np.arange(n))
+    if linked.all() or n < 2:
+        return label
+    owner = np.repeat(np.arange(n), apart)
+    _, element, count = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    many = count >= 2
+    place, use = np.cumsum(many) - 1, many[element]
+    who, what, n_shared = owner[use], place[element[use]], int(many.sum())
+    shared = np.zeros((n, n), np.float32)
+    for first in range(0, n_shared, 4096):
+        inside = (what >= first) & (what < first + 4096)
+        block = np.zeros((n, min(4096, n_shared - first)), np.float32)
+        block[who[inside], what[inside] - first] = 1
+        shared += block @ block.T
+    both = size[:, None] + size[None, :]
+    differ = apart[:, None] + apart[None, :] - 2 * shared.astype(np.int64)
+    links = 100 * (both - differ) >= percent * (both + differ)
+    while True:  # smallest label over the links until nothing moves
+        after = np.minimum(label, np.where(links, label[None, :], n).min(1))
+        if (after == label).all():
+            return label
+        label = after
+
+
 def _against_hub(percent: int, n: int):
-    """One chunk of a hub's group: which members it links, and how each differs from it."""
+    """A hub's group, or one chunk of a large one.
+
+    A whole group is finished here: each member with the id that it is joined to (the hub's
+    or another member's; its own for none). Of a chunk, members that are not the last word
+    carry their difference from the hub on.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shingle = Shingler(n)
-        hub_set = shingle(group.loc[group["is_hub"], "text"].iloc[0])
-        hub = int(group["hub"].iloc[0])
-        rows = []
-        for doc, text, is_hub in zip(group["doc_id"], group["text"], group["is_hub"], strict=True):
-            if is_hub:
-                continue
-            own = shingle(text)
-            diff = np.setxor1d(own, hub_set, assume_unique=True)
-            size, apart = len(own), len(diff)
-            linked = 100 * (size + len(hub_set) - apart) >= percent * (size + len(hub_set) + apart)
-            rows.append((hub, int(doc), size, linked, diff.view(np.int64)))
-        return pd.DataFrame(rows, columns=["hub", "doc_id", "size", "linked", "diff"])
+        hub, whole = int(group["hub"].iloc[0]), int(group["n_chunks"].iloc[0]) == 1
+        # an id with several texts is a hub with several sets; the first serves as the origin of differences
+        hub_sets = [s for t in sorted(set(group.loc[group["is_hub"], "text"].dropna())) if len(s := shingle(t))]
+        found = [(doc, s) for doc, t in zip(group["doc_id"], group["text"], strict=True) if doc != hub and t is not None and len(s := shingle(t))]
+        ids = np.array([doc for doc, _ in found], np.int64)
+        size, linked, diffs = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool), []
+        for i, (_, own) in enumerate(found):
+            diffs.append(np.setxor1d(own, hub_sets[0], assume_unique=True))
+            size[i] = len(own)
+            for k, other in enumerate(hub_sets):
+                both, apart = len(own) + len(other), len(diffs[-1]) if k == 0 else len(np.setxor1d(own, other, assume_unique=True))
+                linked[i] |= 100 * (both - apart) >= percent * (both + apart)
+        joined = np.where(linked, hub, ids)
+        if whole and len(found):
+            label = _labels(size, linked, diffs, percent)
+            joined = np.where(label < 0, hub, ids[label])
+        return pd.DataFrame({"hub": hub, "doc_id": ids, "size": size, "linked": linked, "joined": joined, "diff": None if whole else [d.view(np.int64) for d in diffs]})
 
     return run
 
 
 def _pairs_within(percent: int):
-    """Links among a group's members that don't go through the hub, from their differences from it.
-
-    Only what connects is returned: a row per member and the smallest member it reaches.
-    """
+    """A pair of blocks of a large group: each member with what it is joined to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, size = group["doc_id"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
-        diffs = [np.asarray(d, np.int64) for d in group["diff"]]
-        apart = np.array([len(d) for d in diffs], np.int64)
-        label = np.where(group["linked"].to_numpy(bool), -1, np.arange(len(ids)))  # -1: the hub's own component
-        owner = np.repeat(np.arange(len(ids)), apart)
-        _, element, count = np.unique(np.concatenate(diffs) if len(diffs) else np.empty(0, np.int64), return_inverse=True, return_counts=True)
-        shared = np.zeros((len(ids), len(ids)), np.float32)
-        many = count >= 2
-        place = np.cumsum(many) - 1
-        use = many[element]
-        who, what = owner[use], place[element[use]]
-        for first in range(0, int(many.sum()), 4096):  # elements in blocks, so that memory is bounded
-            inside = (what >= first) & (what < first + 4096)
-            block = np.zeros((len(ids), min(4096, int(many.sum()) - first)), np.float32)
-            block[who[inside], what[inside] - first] = 1
-            shared += block @ block.T
-        both = size[:, None] + size[None, :]
-        differ = apart[:, None] + apart[None, :] - 2 * shared.astype(np.int64)
-        links = 100 * (both - differ) >= percent * (both + differ)
-        np.fill_diagonal(links, False)
-        far = len(ids)
-        while True:  # smallest label over the links until nothing moves
-            least = np.where(links, label[None, :], far).min(1) if len(ids) else label
-            after = np.minimum(label, least)
-            if (after == label).all():
-                break
-            label = after
-        hub = int(group["hub"].iloc[0])
-        out = [(int(ids[i]), hub if label[i] < 0 else int(ids[label[i]])) for i in range(len(ids)) if label[i] != i]
-        return pd.DataFrame(out, columns=["doc_id", "other"])
+        ids, hub = group["doc_id"].to_numpy(np.int64), int(group["hub"].iloc[0])
+        label = _labels(group["size"].to_numpy(np.int64), group["linked"].to_numpy(bool), [np.asarray(d, np.int64) for d in group["diff"]], percent)
+        return pd.DataFrame({"doc_id": ids, "joined": np.where(label < 0, hub, ids[label])})
 
     return run
 
 
-def _hubs(classes: DataFrame) -> DataFrame:
-    """(doc_id, hub) for every class and the smallest id under each of its signatures."""
+def _hubs(classes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, hub): the pairs of sets to compare.
+
+    Under a signature of at most PAIRS classes each pair is named, and stays if it shares as
+    many signatures of a band as linked sets must. Under a more common one every class goes
+    to the smallest id, whose group then finds the links among its members too. Linked sets
+    meet one way or the other: either all that they share is of the first kind, or not.
+
+    Few signatures are shared. While they number at most BROADCAST_ROWS they go to the
+    signatures' own tasks, and only one shuffle sees all signatures; more are joined by shuffle.
+    """
     rows = classes.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("sig", "hub")
-    return rows.join(shared, "sig").filter("doc_id <> hub").select("doc_id", "hub").distinct()
+    shared = staged(rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "join-shared")
+    met = staged(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "sig"), "join-met")
+    common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
+    few = met.filter(F.col("n") <= PAIRS).groupBy("sig").agg(F.array_sort(F.collect_set("doc_id")).alias("d"))
+    pairs = few.select("sig", F.explode(F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.lit(PAIRS)), lambda y: F.struct(x.alias("hub"), y.alias("doc_id")))))).alias("p"))
+    counted = pairs.groupBy("p.hub", "p.doc_id", F.shiftrightunsigned("sig", 64 - BAND_BITS).cast("int").alias("band")).agg(F.count("*").alias("n"))
+    near = counted.filter(F.col("n") >= F.get(common, F.col("band"))).select("doc_id", "hub")
+    return near.union(met.filter((F.col("n") > PAIRS) & (F.col("doc_id") != F.col("hub"))).select("doc_id", "hub")).distinct()
 
 
 def links(docs: DataFrame, feats: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b) rows that connect exactly what the similarity links connect."""
     named = feats.filter("doc_id is not null and set_key is not null")
     least = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = named.join(least, "set_key").select("doc_id", "rep", "set_key", "sigs")
-    classes = member.filter("doc_id = rep").dropDuplicates(["doc_id", "set_key"])
-    star = staged(_hubs(classes), "join-hubs")
-    spark = docs.sparkSession
+    member = staged(named.select("doc_id", "set_key").join(least, "set_key"), "join-members")
+    # copies leave; signatures stay in their tasks while the copies' ids are few enough to go there
+    copies = member.filter("doc_id <> rep").select("doc_id", "set_key")
+    classes = named.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["doc_id", "set_key"], "left_anti")
+    star = staged(_hubs(classes, percent), "join-hubs")
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    wanted = star.select("doc_id").union(star.select(F.col("hub").alias("doc_id"))).distinct()
     few = star.count() <= BROADCAST_ROWS
-    held = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    members = held.join(F.broadcast(star) if few else star, "doc_id")
-    chunks = star.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n_chunks"))
-    hub_rows = held.withColumnRenamed("doc_id", "hub").join(F.broadcast(chunks) if few else chunks, "hub")
-    hub_rows = hub_rows.select(F.col("hub").alias("doc_id"), "text", "hub", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.lit(True).alias("is_hub"))
-    sized = members.join(F.broadcast(chunks) if few else chunks, "hub")
-    dealt = sized.select("doc_id", "text", "hub", F.expr("pmod(xxhash64(doc_id), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
-    compared = dealt.unionByName(hub_rows).groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, doc_id long, size long, linked boolean, diff array<long>")
+    side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
+    chunks = staged(star.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n_chunks")), "join-chunks")
+    sized = star.join(side(chunks), "hub").select("doc_id", "hub", "n_chunks", F.expr("pmod(xxhash64(doc_id), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
+    hubs = chunks.select(F.col("hub").alias("doc_id"), "hub", "n_chunks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.lit(True).alias("is_hub"))
+    dealt = texts.join(side(sized.unionByName(hubs)), "doc_id")
+    compared = dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, doc_id long, size long, linked boolean, joined long, diff array<long>")
     compared = staged(compared, "join-compared")
-    direct = compared.filter("linked").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    # groups with something left to find: two members or more, not all of them linked to the hub
-    open_groups = compared.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("apart")).filter("n > 1 and apart > 0")
+    direct = compared.select(F.col("doc_id").alias("a"), F.col("joined").alias("b"))
+    # groups of several chunks with something left to find: not all linked to the hub
+    open_groups = compared.filter("diff is not null").groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("apart")).filter("n > 1 and apart > 0")
     open_groups = open_groups.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = compared.join(open_groups, "hub").withColumn("block", F.expr("pmod(xxhash64(doc_id, 7), blocks)").cast("int"))
+    rows = compared.filter("diff is not null").join(open_groups, "hub").withColumn("block", F.expr("pmod(xxhash64(doc_id, 7), blocks)").cast("int"))
     # block pairs (i, j), i <= j: a member goes to every pair that holds its block
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     rows = rows.withColumn("at", F.explode(pair)).select("hub", "doc_id", "size", "linked", "diff", "at.i", "at.j")
-    inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "doc_id long, other long").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "doc_id long, joined long").select(F.col("doc_id").alias("a"), F.col("joined").alias("b"))
     # a document with several texts holds its classes together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
     held_by = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return spark.createDataFrame([], "a long, b long").union(direct).union(inner).union(held_by).filter("a <> b").distinct()
+    return direct.union(inner).union(held_by).filter("a <> b").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -267,9 +317,9 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     feats = staged(features(docs, n, percent, key, text), "join-features")
     found = connected(links(docs, feats, n, percent, key, text))
     least = feats.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    rows = feats.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left")
+    rows = feats.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
