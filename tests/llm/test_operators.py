@@ -1,6 +1,5 @@
 """The operators against brute force on the smallest tables, and on the cases that break things."""
 
-import base64
 import math
 import random
 import sys
@@ -9,7 +8,6 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -297,6 +295,14 @@ def test_components(docs, texts, edge, empty):
     assert ngram_join.components(empty, 3, 90).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    other = " ".join(f"v{i}" for i in range(40))
+    near = other + " tail"
+    rows = [(5, PROSE), (5, other), (9, PROSE), (7, near), (7, None), (3, "far away text of some few words"), (2, near + " end")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(5, 2), (9, 2), (7, 2), (3, 3), (2, 2)}
+
+
 def near_copies(n, seed, edits):
     """A text and copies with a few words changed each; the text itself may be missing."""
     rng = random.Random(seed)
@@ -310,8 +316,10 @@ def near_copies(n, seed, edits):
     return out
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_components_of_large_groups(spark, percent, monkeypatch):
+@pytest.mark.parametrize(("percent", "broadcast"), [(80, True), (90, True), (90, False)])
+def test_components_of_large_groups(spark, percent, broadcast, monkeypatch):
+    if not broadcast:  # what larger inputs do
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
     monkeypatch.setattr(ngram_join, "CHUNK", 32)
     rows = list(enumerate(near_copies(200, 1, (1, 3, 5, 8)) + near_copies(60, 2, (3, 4)) + ["same text of more than three words"] * 40 + near_copies(50, 3, (9, 11))))
