@@ -255,10 +255,17 @@ def _hubs(classes: DataFrame, percent: int) -> DataFrame:
     return near.union(met.filter((F.col("n") > PAIRS) & (F.col("doc_id") != F.col("hub"))).select("doc_id", "hub")).distinct()
 
 
-def links(docs: DataFrame, feats: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def smallest_ids(feats: DataFrame) -> DataFrame:
+    """(set_key, rep): the smallest id of each class of equal sets.
+
+    Staged, so that the joins with it see two plain shuffles, whose skew Spark can split.
+    """
+    return staged(feats.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "join-classes")
+
+
+def links(docs: DataFrame, feats: DataFrame, least: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b) rows that connect exactly what the similarity links connect."""
     named = feats.filter("doc_id is not null and set_key is not null")
-    least = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = staged(named.select("doc_id", "set_key").join(least, "set_key"), "join-members")
     # copies leave; signatures stay in their tasks while the copies' ids are few enough to go there
     copies = member.filter("doc_id <> rep").select("doc_id", "set_key")
@@ -315,8 +322,8 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     feats = staged(features(docs, n, percent, key, text), "join-features")
-    found = connected(links(docs, feats, n, percent, key, text))
-    least = feats.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    least = smallest_ids(feats)
+    found = connected(links(docs, feats, least, n, percent, key, text))
     rows = feats.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
