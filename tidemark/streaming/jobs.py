@@ -43,17 +43,17 @@ class ChangeDetector(StatefulProcessor):
         self.last = handle.getValueState("last", "captured_at timestamp, seq long, etag string, actual double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        batch = pd.concat(list(rows)).sort_values(["captured_at", "seq"])
-        known = self.last.get() if self.last.exists() else None
+        polls = sorted(row for part in rows for row in zip(part["captured_at"], part["seq"], part["etag"], part["actual"], strict=True))
+        known = self.last.get()  # none for a new source; one call to the store instead of two
         tag, value = (known[2], known[3]) if known else (None, None)
         first, out = known is None, []
-        for r in batch.itertuples(index=False):
-            by_header, by_value = not first and r.etag != tag, not first and r.actual != value
+        for _, seq, etag, actual in polls:
+            by_header, by_value = not first and etag != tag, not first and actual != value
             if by_header or by_value:
-                out.append((key[0], key[1], int(r.seq), "headers+content" if by_header and by_value else "headers" if by_header else "content"))
-            tag, value, first = r.etag, r.actual, False
-        end = batch.iloc[-1]
-        self.last.update((end["captured_at"].to_pydatetime(), int(end["seq"]), end["etag"], float(end["actual"])))
+                out.append((key[0], key[1], int(seq), "headers+content" if by_header and by_value else "headers" if by_header else "content"))
+            tag, value, first = etag, actual, False
+        at, seq, etag, actual = polls[-1]
+        self.last.update((at.to_pydatetime(), int(seq), etag, float(actual)))
         yield pd.DataFrame(out, columns=["release_id", "source_id", "seq", "method"])
 
     def close(self) -> None:
