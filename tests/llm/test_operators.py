@@ -448,6 +448,38 @@ def test_random_strings_are_found_and_prose_is_not(spark):
     assert not [r for r in secrets.scan(clean_only).collect() if any(x.kind == 3 for x in r.spans)]
 
 
+def clean_runs(rng, n):
+    """Slugs, paths, compounds, constants and identifiers of 20 characters and more."""
+    words = "account article average between building capital children company condition country customer different document economy education election energy engine example family february forest friday general government history holiday hospital industry interest january kitchen language library machine market measure message minister monday morning national network number october office palace parliament people picture player police product project quarter question railway release report school science season september service station student summer system theatre thursday train university village water weather wednesday window winter worker".split()
+    forms = [lambda w: "-".join(w), lambda w: "/" + "/".join(w), "".join, lambda w: "_".join(w).upper(), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: "2024/01/" + "-".join(w)]
+    return [forms[i % len(forms)](rng.choices(words, k=rng.choice([4, 5, 6]))) for i in range(n)]
+
+
+def test_keys_of_every_encoding_are_found_among_clean_runs(spark):
+    rng = random.Random(23)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    encodings = {"lower": lower, "upper": lower.upper(), "letters": lower + lower.upper(), "hex": digits + "ABCDEF", "base32": lower.upper() + "234567", "base36": lower + digits, "base62": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/"}
+    least = {20: 0.5, 24: 0.75, 32: 0.9, 40: 0.9}
+    kinds = [(name, n) for name in encodings for n in least for _ in range(20)]
+    keys = ["".join(rng.choice(encodings[name]) for _ in range(n)) for name, n in kinds]
+    rows = [(i, f"some words {t} and more words") for i, t in enumerate(keys + clean_runs(rng, 6000))]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if any(x.kind == 3 for x in r.spans)}
+    got, all_ = Counter(kinds[i] for i in found if i < len(keys)), Counter(kinds)
+    assert not {k: got[k] for k in all_ if got[k] < least[k[1]] * all_[k]} and len([i for i in found if i >= len(keys)]) <= 1
+
+
+def test_parts_of_candidates_outside_base_spans(spark):
+    rng = random.Random(29)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(8)]
+    texts = [f"x {k}_token=abcdefgh y" for k in keys[:4]] + [f"x {'deadbeef' * 3}-{k} y" for k in keys[4:]] + ["x internationalization-of-standards_token=abcdefgh y"]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = [(x.start, x.end) for x in rows[i].spans if x.kind == 3]
+        assert [t[a:b].strip("_-") for a, b in spans] == keys[i:i + 1] and [x for x in rows[i].spans if x.kind < 3] == rows[i].base
+        assert all(a >= x.end or b <= x.start for a, b in spans for x in rows[i].base)
+
+
 def test_redaction(spark, docs, edge):
     key = "AKIA" + "Q7" * 8
     rows = spark.createDataFrame([(1, f"\U0001f600 token={key} and {'deadbeef01' * 3}.", 9), (2, "clean words", 11), (3, None, 0)], "doc_id long, text string, n_chars long")
