@@ -1,5 +1,6 @@
 """The operators against brute force on the smallest tables, and on the cases that break things."""
 
+import json
 import math
 import random
 import sys
@@ -272,6 +273,43 @@ def test_tool_calls(spark):
     assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_repeated_and_null_ids_are_kept(spark):
+    call = lambda i, words, deps="[]": f'{{"content": "", "tool_calls": [{{"id": {i}, "name": "reply", "arguments": {{"style":"x","max_words":{words}}}, "depends_on": {deps}}}]}}'
+    result = lambda i, text: f'{{"tool_call_id": "{i}", "content": "{text}"}}'
+    rows = [
+        (1, 0, "assistant", call('"a"', 1)), (1, 1, "tool", result("a", "A1")), (1, 2, "tool", result("a", "A2")), (1, 4, "assistant", call('"a"', 2)), (1, 4, "assistant", call('"a"', 2)),
+        (1, 5, "assistant", call('"a"', 3, '["late"]')), (1, 7, "assistant", call('"late"', 4)), (1, 8, "tool", result("late", "L")), (1, 8, "tool", result("late", "L")),
+        (1, 3, "assistant", call("null", 5)), (1, 3, "assistant", call("null", 5)), (1, 6, "assistant", call("null", 6, '["late"]')), (1, 9, "tool", result("none", "N1")), (1, 10, "tool", result("none", "N2")),
+        (2, None, "assistant", call('"a"', 8)), (2, 3, "assistant", call('"a"', 7, "[null]")), (None, 0, "assistant", call('"n"', 9)), (None, 1, "tool", result("n", "lost")),
+    ]
+    df = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert python_free(df)
+    got = df.collect()
+    calls = Counter((r.conv_id, json.loads(r.line)["arguments"]["max_words"], r.place, r.level, r.status) for r in got if r.kind == "call")
+    assert calls == Counter([
+        (1, 1, 0, 0, "linked"), (1, 2, 4, 0, "repeated id"), (1, 2, 4, 0, "repeated id"), (1, 3, 7, 1, "repeated id"), (1, 4, 7, 0, "linked"),
+        (1, 5, 3, 0, "no id"), (1, 5, 3, 0, "no id"), (1, 6, 7, 1, "no id"), (2, 7, 3, 0, "no result"), (2, 8, None, 0, "repeated id"),
+    ])
+    results = Counter((json.loads(r.line)["content"], r.place, r.level, r.part, r.status) for r in got if r.kind == "result")
+    assert results == Counter([("A1", 0, 0, 2, "linked"), ("A2", 2, -1, 2, "repeated result"), ("L", 7, 0, 2, "linked"), ("L", 8, -1, 2, "repeated result"), ("N1", 9, -1, 2, "no call"), ("N2", 10, -1, 2, "repeated result")])
+    assert sorted(json.loads(r.line)["content"] for r in got if r.conv_id is None) == sorted(t for c, _, _, t in rows if c is None)
+    # the query's own form: repeated turns are records of their own, null keys are messages with their text
+    rows = [(1, 0, "user", "ask"), (1, 0, "user", "ask again"), (1, 1, "assistant", "answer"), (1, 1, "assistant", "answer"), (1, None, "user", "no turn"), (None, 1, "assistant", "no conversation")]
+    got = chat.linked(chat.as_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert Counter((r.kind, r.status) for r in got) == Counter({("message", "ok"): 4, ("call", "linked"): 1, ("call", "repeated id"): 1, ("result", "linked"): 1, ("result", "repeated result"): 1})
+    assert {"no turn", "no conversation"} <= {json.loads(r.line)["content"] for r in got if r.kind == "message"}
+
+
+def test_chat_sql_with_its_table(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{DATA}/conversations.parquet'")
+    result, df = con.sql(ORACLES["op6_chat_formatting"]), queries()["op6_chat_formatting"](spark, DATA)
+    order = [list(result.columns).index(c) for c in df.columns]
+    assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in order) for r in result.fetchall())
+
+
 def test_conversations_in_tool_form(spark):
     rows = table(spark, DATA, "conversations")
     got = chat.linked(chat.as_tool_calls(rows)).collect()

@@ -9,10 +9,12 @@ that of the latest call it depends on, at a level above it, and its result follo
 The order is in columns, so no conversation is gathered in one task; all keys of joins
 and aggregates hold the call id, so one conversation may hold any share of the rows.
 
-DataFrame functions only. Null or non-JSON text is an ordinary message; a null role is
-'unknown'; of calls or results that repeat an id the first turn counts and the others are
-marked; results without a call, calls without a result, unknown dependencies and cycles
-are marked and kept. An empty table gives an empty result; other columns are not read.
+DataFrame functions only. Null or non-JSON text is an ordinary message, and so is any row
+without a conv_id; a null role is 'unknown'. Of calls or results that repeat an id the
+first turn counts; each other one is a row too ('repeated id', 'repeated result'), as is a
+call with a null id ('no id'): such a call stands after all that it depends on, such a
+result after its call. Results without a call, calls without a result and cycles are marked
+and kept. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ def messages(conversations: DataFrame, text: str = "text") -> DataFrame:
     """conv_id, turn, role, content, calls, call_id of every turn."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
-    calls = F.when((role == "assistant") & F.startswith(F.ltrim(t), F.lit("{")) & F.contains(t, F.lit('"tool_calls"')), F.from_json(t, CALLS))
-    result = F.when((role == "tool") & F.startswith(F.ltrim(t), F.lit("{")), F.from_json(t, RESULT))
+    known = F.col("conv_id").isNotNull()  # records are linked within a conversation only
+    calls = F.when(known & (role == "assistant") & F.startswith(F.ltrim(t), F.lit("{")) & F.contains(t, F.lit('"tool_calls"')), F.from_json(t, CALLS))
+    result = F.when(known & (role == "tool") & F.startswith(F.ltrim(t), F.lit("{")), F.from_json(t, RESULT))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), t.alias("t"), calls.alias("c"), result.alias("r"))
     content = F.when(F.col("r.tool_call_id").isNotNull(), F.coalesce("r.content", F.lit(""))).when(F.col("c.tool_calls").isNotNull(), F.coalesce("c.content", F.lit(""))).otherwise(F.col("t"))
     return rows.select("conv_id", "turn", "role", content.alias("content"), F.col("c.tool_calls").alias("calls"), F.col("r.tool_call_id").alias("call_id"))
@@ -70,7 +73,7 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "id"]
     known = calls.filter(F.size("depends_on") == 0).select(*key, F.col("turn").alias("place"), F.lit(0).alias("level"))
-    waiting = staged(calls.filter(F.size("depends_on") > 0).select(*key, "turn", F.explode(F.array_distinct("depends_on")).alias("dep")), "chat-waiting")
+    waiting = staged(calls.filter(F.size("depends_on") > 0).select(*key, "turn", F.explode(F.array_compact(F.array_distinct("depends_on"))).alias("dep")), "chat-waiting")
     there = calls.select("conv_id", F.col("id").alias("dep")).distinct()
     # dependencies that name no call hold nothing up
     bare = waiting.join(there, ["conv_id", "dep"], "left_anti").select(*key, "dep")
@@ -89,34 +92,85 @@ def ordered_calls(calls: DataFrame) -> DataFrame:
     return calls.join(known.union(cycles), key)
 
 
+CALL, ANSWER = ("no_turn", "turn", "pos", "name", "arguments", "depends_on"), ("no_turn", "turn", "content")
+
+
+def _others(each: DataFrame, heads: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """conv_id, id, ``fields``, ``keep`` and m: rows of ``each`` that are not their id's ``first`` in ``heads``; m equal rows are one."""
+    there = heads.select(F.col("conv_id").alias("there_conv"), F.col("id").alias("there_id"), "first", *keep)
+    met = each.join(there, (F.col("conv_id") == F.col("there_conv")) & F.col("id").eqNullSafe(F.col("there_id")))
+    first = F.col("id").isNotNull() & F.struct(*fields).eqNullSafe(F.col("first"))
+    alike = met.groupBy("conv_id", "id", *fields, *keep, first.alias("is_first")).agg(F.count("*").alias("m"))
+    return alike.withColumn("m", (F.col("m") - F.col("is_first").cast("int")).cast("int")).filter("m > 0").drop("is_first")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("m", F.explode(F.array_repeat(F.lit(1), F.col("m"))))
+
+
+def _placed(others: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls that no other call can name, with ``place`` and ``level`` after the calls that they depend on."""
+    key = ["conv_id", "id", *CALL, "m"]
+    there = calls.select("conv_id", F.col("id").alias("dep"), F.col("place").alias("after"), F.coalesce("level", F.lit(1 << 30)).alias("above"))
+    met = others.withColumn("dep", F.explode_outer(F.array_distinct("depends_on"))).join(there, ["conv_id", "dep"], "left")
+    at = met.groupBy(*key).agg(F.max("after").alias("after"), F.max("above").alias("above"))
+    level = F.when(F.col("above") == 1 << 30, F.lit(None)).otherwise(F.coalesce(F.col("above") + 1, F.lit(0))).cast("int")
+    return at.select(*key, F.greatest("turn", "after").alias("place"), level.alias("level"))
+
+
+def _call_rows(calls: DataFrame) -> DataFrame:
+    """Output rows of calls with place, level, status and errors."""
+    canonical = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("malformed")))))
+    line = F.to_json(F.struct(canonical.alias("arguments"), "id", "name", F.lit("assistant").alias("role"), F.lit("call").alias("type")))
+    return calls.select("conv_id", "place", F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", F.lit(1).alias("part"), F.lit("call").alias("kind"), "status", "errors", line.alias("line"))
+
+
+def _result_rows(results: DataFrame) -> DataFrame:
+    """Output rows of results with content, place, level, pos, part and status."""
+    line = F.to_json(F.struct("content", "id", F.lit("tool").alias("role"), F.lit("result").alias("type")))
+    return results.select("conv_id", "place", "level", "pos", "part", F.lit("result").alias("kind"), "status", F.array().cast("array<string>").alias("errors"), line.alias("line"))
+
+
 def linked(conversations: DataFrame, tools: dict = TOOLS, text: str = "text") -> DataFrame:
     """conv_id, place, level, pos, part, kind, status, errors, line: every record of every conversation."""
     turns = messages(conversations, text)
     plain = turns.filter("call_id is null").select("conv_id", F.col("turn").alias("place"), F.lit(-1).alias("level"), F.lit(0).alias("pos"), F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit("ok").alias("status"), F.array().cast("array<string>").alias("errors"), F.to_json(F.struct("content", "role", F.lit("message").alias("type"))).alias("line"))
-    each = turns.filter("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "pos", "c.id", "c.name", "c.arguments", F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on")).filter("id is not null")
-    fields = F.struct("turn", "pos", "name", "arguments", "depends_on")
-    calls = each.groupBy("conv_id", "id").agg(F.min_by(fields, F.struct("turn", "pos")).alias("c"), F.count("*").alias("n")).select("conv_id", "id", "c.*", "n")
-    calls = ordered_calls(staged(calls, "chat-calls"))
-    results = turns.filter("call_id is not null").groupBy("conv_id", F.col("call_id").alias("id")).agg(F.min_by(F.struct("turn", "content"), "turn").alias("r"), F.count("*").alias("n_results"))
+    no_turn = F.col("turn").isNull().alias("no_turn")  # sorts after the turns that are known
+    each = turns.filter("calls is not null").select("conv_id", "turn", no_turn, F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "no_turn", "pos", "c.id", "c.name", "c.arguments", F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    heads = staged(each.groupBy("conv_id", "id").agg(F.min(F.struct(*CALL)).alias("first"), F.count("*").alias("n")), "chat-calls")
+    calls = ordered_calls(heads.filter("id is not null").select("conv_id", "id", "first.*", "n"))
+    answers = turns.filter("call_id is not null").select("conv_id", F.col("call_id").alias("id"), "turn", no_turn, "content")
+    results = answers.groupBy("conv_id", "id").agg(F.min(F.struct(*ANSWER)).alias("r"), F.count("*").alias("n_results"))
     both = staged(calls.join(results.hint("shuffle_hash"), ["conv_id", "id"], "full_outer"), "chat-linked")
     errors = argument_errors(F.col("name"), F.col("arguments"), tools)
-    status = F.when(F.col("level").isNull(), "cycle").when(F.col("n") > 1, "repeated id").when(F.size("errors") > 0, "invalid").when(F.col("r").isNull(), "no result").otherwise("linked")
-    made = both.filter("n is not null").withColumn("errors", errors).withColumn("status", status)
-    canonical = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("malformed")))))
-    call_line = F.to_json(F.struct(canonical.alias("arguments"), "id", "name", F.lit("assistant").alias("role"), F.lit("call").alias("type")))
-    call_rows = made.select("conv_id", "place", F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", F.lit(1).alias("part"), F.lit("call").alias("kind"), "status", "errors", call_line.alias("line"))
-    result_line = F.to_json(F.struct(F.col("r.content").alias("content"), "id", F.lit("tool").alias("role"), F.lit("result").alias("type")))
-    none = F.array().cast("array<string>")
-    result_rows = both.filter("r is not null").select("conv_id", F.coalesce("place", "r.turn").alias("place"), F.coalesce("level", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.lit(1 << 30))).alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"), F.lit(2).alias("part"), F.lit("result").alias("kind"), F.when(F.col("n").isNull(), "no call").when(F.col("n_results") > 1, "repeated result").otherwise("linked").alias("status"), none.alias("errors"), result_line.alias("line"))
-    return reduce(DataFrame.unionByName, [plain, call_rows, result_rows])
+    status = F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("r").isNull(), "no result").otherwise("linked")
+    call_rows = _call_rows(both.filter("n is not null").withColumn("errors", errors).withColumn("status", status))
+    level = F.coalesce("level", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.lit(1 << 30)))
+    first_results = both.filter("r is not null").select("conv_id", "id", "r.content", F.coalesce("place", "r.turn").alias("place"), level.alias("level"), F.coalesce("pos", F.lit(0)).alias("pos"), F.lit(2).alias("part"), F.when(F.col("n").isNull(), "no call").otherwise("linked").alias("status"))
+    rows = [plain, call_rows, _result_rows(first_results)]
+    # only where ids repeat or are null are the records read again
+    more = heads.filter("id is null or n > 1")
+    if not more.isEmpty():
+        others = _placed(_others(each, more, CALL), both.filter("n is not null"))
+        rows.append(_call_rows(_copies(others).withColumn("errors", errors).withColumn("status", F.when(F.col("id").isNull(), "no id").otherwise("repeated id"))))
+    more = both.filter("n_results > 1").select("conv_id", "id", F.col("r").alias("first"), "place", level.alias("level"), F.col("pos").alias("call_pos"))
+    if not more.isEmpty():
+        others = _others(answers, more, ANSWER, ("place", "level", "call_pos"))
+        late = F.col("turn") > F.col("place")  # after its call's place: stands at its own turn
+        own = F.col("call_pos").isNull() | F.coalesce(late, F.lit(False))
+        at = [F.when(own, F.col("turn")).otherwise(F.col("place")).alias("place"), F.when(own, -1).otherwise(F.col("level")).alias("level"), F.when(own, 0).otherwise(F.col("call_pos")).alias("pos"), F.when(own, 2).otherwise(3).alias("part")]
+        rows.append(_result_rows(_copies(others).select("conv_id", "id", "content", *at, F.lit("repeated result").alias("status"))))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def as_tool_calls(conversations: DataFrame) -> DataFrame:
     """Plain conversations in tool-call form: each user turn calls ``reply``, the next assistant turn is its result.
 
     Every second call depends on the one before it; turns that want more than 30 words of
-    request are sent with an argument of the wrong type, so that validation has work.
+    request are sent with an argument of the wrong type, so that validation has work. Rows
+    without a conv_id or a turn can't be named by an id and stay as they are.
     """
+    keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")).cast("int")
     ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
     words = F.when(n > 30, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string"))
@@ -124,6 +178,6 @@ def as_tool_calls(conversations: DataFrame) -> DataFrame:
     deps = F.when(F.col("turn") % 4 >= 2, F.concat(F.lit('["'), ident(F.col("turn") - 2), F.lit('"]'))).otherwise(F.lit("[]"))
     call = F.concat(F.lit('{"content": '), F.to_json(F.struct("text")), F.lit(', "tool_calls": [{"id": "'), ident(F.col("turn")), F.lit('", "name": "reply", "arguments": '), arguments, F.lit(', "depends_on": '), deps, F.lit("}]}"))
     result = F.to_json(F.struct(ident(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
-    body = F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
-    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    body = F.when(keyed & (F.col("role") == "user"), call).when(keyed & (F.col("role") == "assistant"), result).otherwise(F.col("text"))
+    role = F.when(keyed & (F.col("role") == "user"), "assistant").when(keyed & (F.col("role") == "assistant"), "tool").otherwise(F.col("role"))
     return conversations.select("conv_id", "turn", role.alias("role"), body.alias("text"))
