@@ -1,32 +1,89 @@
-"""Tables staged in the folder that the whole cluster shares."""
+"""Tables staged in the folder that the whole cluster shares, and let go after their last use."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting: shuffle files of a statement are deleted when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose
+    executors could not see one, it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, each statement's shuffle files go when it has ended, not when the driver next collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before else spark.conf.unset(SHUFFLE_CLEANUP)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back."""
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+    """``df`` written once in the shared folder and read back.
 
     Cuts the lineage, outlives lost executors, and gives Spark the table's true size, so
     that its own broadcast threshold decides on checked sizes.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_path(df.sparkSession, name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Staging:
+    """The staged tables of one job: each can be dropped after its last use, and the others go at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(df for df, _ in list(self.held.values())))
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        out = written(df, path)
+        self.held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the tables, which nothing may read any more."""
+        for df in tables:
+            delete(self.spark, self.held.pop(id(df))[1])
