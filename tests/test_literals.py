@@ -77,7 +77,7 @@ TABLE_1 = """<table><tr><td>All items less food and energy menu</td></tr></table
 def test_table_row_by_label_and_index(spark):
     docs = spark.createDataFrame([(1, TABLE_1), (2, TABLE_1 + TABLE_1)], "doc_id int, body string")
     targets = spark.createDataFrame([("core", "all items less food and energy")], "target string, label string")
-    rows = {r.doc_id: r for r in E.lookup_labelled_row(E.labelled_rows(docs), targets).collect()}
+    rows = {r.doc_id: r for r in E.lookup_labelled_row(docs, E.labelled_rows(docs), targets).collect()}
     assert rows[2].reason == "ambiguous row" and rows[2].cells is None
     numbers = spark.createDataFrame([(rows[1].cells,)], "c array<string>").select(F.transform("c", lambda x: C.number_from_cell(x)).alias("n"))
     got = numbers.select(E.pick(F.col("n"), F.lit(4)), E.pick(F.col("n"), F.lit(8)), E.pick(F.col("n"), F.lit(-1))).first()
@@ -170,3 +170,63 @@ def test_links_are_absolute_and_first_of_each(spark):
     docs = spark.createDataFrame([(1, "https://e.org/dir/page?x=1", html)], "page_id int, url string, html string")
     got = {(r.url, r.text) for r in E.extract_links(docs).collect()}
     assert got == {("https://e.org/press/1.html", "One"), ("https://e.org/dir/b.html", "Two"), ("https://o.org/", "Out & in")}
+
+
+def test_text_documents_are_one_row_each(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.txt").write_text("three")
+    rows = readers.read_documents(spark, f"file://{tmp_path}", "text").collect()
+    assert {r.url.rsplit("/", 1)[1]: r.body for r in rows} == {"a.txt": "one\ntwo", "b.txt": "three"}
+
+
+def test_leaderboard_goes_on_after_a_restart(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import jobs
+
+    schema = "release_id long, source_id string, captured_at timestamp, seq long, event_time timestamp"
+    rows = [(r, s, f"2024-01-10 12:{30 + (r * 7 + n * 5) % 20}:00", 10 * r + n) for r in range(20) for n, s in enumerate("abc")]
+    batches = [rows[::2], rows[1::2]]
+    for n, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "release_id long, source_id string, at string, seq long")
+        df.select("release_id", "source_id", F.to_timestamp("at").alias("captured_at"), "seq", F.to_timestamp(F.lit("2024-01-10 12:30:00")).alias("event_time")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = readers.stream_captures(spark, f"file://{tmp_path}/in", schema)
+        board = jobs.leaderboard_stream(stream, f"file://{tmp_path}/board", f"file://{tmp_path}/checkpoint")
+        seen = sum(batches[: n + 1], [])
+        assert sorted((r.release_id, r.source_id, r.seq) for r in board.collect()) == sorted((r, s, q) for r, s, _, q in seen)
+    first = {r.release_id: r.source_id for r in board.filter("rank = 1").collect()}
+    assert first == {r: min((at, s) for x, s, at, _ in rows if x == r)[1] for r in range(20)}
+
+
+def test_stream_and_batch_find_the_same_changes_with_nulls(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import detect
+    from tidemark.streaming import jobs
+
+    rows = [(1, s, n, f"2024-01-10 12:30:{n:02}", e, v) for s in "abc" for n, (e, v) in enumerate([("x", None), ("x", None), (None, 1.0), ("y", 1.0), ("y", None), ("", 2.0), ("z", 2.0)])]
+    df = spark.createDataFrame(rows, "release_id long, source_id string, seq long, at string, etag string, actual double").withColumn("captured_at", F.to_timestamp("at")).drop("at")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    policies = spark.createDataFrame([("p", "a", False, True, False, False, False, True, False), ("p", "b", False, False, False, False, False, True, True)], detect.POLICY)
+    batch = detect.detect_changes(df, policies).withColumn("method", detect.detection_method(F.col("headers_changed"), F.col("content_changed"))).filter("method is not null")
+    stream = jobs.run_once(jobs.detect_changes_stream(readers.stream_captures(spark, f"file://{tmp_path}/in", df.schema.simpleString()[7:-1].replace(":", " ")), policies), "twin", rocks=True)
+    got = sorted((r.source_id, r.seq, r.method) for r in stream.collect())
+    assert got == sorted((r.source_id, r.seq, r.method) for r in batch.collect())
+    assert {s for s, *_ in got} == {"a"} and ("a", 2, "headers+content") in got
+
+
+def test_no_temporary_folder_on_a_cluster(spark):
+    from tidemark.sources import staging
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_path(Session(), "x")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-_MONTH = r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
+_MONTH = r"\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b\.?"
 #: Named entities decoded, with the ampersand last.
 ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&minus;": "−", "&ndash;": "–", "&mdash;": "—", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+#: Every other named reference, and what browsers read for numbers 128 to 159.
+_NAMED = ENTITIES | {f"&{name}": text for name, text in html5.items() if name.endswith(";") and f"&{name}" not in ENTITIES}
+_CONTROLS = bytes(range(128, 160)).decode("cp1252", "replace")
+_REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 #: Spaces that \s does not match.
 ODD_SPACES = "   "
 NUMBER = r"[-−]?[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -33,15 +39,17 @@ def first_non_blank(*cols: Column) -> Column:
 
 
 def month_no(c: Column) -> Column:
-    """Month number of a full or three-letter English name, 'Sept' and trailing dots included."""
-    names = [x for i, m in enumerate(MONTHS) for x in (F.lit(m[:3].lower()), F.lit(i + 1))]
-    return F.try_element_at(F.create_map(*names), F.lower(F.substring(F.trim(c), 1, 3)))
+    """Month number of a full or three-letter English name, 'Sept' and a trailing dot included; null for any other word."""
+    numbers = {name.lower(): i + 1 for i, m in enumerate(MONTHS) for name in (m, m[:3])} | {"sept": 9}
+    names = [x for name, i in numbers.items() for x in (F.lit(name), F.lit(i))]
+    return F.try_element_at(F.create_map(*names), F.regexp_replace(F.lower(F.trim(c)), r"\.$", ""))
 
 
 def to_period(c: Column) -> Column:
-    """First of the month named by '2026-04', 'April 2026', '2026 APR' or '2026 M04 Results'; null if none fits."""
+    """First of the month named by '2026-04', 'April 2026', '2026 APR' or '2026 M04 Results', the last if a text names several; null if none fits."""
     made = lambda y, m: F.try_make_timestamp(y.cast("int"), m.cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    by_name = lambda pattern, y, m: made(group(c, pattern, y), month_no(group(c, pattern, m)))
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
+    by_name = lambda pattern, y, m: made(group(last(pattern), pattern, y), month_no(group(last(pattern), pattern, m)))
     iso, coded = r"^\s*(\d{4})-(\d{2})(?:-\d{2})?\s*$", r"(\d{4})\s+M(0[1-9]|1[0-2])\b"
     return F.coalesce(
         made(group(c, iso, 1), group(c, iso, 2)),
@@ -182,8 +190,30 @@ def number_from_cell(c: Column) -> Column:
 # text
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _referred(ref: Column) -> Column:
+    """What a character reference stands for; itself if nothing."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    digits = F.regexp_replace(ref, "[&#xX;]", "")
+    number = F.when(F.rlike(ref, F.lit("^&#[0-9]")), digits.try_cast("long")).when(F.startswith(ref, F.lit("&#")), F.conv(digits, 16, 10).try_cast("long"))
+
+    def char(n: Column) -> Column:
+        good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        text = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(n.between(128, 159), F.substring(F.lit(_CONTROLS), n.cast("int") - 127, F.lit(1))).otherwise(text)
+
+    return F.when(number.isNotNull(), bound(number, char)).otherwise(F.coalesce(F.try_element_at(named, ref), ref))
+
+
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """Named and numeric character references decoded, once each."""
+    parts = F.struct(F.split(c, _REFERENCE).alias("gaps"), F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)).alias("refs"))
+    joined = bound(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(_referred(F.get(p["refs"], i)), F.lit("")))), ""))
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +35,12 @@ def join_baseline(captures: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 #: Per policy: fields compared, and whether a blank on either side hides a difference.
-POLICY = "policy string, source_id string, use_status boolean, use_etag boolean, use_hash boolean, use_value boolean, blank_is_same boolean"
+POLICY = "policy string, source_id string, use_status boolean, use_etag boolean, use_modified boolean, use_hash boolean, use_period boolean, use_value boolean, blank_is_same boolean"
+#: That of a source which no policy names: every field counts.
+DEFAULT = {f: True for f in ("use_status", "use_etag", "use_modified", "use_hash", "use_period", "use_value", "blank_is_same")}
+#: Fields of the headers and of the content, with the switch of each.
+HEADERS = {"status_code": "use_status", "etag": "use_etag", "last_modified": "use_modified"}
+CONTENT = {"content_hash": "use_hash", "period": "use_period", "actual": "use_value"}
 
 
 def differs(now: Column, before: Column, blank_is_same: Column) -> Column:
@@ -44,16 +51,19 @@ def differs(now: Column, before: Column, blank_is_same: Column) -> Column:
 def detect_changes(captures: DataFrame, policies: DataFrame) -> DataFrame:
     """headers_changed and content_changed against the capture before, by each source's policy.
 
-    The policy is a row of a small table, not a branch of code. A first capture has no
+    The policy is a row of a small table, not a branch of code; a source without one has the
+    default. Fields that the captures lack are not compared. A first capture has no
     predecessor and counts as unchanged.
     """
-    fields = [c for c in ("status_code", "etag", "content_hash", "actual") if c in captures.columns]
-    prev = captures.withColumn("_p", F.lag(F.struct(*fields, "seq")).over(_order())).join(policies, "source_id")
-    diff = lambda c: differs(F.col(c), F.col(f"_p.{c}"), F.col("blank_is_same")) if c in fields else F.lit(False)
-    there = F.col("_p.seq").isNotNull()
-    headers = there & ((F.col("use_status") & diff("status_code")) | (F.col("use_etag") & diff("etag")))
-    content = there & ((F.col("use_hash") & diff("content_hash")) | (F.col("use_value") & diff("actual")))
-    return prev.withColumns({"headers_changed": headers, "content_changed": content}).drop("_p")
+    fields = [c for c in (*HEADERS, *CONTENT) if c in captures.columns]
+    prev = captures.withColumn("_p", F.lag(F.struct(*fields, F.lit(True).alias("_there"))).over(_order())).join(policies, "source_id", "left")
+    prev = prev.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULT.items()})
+
+    def changed(of: dict[str, str]) -> Column:
+        parts = [F.col(use) & differs(F.col(c), F.col(f"_p.{c}"), F.col("blank_is_same")) for c, use in of.items() if c in fields]
+        return F.col("_p._there").isNotNull() & reduce(lambda a, b: a | b, parts, F.lit(False))
+
+    return prev.withColumns({"headers_changed": changed(HEADERS), "content_changed": changed(CONTENT)}).drop("_p")
 
 
 def detection_method(headers: Column, content: Column) -> Column:

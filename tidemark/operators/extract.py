@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +43,19 @@ def labelled_rows(docs: DataFrame, key: str = "doc_id", html: str = "body") -> D
     return rows.select(key, "row_no", C.norm_label(F.get("c", F.lit(0))).alias("label"), F.slice("c", F.lit(2), F.size("c") - 1).alias("cells"))
 
 
-def lookup_labelled_row(rows: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document and target: the row, if exactly one matches; else ``reason``.
+def lookup_labelled_row(docs: DataFrame, rows: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document and target: the row, if exactly one matches; else ``reason``: 'no row' or 'ambiguous row'.
 
     ``targets``: target, and the columns of ``rows`` (label, or label with group and item)
-    on which they match exactly; a dimension that Spark broadcasts by its size.
+    on which they match exactly; a bounded dimension, laid out as an array per document.
     """
     on = [c for c in targets.columns if c != "target"]
     hits = rows.join(targets, on).groupBy(key, "target").agg(F.count("*").alias("n_matches"), F.min_by("cells", "row_no").alias("cells"))
-    reason = F.when(F.col("n_matches") > 1, "ambiguous row")
-    return hits.select(key, "target", "n_matches", F.when(F.col("n_matches") == 1, F.col("cells")).alias("cells"), reason.alias("reason"))
+    names = [r.target for r in targets.select("target").distinct().collect()]
+    wanted = docs.select(key).distinct().withColumn("target", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    out = wanted.join(hits, [key, "target"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+    reason = F.when(F.col("n_matches") == 0, "no row").when(F.col("n_matches") > 1, "ambiguous row")
+    return out.select(key, "target", "n_matches", F.when(F.col("n_matches") == 1, F.col("cells")).alias("cells"), reason.alias("reason"))
 
 
 def lookup_text_row(text: Column, label: str, width: int, accept) -> Column:
@@ -156,15 +161,41 @@ def context_before_after(text: Column, anchor: str, before: int, after: int) ->
     return F.when(place > 0, F.struct(cut.alias("before"), C.group(rest, rf"(?is)^({anchor})").alias("hit"), F.substring(F.regexp_replace(rest, rf"(?is)^(?:{anchor})", ""), 1, after).alias("after")))
 
 
+def anchors_in_context(text: Column, anchor: str, before: int, after: int) -> Column:
+    """array<struct(before, hit, after)>: what surrounds each match of an anchor, in order."""
+    pattern = rf"(?is){anchor}"
+    parts = F.struct(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+
+    def around(p: Column) -> Column:
+        joined = lambda a: F.array_join(a, "")
+        pieces = F.transform(p["gap"], lambda g, i: F.concat(g, F.coalesce(F.get(p["hit"], i), F.lit(""))))
+        return C.bound(pieces, lambda x: F.transform(p["hit"], lambda h, i: F.struct(
+            F.right(F.concat(joined(F.slice(x, F.lit(1), i)), F.get(p["gap"], i)), F.lit(before)).alias("before"), h.alias("hit"), F.left(joined(F.slice(x, i + 2, F.size(x))), F.lit(after)).alias("after"))))
+
+    return C.bound(parts, around)
+
+
+def first_that_parses(contexts: Column, parse, *needed: str) -> Column:
+    """The first context whose parsed struct has all of ``needed``: a listing's later items count where earlier ones don't parse."""
+    parsed = F.transform(contexts, parse)
+    return F.get(F.filter(parsed, lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed))), F.lit(0))
+
+
 def last_match(text: Column, pattern: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
 
 
-def extract_title(html: Column) -> Column:
-    """Preferred h1 that isn't a search page's, else the title element."""
-    h1 = C.html_to_text(C.group(html, r"(?is)<h1[^>]*>(.*?)</h1>"))
+#: Places of a title before the h1: a script's variable, a meta element.
+SCRIPT_TITLE = r"""(?is)\btitle\s*[:=]\s*"([^"]+)\""""
+META_TITLE = r"""(?is)<meta[^>]*(?:name|property)=["'](?:og:|dc\.)?title["'][^>]*content=["']([^"']*)["']"""
+
+
+def extract_title(html: Column, first: tuple[str, ...] = (), preferred: str | None = None) -> Column:
+    """By order: patterns of ``first``, an h1 that fits ``preferred``, an h1 that isn't a search page's, the title element."""
+    heads = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), lambda x: C.html_to_text(x)), lambda h: (h != "") & ~F.contains(F.lower(h), F.lit("search results")))
+    fitting = [F.get(F.filter(heads, lambda h: F.rlike(h, F.lit(preferred))), F.lit(0))] if preferred else []
     title = C.html_to_text(C.group(html, r"(?is)<title[^>]*>(.*?)</title>"))
-    return C.first_non_blank(F.when(~F.contains(F.lower(h1), F.lit("search results")), h1), title)
+    return C.first_non_blank(*[C.html_to_text(C.group(html, p)) for p in first], *fitting, F.get(heads, F.lit(0)), title)
 
 
 def guard_reason(text: Column, required: list[str], forbidden: list[str]) -> Column:
@@ -209,11 +240,30 @@ def extract_release_card(docs: DataFrame, key: str = "doc_id", text: str = "body
     return docs.select(key, C.parse_release_date(card).alias("release_date"), value("Actual").alias("actual"), value("Forecast").alias("forecast"), value("Previous").alias("previous"))
 
 
-def extract_schedule(docs: DataFrame, tz: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, reference_period, release_ts): 'Month yyyy Mon d, yyyy hh:mm AM' rows in the publisher's time, as UTC."""
-    rows = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"([A-Z][a-z]+ \d{4} [A-Z][a-z]{2}\.? \d{1,2}, \d{4} \d{2}:\d{2} [AP]M)"), F.lit(1))).alias("row"))
-    local = F.try_to_timestamp(F.regexp_replace(C.group(F.col("row"), r"\d{4} (.*)$"), r"\.", ""), F.lit("MMM d, yyyy hh:mm a")).cast("timestamp_ntz")
-    return rows.select(key, C.to_period(F.regexp_extract("row", r"^([A-Z][a-z]+ \d{4})", 1)).alias("reference_period"), C.to_utc(local, tz).alias("release_ts"))
+#: layout -> the row's pattern, groups of period, date and time; a time of its own where rows have none.
+SCHEDULES = {
+    "rows": (r"([A-Z][a-z]+ \d{4}) ([A-Z][a-z]{2,8}\.? \d{1,2}, \d{4}) (\d{1,2}:\d{2} [AP]M)", (1, 2, 3), None),
+    "sentence": (r"for ([A-Z][a-z]+ \d{4}) (?:is|are) scheduled to be released on (?:[A-Z][a-z]+day, )?([A-Z][a-z]{2,8}\.? \d{1,2}, \d{4}),? at (\d{1,2}:\d{2} [AaPp]\.?[Mm])", (1, 2, 3), None),
+    "dates": (r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2})\b(?!, \d{4})", (None, 1, None), "9:45 AM"),
+    "next": (r"(?:Released|Release date|Next release): (\d{1,2} [A-Z][a-z]+ \d{4})(?: at)? ?(\d{1,2}:\d{2} ?[ap]m)?", (None, 1, 2), "7:00 AM"),
+}
+
+
+def extract_schedule(docs: DataFrame, tz: str, key: str = "doc_id", text: str = "text", layout: str = "rows", year: str | None = None) -> DataFrame:
+    """(key, reference_period, release_ts) of the rows of a layout, in the publisher's time, as UTC.
+
+    ``year`` (a column) is that of a table whose dates have none; without a period of its
+    own, a row's is the month before its release.
+    """
+    pattern, (period, date, time), usual = SCHEDULES[layout]
+    part = lambda i: C.group(F.col("row"), pattern, i)
+    keep = [key, *([year] if year else [])]
+    rows = docs.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("row"))
+    day = C.parse_release_date(F.concat_ws(", ", part(date), F.col(year).cast("string")) if year else F.regexp_replace(part(date), r"\.", ""))
+    clock = F.upper(F.regexp_replace(part(time) if time else F.lit(usual), r"[.\s]", ""))
+    clock = F.coalesce(clock, F.lit(usual.replace(" ", ""))) if usual else clock
+    local = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), clock), F.lit("yyyy-MM-dd h:mma")).cast("timestamp_ntz")
+    return rows.select(key, (C.to_period(part(period)) if period else F.add_months(F.trunc(day, "MM"), -1)).alias("reference_period"), C.to_utc(local, tz).alias("release_ts"))
 
 
 def extract_rate_table(cells: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import detect as D
 from ..operators import validate as V
 from ..sources import fixtures as X
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.model import BOUNDS
 from ..sources.staging import shared_path, table
 from . import reconcile as R
@@ -36,10 +36,50 @@ def dim_sources(spark, d):
     return X.captures(spark, d).groupBy("source_id").agg(F.count("*").alias("n_captures")).join(X.sources(spark), "source_id").select("source_id", "priority", "is_primary", "n_captures")
 
 
-@query("release_json", f"""{OBS} select release_id, '{{"release_id":' || release_id || ',"metrics":[' || string_agg('{{"source_id":"' || source_id || '","actual":' || actual::bigint || '}}', ',' order by priority) || ']}}' document from obs join sources using (source_id) group by release_id""")
+@query("release_json", f"""{OBS}, m as (select release_id, max(actual) filter (is_primary) p from obs join sources using (source_id) group by 1),
+j as (select o.*, s.priority, s.is_primary, m.p, abs(actual - p) < 1e-6 same from obs o join sources s using (source_id) join m using (release_id)),
+k as (select release_id, string_agg('{{"source_id":"' || source_id || '","actual":' || actual::bigint || '}}', ',' order by priority) metrics, coalesce(string_agg('"' || source_id || '"', ',' order by priority) filter (same), '') matched,
+coalesce(string_agg('"' || source_id || ' differs"', ',' order by priority) filter (not same), '') warnings, min(epoch_us(hit_at) // 1000) first_hit from j group by 1)
+select release_id, '{{"release_id":' || release_id || ',"metrics":[' || metrics || '],"matched_sources":[' || matched || '],"warnings":[' || warnings || '],"latency":{{"total":' || (first_hit - epoch_us(event_time) // 1000)::bigint || '}}}}' document from k join releases using (release_id)""")
 def release_json(spark, d):
-    rows = X.obs(spark, d).join(X.sources(spark), "source_id").withColumn("actual", F.col("actual").cast("long"))
-    return sinks.release_documents(rows, "priority", ["source_id", "actual"])
+    """Written by the sink as JSON lines, and read back."""
+    obs, releases = X.obs(spark, d), X.releases(spark, d)
+    rows = obs.join(X.sources(spark), "source_id").withColumn("actual", F.col("actual").cast("long"))
+    first = obs.groupBy("release_id").agg(F.min("hit_at").alias("at")).join(releases, "release_id")
+    latency = first.select("release_id", F.struct(C.event_latency_ms(F.col("at"), F.col("event_time")).alias("total")).alias("latency"))
+    evidence = R.confirm_releases(releases, obs, X.sources(spark)).select("release_id", "matched_sources", "warnings").join(latency, "release_id")
+    path = shared_path(spark, "releases")
+    sinks.write_release_json(sinks.release_documents(rows, "priority", ["source_id", "actual"], evidence=evidence), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.release_id").cast("long").alias("release_id"), F.col("value").alias("document"))
+
+
+@query("capture_log", f"{CAPTURES} select release_id, source_id, seq, etag, content_hash from captures where source_id = 'purchase'")
+def capture_log(spark, d):
+    """Captures laid out by source as the log is, read with its schema; the filter prunes folders."""
+    path = shared_path(spark, "capture-log")
+    rows = X.captures(spark, d).select("release_id", "source_id", "seq", F.col("captured_at").cast("timestamp").alias("captured_at"), "etag", "content_hash")
+    sinks.write_table(rows, path, "overwrite", "source_id")
+    return readers.read_captures(spark, path).filter("source_id = 'purchase'").select("release_id", "source_id", "seq", "etag", "content_hash")
+
+
+@query("snapshot_upsert", f"{CAPTURES} select release_id, source_id, max_by(seq, (captured_at, seq)) seq, max_by(actual, (captured_at, seq)) actual from captures group by all")
+def snapshot_upsert(spark, d):
+    """A stored snapshot of the first half of January, brought up to date with the rest."""
+    rows = X.captures(spark, d).select("release_id", "source_id", "seq", "captured_at", "actual")
+    newest = F.struct("captured_at", "seq")
+    early, late = rows.filter("captured_at < '2024-01-15'"), rows.filter("captured_at >= '2024-01-15'")
+    path = shared_path(spark, "snapshot")
+    sinks.write_table(sinks.upsert_snapshot(early.limit(0), early, ["release_id", "source_id"], newest), path, "overwrite", None)
+    return sinks.upsert_snapshot(spark.read.parquet(path), late, ["release_id", "source_id"], newest).select("release_id", "source_id", "seq", "actual")
+
+
+@query("performance_table", f"{CAPTURES}, h as (select release_id, source_id, count(*) polls, min(epoch_us(captured_at) // 1000)::bigint first_ms from captures group by all) select release_id, source_id, polls, first_ms from h")
+def performance_table(spark, d):
+    """Polls and first capture per source, as a table by release."""
+    rows = X.captures(spark, d).groupBy("release_id", "source_id").agg(F.count("*").alias("polls"), F.min(ms("captured_at")).alias("first_ms"))
+    path = shared_path(spark, "performance")
+    sinks.write_table(rows, path, "overwrite", None)
+    return spark.read.parquet(path)
 
 
 @query("snapshot_table", f"{CAPTURES} select release_id, source_id, max(seq) seq, count(*) n from captures group by all")
@@ -77,7 +117,7 @@ _FLAGS = "(select *, row_number() over w n, lag(etag) over w pe, lag(content_has
 
 
 def _policies(spark, all_on: bool):
-    rows = [("p", s, False, True, all_on, True, True) for s, *_ in X.SOURCES]
+    rows = [("p", s, False, True, False, all_on, False, True, True) for s, *_ in X.SOURCES]
     return spark.createDataFrame(rows, D.POLICY)
 
 
@@ -89,10 +129,31 @@ def change_flags(spark, d):
 @query("change_policies", f"""{CAPTURES}, f as {_FLAGS} select release_id, source_id, seq, case when source_id in ('purchase', 'click') then n > 1 and etag <> pe else false end headers_changed,
 case when source_id = 'error' then false when source_id = 'view' then n > 1 and content_hash <> ph else n > 1 and actual <> pa end content_changed from f""")
 def change_policies(spark, d):
-    rows = [("value", "purchase", False, True, False, True, True), ("value", "click", True, True, False, True, True), ("value only", "signup", False, False, False, True, False), ("hash", "view", False, False, True, False, False), ("none", "error", False, False, False, False, True)]
+    on, off = True, False
+    rows = [  # status, etag, modified, hash, period, value, blank is same
+        ("value", "purchase", off, on, off, off, off, on, on), ("value", "click", on, on, off, off, off, on, on), ("value only", "signup", off, off, off, off, off, on, off),
+        ("hash", "view", off, off, off, on, off, off, off), ("none", "error", off, off, off, off, off, off, on),
+    ]
     return D.detect_changes(X.captures(spark, d), spark.createDataFrame(rows, D.POLICY)).select("release_id", "source_id", "seq", "headers_changed", "content_changed")
 
 
+_FIELDS = """(select *, row_number() over w n, lag(m) over w pm, lag(p) over w pp, lag(a) over w pa, lag(e) over w pe from (select release_id, source_id, seq, captured_at, case when seq % 7 <> 0 then seq % 3 end m, (seq // 5) % 2 p, case when seq % 6 <> 0 then floor(actual) end a, case when seq % 11 <> 0 then etag end e from captures)
+window w as (partition by release_id, source_id order by captured_at, seq))"""
+
+
+@query("change_fields", f"""{CAPTURES} select release_id, source_id, seq, case when source_id = 'purchase' then n > 1 and coalesce(m::varchar, '') <> coalesce(pm::varchar, '') else n > 1 and (coalesce(m <> pm, false) or coalesce(e <> pe, false)) end headers_changed,
+case when source_id = 'purchase' then n > 1 and p <> pp else n > 1 and (p <> pp or coalesce(a <> pa, false)) end content_changed from {_FIELDS}""")
+def change_fields(spark, d):
+    """Last-modified and period as fields, nulls among the values, and a policy for one source only: the others keep their captures."""
+    s = F.col("seq")
+    rows = X.captures(spark, d).select(
+        "release_id", "source_id", "seq", "captured_at", F.when(s % 7 != 0, (s % 3).cast("string")).alias("last_modified"), (F.floor(s / 5) % 2).alias("period"),
+        F.when(s % 6 != 0, F.floor("actual")).alias("actual"), F.when(s % 11 != 0, F.col("etag")).alias("etag"),
+    )
+    policies = spark.createDataFrame([("own", "purchase", False, False, True, False, True, False, False)], D.POLICY)
+    return D.detect_changes(rows, policies).select("release_id", "source_id", "seq", "headers_changed", "content_changed")
+
+
 @query("detection_method", f"{CAPTURES}, f as (select *, n > 1 and etag <> pe h, n > 1 and actual <> pa c from {_FLAGS}) select release_id, source_id, seq, case when h and c then 'headers+content' when h then 'headers' when c then 'content' end as \"method\" from f where h or c")
 def detection_method(spark, d):
     rows = D.detect_changes(X.captures(spark, d), _policies(spark, False))
@@ -257,8 +318,10 @@ def metric_signature(spark, d):
 
 @query("unique_strings", f"{CAPTURES}, u as (select release_id, source_id, min(seq) s from captures where source_id <> 'error' group by all) select release_id, string_agg(source_id, '|' order by s) names from u group by 1")
 def unique_strings(spark, d):
+    """Names in order of first appearance: their first places first, so that a release gathers names, not captures."""
+    first = X.captures(spark, d).groupBy("release_id", "source_id").agg(F.min("seq").alias("seq"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_id"))), lambda x: F.when(x["source_id"] == "error", " ").otherwise(F.concat(F.lit(" "), x["source_id"])))
-    out = X.captures(spark, d).groupBy("release_id").agg(F.array_join(C.unique_strings(listed), "|").alias("names"))
+    out = first.groupBy("release_id").agg(F.array_join(C.unique_strings(listed), "|").alias("names"))
     return out.filter("names <> ''")
 
 
@@ -275,11 +338,9 @@ def union_sources(spark, d):
     return R.union_sources(parts).select("event_id", "value", "error", "source_id")
 
 
-@query("extractor_dispatch", f"{CAPTURES} select seq, case source_id when 'purchase' then 'json' when 'click' then 'text' end kind, case source_id when 'purchase' then regexp_extract(etag, '([0-9]+)', 1)::double when 'click' then actual end as value from captures where source_id in ('purchase', 'click')")
+@query("extractor_dispatch", f"{CAPTURES} select seq, case source_id when 'purchase' then 'json' when 'click' then 'text' else 'other' end kind, case source_id when 'purchase' then regexp_extract(etag, '([0-9]+)', 1)::double when 'click' then actual end as value, case source_id when 'click' then 'LOW' end confidence, case when source_id not in ('purchase', 'click') then 'no extractor' end reason from captures")
 def extractor_dispatch(spark, d):
     kind = F.when(F.col("source_id") == "purchase", "json").when(F.col("source_id") == "click", "text").otherwise("other")
-    extractors = {
-        "json": lambda df: df.select("seq", "kind", F.get_json_object("etag", "$.k").cast("double").alias("value")),
-        "text": lambda df: df.select("seq", "kind", F.col("actual").alias("value")),
-    }
-    return R.dispatch(X.captures(spark, d).withColumn("kind", kind), extractors)
+    R.register_extractor("json", {"value": F.get_json_object("etag", "$.k").cast("double")})
+    R.register_extractor("text", {"value": F.col("actual"), "confidence": F.lit("LOW")})
+    return R.dispatch(X.captures(spark, d).withColumn("kind", kind), ["seq"])

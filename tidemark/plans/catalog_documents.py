@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import detect as D
 from ..operators import extract as E
 from ..sources import fixtures as X
+from ..sources import readers
 from ..sources.staging import table
 from .registry import query
 
@@ -30,7 +31,7 @@ _ANCHORS = r"""(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>(.*?)</a>
 
 
 def pages(spark, d):
-    return table(spark, d, "pages")
+    return readers.read_documents(spark, f"{d}/pages.parquet")
 
 
 @query("scan_pages", "select page_id, url, length(html) n_chars from pages")
@@ -103,10 +104,12 @@ def url_join(spark, d):
     return articles.join(releases, "norm").select("page_id", "other")
 
 
-@query("latest_items", "with p as (select page_id, page_id % 3 doc_no, date '2026-01-01' + (page_id % 50)::int item_date, url from pages where page_id % 3 <> 0), f as (select min(doc_no) m from p) select strftime(item_date, '%Y-%m-%d') item_date, url, page_id, row_number() over (order by item_date desc, url, page_id) n from p, f where doc_no = m qualify n <= 10")
+@query("latest_items", "with p as (select page_id, (page_id + 1) % 5 doc_no, date '2026-01-01' + (page_id % 50)::int item_date, url from pages where (page_id + 1) % 5 <> 0), f as (select min(doc_no) m from p where doc_no < 3) select strftime(item_date, '%Y-%m-%d') item_date, url, page_id, row_number() over (order by item_date desc, url, page_id) n from p, f where doc_no = m qualify n <= 10")
 def latest_items(spark, d):
     """At most three index documents; the newest items of the first that has any."""
-    items = pages(spark, d).filter("page_id % 3 <> 0").select("page_id", (F.col("page_id") % 3).alias("doc_no"), F.expr("date_add(date'2026-01-01', cast(page_id % 50 as int))").alias("item_date"), "url").filter("doc_no < 3")
+    # five index documents, of which the first lists nothing
+    listed = pages(spark, d).select("page_id", ((F.col("page_id") + 1) % 5).alias("doc_no"), F.expr("date_add(date'2026-01-01', cast(page_id % 50 as int))").alias("item_date"), F.when((F.col("page_id") + 1) % 5 != 0, F.col("url")).alias("url"))
+    items = listed.filter("doc_no < 3 and url is not null")
     first = items.agg(F.min("doc_no").alias("m"))
     top = items.join(F.broadcast(first), F.col("doc_no") == F.col("m")).orderBy(F.col("item_date").desc(), "url", "page_id").limit(10)
     ten = top.agg(F.array_sort(F.collect_list(F.struct((-F.unix_date("item_date")).alias("k"), "url", "page_id", "item_date"))).alias("a")).select(F.posexplode("a").alias("n", "x"))
@@ -137,10 +140,12 @@ def table_block(spark, d):
 def _labelled(spark, d):
     """Rows looked up by the labels of the brand dimension."""
     brands = table(spark, d, "part").select(F.lower("p_brand").alias("label")).distinct().withColumn("target", F.col("label"))
-    return E.lookup_labelled_row(E.labelled_rows(X.html_tables(spark, d)), brands)
+    docs = X.html_tables(spark, d)
+    return E.lookup_labelled_row(docs, E.labelled_rows(docs), brands)
 
 
-@query("labelled_row_unique", "select p_partkey doc_id, lower(p_brand) target, case when p_partkey % 5 = 0 then 2 else 1 end n_matches, case when p_partkey % 5 <> 0 then p_size::double end first_cell, case when p_partkey % 5 = 0 then 'ambiguous row' end reason from part")
+@query("labelled_row_unique", """with b as (select distinct lower(p_brand) target from part) select p_partkey doc_id, target, case when lower(p_brand) <> target then 0 when p_partkey % 5 = 0 then 2 else 1 end::int n_matches, case when lower(p_brand) = target and p_partkey % 5 <> 0 then p_size::double end first_cell,
+case when lower(p_brand) <> target then 'no row' when p_partkey % 5 = 0 then 'ambiguous row' end reason from part, b""")
 def labelled_row_unique(spark, d):
     return _labelled(spark, d).select("doc_id", "target", F.col("n_matches").cast("int").alias("n_matches"), C.number_from_cell(F.get("cells", F.lit(0))).alias("first_cell"), "reason")
 
@@ -160,9 +165,9 @@ def pick_metrics(spark, d):
     return E.pick_metrics(_numbered(spark, d), metrics, ["doc_id"])
 
 
-@query("join_metric_defs", "select p_partkey doc_id, lower(p_brand) \"label\", p_brand || ' price' metric_id, p_retailprice as value from part where p_brand like 'Brand#1%'")
+@query("join_metric_defs", "select p_partkey doc_id, lower(p_brand) \"label\", p_brand || ' price' metric_id, p_retailprice as value from part")
 def join_metric_defs(spark, d):
-    defs = table(spark, d, "part").filter("p_brand like 'Brand#1%'").select("p_brand").distinct()
+    defs = table(spark, d, "part").select("p_brand").distinct()
     metrics = defs.select(F.lower("p_brand").alias("row_label"), F.concat("p_brand", F.lit(" price")).alias("metric_id"), F.lit(1).alias("number_index"))
     return E.pick_metrics(_numbered(spark, d), metrics, ["doc_id", "label"])
 
@@ -234,10 +239,36 @@ def numbers_in_text(spark, d):
 
 @query("nearest_preceding", "select event_id doc_id, strftime(ts, '%Y-%m-%d') release_date, '/press/' || event_id href, floor(value) / 100 rate from events")
 def nearest_preceding(spark, d):
-    around = E.context_before_after(F.col("body"), r"<a\s[^>]*>", 1800, 3000)
-    rows = X.event_pages(spark, d).select("doc_id", around.alias("x"))
-    date = E.last_match(F.col("x.before"), r"([A-Z][a-z]+ \d{1,2}, \d{4})")
-    return rows.select("doc_id", C.parse_release_date(date).cast("string").alias("release_date"), C.group(F.col("x.hit"), r"href='([^']*)'").alias("href"), C.number(C.group(F.col("x.after"), rf"target is now ({C.NUMBER})%")).alias("rate"))
+    """The first anchor whose date, title and sentence parse: of every other page that is the second."""
+    other = F.when(F.col("doc_id") % 2 == 0, F.lit("<p>June 1, 2020</p><a href='/about'>About the bank</a>")).otherwise(F.lit(""))
+    contexts = E.anchors_in_context(F.concat(other, F.col("body")), r"<a\s[^>]*>", 1800, 3000)
+
+    def parse(x):
+        date = C.parse_release_date(E.last_match(x["before"], r"([A-Z][a-z]+ \d{1,2}, \d{4})"))
+        title = C.group(x["after"], "^(Bank sets[^<]*)</a>")
+        return F.struct(date.cast("string").alias("release_date"), title.alias("title"), C.group(x["hit"], r"href='([^']*)'").alias("href"), C.number(C.group(x["after"], rf"target is now ({C.NUMBER})%")).alias("rate"))
+
+    rows = X.event_pages(spark, d).select("doc_id", E.first_that_parses(contexts, parse, "release_date", "title", "rate").alias("x"))
+    return rows.select("doc_id", "x.release_date", "x.href", "x.rate")
+
+
+@query("character_references", """select event_id doc_id, ['a < b & c', '−0.4 %', 'é – ∑', '&lt; stays', '€ “x”', '&nothing; & x'][(event_id % 6 + 1)::int] body from events""")
+def character_references(spark, d):
+    """Named references beyond the common ones, decimal and hexadecimal numbers, what browsers read for 128 to 159, and no reference at all."""
+    texts = F.array(*map(F.lit, ("a &lt; b &amp; c", "&#8722;0.4&#160;&#x25;", "&eacute; &ndash; &sum;", "&amp;lt; stays", "&#128; &#147;x&#x94;", "&nothing; & x")))
+    body = C.html_to_text(F.concat(F.lit("<p>"), F.get(texts, (F.col("event_id") % 6).cast("int")), F.lit("</p>")))
+    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), body.alias("body"))
+
+
+@query("title_rules", "select page_id, ['Script ' || page_id, 'Rate decision ' || page_id, 'Other ' || page_id, 'Head ' || page_id][(page_id % 4 + 1)::int] title from pages")
+def title_rules(spark, d):
+    """A script's title first, then the preferred h1 among several, one that is no search page's, the title element."""
+    k, i = F.col("page_id") % 4, F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit("<head><title>Head "), i, F.lit("</title></head>"), F.when(k == 0, F.concat(F.lit('<script>var x = {title: "Script '), i, F.lit('"}</script>'))).otherwise(F.lit("")), F.lit("<h1>Search Results</h1>"),
+        F.when(k < 3, F.concat(F.lit("<h1>Other "), i, F.lit("</h1>"))).otherwise(F.lit("")), F.when(k == 1, F.concat(F.lit("<h1>Rate decision "), i, F.lit("</h1>"))).otherwise(F.lit("")),
+    )
+    return pages(spark, d).select("page_id", E.extract_title(html, (E.META_TITLE, E.SCRIPT_TITLE), "^Rate").alias("title"))
 
 
 _HISTORY = """with r as (select event_id doc_id, add_months(ts::date, 1) release_date, strftime(ts, '%Y-%m') period, null::double actual, 0.5::double forecast, 0.6::double previous from events
@@ -271,6 +302,29 @@ def schedule_rows(spark, d):
     return rows.select("doc_id", F.date_format("reference_period", "yyyy-MM").alias("period"), F.unix_millis(F.col("release_ts").cast("timestamp")).alias("release_ms"))
 
 
+_LAYOUTS = """select event_id doc_id, 'sentence' layout, strftime(ts - interval 1 month, '%Y-%m') period, epoch_ms((ts::date + interval '8 hours 30 minutes') at time zone 'America/New_York') release_ms from events
+union all select event_id, 'dates', strftime(ts - interval 1 month, '%Y-%m'), epoch_ms((ts::date + interval '9 hours 45 minutes') at time zone 'America/Toronto') from events
+union all select event_id, 'next', strftime(ts - interval 1 month, '%Y-%m'), epoch_ms((ts::date + case when event_id % 2 = 0 then interval '7 hours' else interval '9 hours 30 minutes' end) at time zone 'Europe/London') from events"""
+
+
+@query("schedule_layouts", _LAYOUTS)
+def schedule_layouts(spark, d):
+    """A sentence, a table of one year's dates, and a page's next release with and without a time."""
+    e = table(spark, d, "events")
+    day = lambda fmt: F.date_format("ts", fmt)
+    texts = {
+        "sentence": (F.concat(F.lit("The data for "), F.date_format(F.add_months(F.to_date("ts"), -1), "MMMM yyyy"), F.lit(" are scheduled to be released on "), day("EEEE, MMMM d, yyyy"), F.lit(", at 8:30 a.m. (ET).")), "America/New_York", None),
+        "dates": (F.concat(F.lit("Schedule: Wednesday, "), day("MMMM d"), F.lit(" Monetary report")), "America/Toronto", "year"),
+        "next": (F.concat(F.lit("GDP. Next release: "), day("d MMMM yyyy"), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.lit(" at 9:30am")), F.lit(".")), "Europe/London", None),
+    }
+    parts = []
+    for layout, (text, tz, year) in texts.items():
+        docs = e.select(F.col("event_id").alias("doc_id"), text.alias("text"), F.year("ts").alias("year"))
+        rows = E.extract_schedule(docs, tz, layout=layout, year=year)
+        parts.append(rows.select("doc_id", F.lit(layout).alias("layout"), F.date_format("reference_period", "yyyy-MM").alias("period"), F.unix_millis(F.col("release_ts").cast("timestamp")).alias("release_ms")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("change_period", "select event_id doc_id, strftime(ts - interval 1 month, '%Y-%m') from_period, strftime(ts, '%Y-%m') period from events")
 def change_period(spark, d):
     text = F.concat(F.lit("Change from: "), F.date_format(F.add_months(F.to_date("ts"), -1), "MMM. yyyy"), F.lit("(p) - "), F.date_format("ts", "MMM yyyy"), F.lit(" (p)"))

@@ -118,6 +118,16 @@ def period_labels(spark, d):
     return X.series(spark, d).select("series_id", C.display_period(p).alias("display"), C.mom_label(p).alias("mom_label"), C.yoy_label(p).alias("yoy_label"))
 
 
+@query("period_words", """select event_id doc_id, case event_id % 6 when 0 then null when 1 then null when 2 then '2025-05' when 3 then '2026-06' when 4 then strftime(ts, '%Y-%m') else '2024-09' end period,
+case event_id % 6 when 2 then 5 when 3 then 9 when 5 then 12 end::int as month from events""")
+def period_words(spark, d):
+    """Words that only begin like a month are none; of several months named, the last counts."""
+    k = F.col("event_id") % 6
+    text = F.when(k == 0, "It was decided 2026 targets stay").when(k == 1, "Mayor 2025 augmented 2024 marched").when(k == 2, "augmented 2025, of May 2025.").when(k == 3, "May 2025 to June 2026").when(k == 4, F.concat(F.lit("2019 JAN, revised; "), F.date_format("ts", "MMM. yyyy"))).otherwise("Sept. 2024 Results")
+    word = F.when(k == 0, "decided").when(k == 1, "Mayor").when(k == 2, " MAY ").when(k == 3, "Sept.").when(k == 4, "").otherwise("december")
+    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.date_format(C.to_period(text), "yyyy-MM").alias("period"), C.month_no(word).alias("month"))
+
+
 # readers
 
 
@@ -168,6 +178,14 @@ def header_rules(spark, d):
     return heads.withColumn("role", R.header_role(F.col("header")))
 
 
+@query("series_columns", f"{SERIES}, s as (select distinct series_id from series), h as (select series_id doc_id, col_no, series_id || ': ' || h header, role from s, (values (1, 'GDP contribution to growth', null), (2, 'GDP Index', 'index'), (3, 'GDP month-on-month growth', 'mom'), (4, 'GDP index, second', 'index'), (5, 'Year on Year growth', 'yoy')) t(col_no, h, role)) select doc_id, role, min(col_no)::int col_no, arg_min(header, col_no) header from h where role is not null group by all")
+def series_columns(spark, d):
+    """The first column of each role, by the headers of every file."""
+    names = F.array(*map(F.lit, ("GDP contribution to growth", "GDP Index", "GDP month-on-month growth", "GDP index, second", "Year on Year growth")))
+    heads = X.series(spark, d).select(F.col("series_id").alias("doc_id")).distinct().select("doc_id", F.posexplode(F.transform(names, lambda h: F.concat("doc_id", F.lit(": "), h))).alias("pos", "header"))
+    return R.resolve_series_columns(heads.select("doc_id", (F.col("pos") + 1).alias("col_no"), "header"))
+
+
 @query("series_identity", "select s_suppkey, case when s_suppkey % 7 = 0 then 'not expected' when s_suppkey % 5 = 0 then 's_name differs' when s_suppkey % 3 = 0 then 's_nationkey differs' end reason from supplier")
 def series_identity(spark, d):
     meta = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -235,9 +253,10 @@ def content_hash(spark, d):
     return table(spark, d, "events").select("event_id", C.content_hash(F.col("props")).alias("hash"))
 
 
-@query("pages_hash", "select user_id, sha256(string_agg(props, '' order by event_id)) hash from events group by 1")
+@query("pages_hash", "select user_id, event_type, strftime(ts, '%Y-%m-%d') \"day\", sha256(string_agg(props, '' order by event_id)) hash from events group by all")
 def pages_hash(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(C.pages_hash(F.col("event_id"), F.col("props")).alias("hash"))
+    """Documents of a release and source by day: a document's pages are few, whatever a release has."""
+    return table(spark, d, "events").groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(C.pages_hash(F.col("event_id"), F.col("props")).alias("hash"))
 
 
 @query("bounds_check", "select event_id, case when value / 20 not between -1 and 25 then 'out of bounds' end policy_rate, case when value / 20 not between 0 and 30 then 'out of bounds' end unemployment from events")

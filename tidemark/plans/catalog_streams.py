@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.detect import POLICY
 from ..sources import readers
 from ..sources.fixtures import event_time
 from ..streaming import jobs as J
@@ -30,6 +31,17 @@ def stream_change_detect(spark, d):
     return J.run_once(J.detect_changes_stream(captures(spark, d)), "changes", rocks=True)
 
 
+@query("stream_change_policies", f"""{views('captures')}, v as (select release_id, source_id, seq, captured_at, case when seq % 11 <> 0 then etag end e, case when seq % 6 <> 0 then actual end a from captures), f as (select *, lag(seq) over w is not null there, lag(e) over w pe, lag(a) over w pa from v window w as (partition by release_id, source_id order by captured_at, seq)),
+g as (select *, there and source_id <> 'error' and case when source_id = 'purchase' then coalesce(e, '') <> coalesce(pe, '') else coalesce(e <> pe, false) end h, there and source_id <> 'view' and case when source_id = 'purchase' then a is distinct from pa else coalesce(a <> pa, false) end c from f)
+select release_id, source_id, seq, case when h and c then 'headers+content' when h then 'headers' else 'content' end as "method" from g where h or c""")
+def stream_change_policies(spark, d):
+    """Null etags and values, a source whose blanks count, one whose etag and one whose value doesn't, and sources without a policy."""
+    on, off = True, False
+    policies = [("strict", "purchase", off, on, off, off, off, on, off), ("value", "error", off, off, off, off, off, on, on), ("etag", "view", off, on, off, off, off, off, on)]
+    rows = captures(spark, d).withColumns({"etag": F.when(F.col("seq") % 11 != 0, F.col("etag")), "actual": F.when(F.col("seq") % 6 != 0, F.col("actual"))})
+    return J.run_once(J.detect_changes_stream(rows, spark.createDataFrame(policies, POLICY)), "policies", rocks=True)
+
+
 @query("stream_first_hit", f"{views('polled')} select distinct release_id, source_id from polled")
 def stream_first_hit(spark, d):
     return J.run_once(J.first_hit_stream(captures(spark, d)).select("release_id", "source_id"), "first-hit")
@@ -47,11 +59,12 @@ def stream_deadline(spark, d):
     return J.run_once(J.deadline_stream(captures(spark, d)), "deadline", rocks=True)
 
 
-@query("stream_confirm", f"""{views('polled')} select a.release_id, a.seq l_seq, b.seq r_seq, b.source_id, case when abs(a.actual - b.actual) < 1e-6 then 'CONFIRMED' else 'MISMATCH' end status
-from polled a join polled b on a.release_id = b.release_id and a.source_id = 'purchase' and b.source_id <> 'purchase' and b.captured_at between a.captured_at and a.captured_at + interval 3 day""")
+@query("stream_confirm", f"""{views('polled')}, w as (select least(max(captured_at) filter (source_id = 'purchase'), max(captured_at) filter (source_id <> 'purchase')) - interval 1 hour mark from polled) select a.release_id, a.seq l_seq, b.seq r_seq, b.source_id, case when abs(a.actual - b.actual) < 1e-6 then 'CONFIRMED' else 'MISMATCH' end status
+from polled a join polled b on a.release_id = b.release_id and a.source_id = 'purchase' and b.source_id <> 'purchase' and b.captured_at between a.captured_at and a.captured_at + interval 3 day
+union all select release_id, seq, null, null, 'NOT_UPDATED' from polled a, w where source_id = 'purchase' and a.captured_at + interval 3 day < mark and not exists (select 1 from polled b where b.release_id = a.release_id and b.source_id <> 'purchase' and b.captured_at between a.captured_at and a.captured_at + interval 3 day)""")
 def stream_confirm(spark, d):
-    """Pairs only: whether a late primary without a partner is out yet depends on the watermark."""
-    return J.run_once(J.confirm_stream(captures(spark, d)), "confirm").filter("status <> 'NOT_UPDATED'")
+    """Pairs, and the primaries without a partner that the last watermark has passed."""
+    return J.run_once(J.confirm_stream(captures(spark, d)), "confirm")
 
 
 @query("stream_leaderboard", f"{views('first_hits')} select release_id, source_id, seq, row_number() over (partition by release_id order by captured_at, source_id) \"rank\" from first_hits")

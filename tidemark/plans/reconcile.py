@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,22 +88,27 @@ def verify_third_party(official: DataFrame, rows: DataFrame, keys: list[str], va
     return joined.groupBy(*keys).agg(F.min(F.col("_at") - F.col("_o")).alias("delay_ms"), F.count("*").alias("n_rows"))
 
 
-#: Extractors by source kind.
-EXTRACTORS: dict = {}
+#: Extractors by source kind: name of an output column -> its expression over a capture.
+EXTRACTORS: dict[str, dict[str, Column]] = {}
 
 
-def register_extractor(kind: str, extractor) -> None:
-    """Makes ``extractor`` (DataFrame -> DataFrame) the one for captures of a kind."""
+def register_extractor(kind: str, extractor: dict[str, Column]) -> None:
+    """Makes ``extractor`` the one for captures of a kind."""
     EXTRACTORS[kind] = extractor
 
 
-def dispatch(captures: DataFrame, extractors: dict | None = None, kind: str = "kind") -> DataFrame:
-    """All captures through the extractor of their kind; kinds without one are left out."""
-    parts = [captures.filter(F.col(kind) == k).transform(f) for k, f in (extractors or EXTRACTORS).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def dispatch(captures: DataFrame, keep: list[str], extractors: dict[str, dict[str, Column]] | None = None, kind: str = "kind") -> DataFrame:
+    """``keep``, the kind, all extractors' columns and ``reason`` of every capture, in one pass.
+
+    A column that a kind's extractor does not give is null; a kind without one has the
+    reason 'no extractor'.
+    """
+    known = EXTRACTORS if extractors is None else extractors
+    k = F.col(kind)
+    names = list(dict.fromkeys(name for e in known.values() for name in e))
+    columns = [reduce(lambda rest, x, n=name: F.when(k == x[0], x[1][n]).otherwise(rest) if n in x[1] else rest, known.items(), F.lit(None)).alias(name) for name in names]
+    there = reduce(lambda a, x: a | k.eqNullSafe(x), known, F.lit(False))
+    return captures.select(*keep, kind, *columns, F.when(~there, "no extractor").alias("reason"))
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:

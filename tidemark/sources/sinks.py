@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def release_documents(obs: DataFrame, order: str, fields: list[str], key: str = "release_id") -> DataFrame:
-    """One JSON document per release with its metrics in definition order."""
+def release_documents(obs: DataFrame, order: str, fields: list[str], key: str = "release_id", evidence: DataFrame | None = None) -> DataFrame:
+    """One JSON document per release with its metrics in definition order, and the columns of ``evidence``: matched sources, warnings, latency."""
     metrics = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*fields).alias("m"))))
     docs = obs.groupBy(key).agg(F.transform(metrics, lambda x: x["m"]).alias("metrics"))
-    return docs.select(key, F.to_json(F.struct(key, "metrics")).alias("document"))
+    if evidence is not None:
+        docs = docs.join(evidence, key, "left")
+    return docs.select(key, F.to_json(F.struct(key, "metrics", *[c for c in docs.columns if c not in (key, "metrics")])).alias("document"))
 
 
 def write_release_json(docs: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from ..sources.staging import shared_path
+from ..sources.staging import Staging, shared_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,34 +36,52 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", rocks: bool = F
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _differs(now, before, blank_is_same: bool) -> bool:  # noqa: ANN001
+    n, b = ("" if x is None else x for x in (now, before))
+    return n != b and not (blank_is_same and "" in (n, b))
+
+
 class ChangeDetector(StatefulProcessor):
-    """Keeps the last etag and value of a source; emits a row whenever either differs."""
+    """Keeps the last etag and value of a source; emits a row whenever either differs by the source's policy.
+
+    ``policies``: source -> whether its etag and its value count, and whether a blank on
+    either side hides a difference; a source without one has the default of all three.
+    """
+
+    def __init__(self, policies: dict[str, tuple[bool, bool, bool]]):
+        self.policies = policies
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "captured_at timestamp, seq long, etag string, actual double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        polls = sorted(row for part in rows for row in zip(part["captured_at"], part["seq"], part["etag"], part["actual"], strict=True))
+        use_etag, use_value, blank = self.policies.get(key[1], (True, True, True))
+        polls = [row for part in rows for row in zip(part["captured_at"], part["seq"], part["etag"], part["actual"], strict=True)]
+        polls = sorted(((at, seq, etag, None if pd.isna(actual) else float(actual)) for at, seq, etag, actual in polls), key=lambda x: x[:2])
         known = self.last.get()  # none for a new source; one call to the store instead of two
         tag, value = (known[2], known[3]) if known else (None, None)
         first, out = known is None, []
         for _, seq, etag, actual in polls:
-            by_header, by_value = not first and etag != tag, not first and actual != value
+            by_header, by_value = not first and use_etag and _differs(etag, tag, blank), not first and use_value and _differs(actual, value, blank)
             if by_header or by_value:
                 out.append((key[0], key[1], int(seq), "headers+content" if by_header and by_value else "headers" if by_header else "content"))
             tag, value, first = etag, actual, False
         at, seq, etag, actual = polls[-1]
-        self.last.update((at.to_pydatetime(), int(seq), etag, float(actual)))
+        self.last.update((at.to_pydatetime(), int(seq), etag, actual))
         yield pd.DataFrame(out, columns=["release_id", "source_id", "seq", "method"])
 
     def close(self) -> None:
         pass
 
 
-def detect_changes_stream(captures: DataFrame) -> DataFrame:
-    """Every capture that differs from its source's capture before."""
+def detect_changes_stream(captures: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Every capture that differs from its source's capture before; a source's captures must arrive in order of time.
+
+    ``policies``: a row per source as in batch, a bounded dimension.
+    """
+    known = {r.source_id: (r.use_etag, r.use_value, r.blank_is_same) for r in policies.collect()} if policies is not None else {}
     rows = captures.select("release_id", "source_id", "seq", "captured_at", "etag", "actual")
-    return rows.groupBy("release_id", "source_id").transformWithStateInPandas(ChangeDetector(), "release_id long, source_id string, seq long, method string", "Append", "None")
+    return rows.groupBy("release_id", "source_id").transformWithStateInPandas(ChangeDetector(known), "release_id long, source_id string, seq long, method string", "Append", "None")
 
 
 def in_poll_window(captures: DataFrame, window: str = "3 days") -> DataFrame:
@@ -147,26 +165,34 @@ def confirm_stream(captures: DataFrame, primary: str = "purchase", window: str =
     return joined.select(F.col("l_release").alias("release_id"), "l_seq", "r_seq", F.col("r_source").alias("source_id"), status.alias("status"))
 
 
-def leaderboard_stream(captures: DataFrame, name: str = "leaderboard") -> DataFrame:
-    """First hits upserted batch by batch: only the sources a batch touches are merged, by new table versions.
+#: Folders of the leaderboard's table; a batch rewrites those of the releases that it touches.
+BUCKETS = 64
+HITS = "release_id long, source_id string, captured_at timestamp, seq long, bucket int"
+
+
+def leaderboard_stream(captures: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """First hits upserted batch by batch into a table at ``path``; its rows, ranked per release.
 
-    Returns the last version's rows, ranked per release.
+    A batch reads and rewrites only the buckets of the releases that it touches, and a hit is
+    a minimum, so a batch that runs again changes nothing. With the same ``path`` and
+    ``checkpoint`` a later run goes on where the last one stopped.
     """
     spark: SparkSession = captures.sparkSession
-    version = {"path": None}
-    schema = "release_id long, source_id string, captured_at timestamp, seq long"
+    path, checkpoint = path or shared_path(spark, "leaderboard"), checkpoint or shared_path(spark, "leaderboard-checkpoint")
+    spark.createDataFrame([], HITS).write.mode("append").partitionBy("bucket").parquet(path)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy("release_id", "source_id").agg(F.min(F.struct("captured_at", "seq")).alias("h")).select("release_id", "source_id", "h.*")
-        if version["path"]:
-            new = spark.read.schema(schema).parquet(version["path"]).unionByName(new).groupBy("release_id", "source_id").agg(F.min(F.struct("captured_at", "seq")).alias("h")).select("release_id", "source_id", "h.*")
-        path = shared_path(spark, f"{name}-{epoch}")
-        new.write.parquet(path)
-        version["path"] = path
+        new = batch.withColumn("bucket", F.expr(f"pmod(xxhash64(release_id), {BUCKETS})").cast("int"))
+        first = lambda rows: rows.groupBy("bucket", "release_id", "source_id").agg(F.min(F.struct("captured_at", "seq")).alias("h")).select("release_id", "source_id", "h.*", "bucket")
+        with Staging(spark) as tables:
+            new = tables.put(first(new), "leaderboard-new")
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+            old = spark.read.schema(HITS).parquet(path).filter(F.col("bucket").isin(touched))
+            merged = tables.put(first(old.unionByName(new)), "leaderboard-merged")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     stream = in_poll_window(captures).select("release_id", "source_id", "captured_at", "seq")
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(schema).parquet(version["path"]) if version["path"] else spark.createDataFrame([], schema)
     by = Window.partitionBy("release_id").orderBy("captured_at", "source_id")
-    return rows.withColumn("rank", F.row_number().over(by))
+    return spark.read.schema(HITS).parquet(path).drop("bucket").withColumn("rank", F.row_number().over(by))
