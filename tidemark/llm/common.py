@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged, table
+from ..sources.staging import Staging, staged, table
 
-__all__ = ["SPACE", "WORD", "let", "staged", "table", "text_of"]
+__all__ = ["SPACE", "Staging", "WORD", "let", "staged", "table", "text_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,28 +2,42 @@
 
 Blocks stand on lines of their own, paragraphs, headings, lists and tables with a blank
 line around them; list items carry their mark and depth; cells of a table line up in
-columns; preformatted text keeps its spaces. Nothing that a reader sees is dropped, and
-nothing hidden is kept: head, script, style, template, closed details, ``hidden`` and
-``display: none`` or ``visibility: hidden``.
+columns, with their own blocks and lists below each other, and spanning cells take the
+places that they span; preformatted text keeps its spaces. Nothing that a reader sees is
+dropped, and nothing hidden is kept: head, script, style, template, closed details,
+``hidden`` and ``display: none``, and what inherits ``visibility: hidden`` and does not turn
+it visible again.
 
 A page is one row and is rendered on its own, so there is no shuffle and no skew beyond
-the longest page. Null HTML gives null text, empty HTML empty text; broken markup is
-closed where it must be; nesting beyond DEPTH is kept flat, so that no page can exhaust
-the stack. Repeated rows give repeated results; other columns are not read.
+the longest page, which is read in time linear in its length: a tag that the next ``<``
+cuts short is text. Null HTML gives null text, empty HTML empty text; broken markup is
+closed where it must be; elements nested deeper than DEPTH are laid out as text of the
+DEPTH-th (hidden ones still go), so that no page can exhaust the stack. A column of a table
+is padded for cells of up to WIDE characters; longer ones run over, so that output stays
+in proportion to the page. Repeated rows give repeated results; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DEPTH = 300
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DEPTH = 200
+#: Characters of a cell up to which its column is padded.
+WIDE = 80
+#: Most columns and rows that a cell may span, as browsers have it.
+COLSPAN, ROWSPAN = 1000, 65534
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>"']|"[^"<]*+(?:<[^"<]*+)*+"|'[^'<]*+(?:<[^'<]*+)*+')*+)>|[^<]+|<""", re.S)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,67 +64,107 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def get(self, name: str) -> str | None:
-        for key, a, b, c in ATTR.findall(self.attrs):
+        for key, a, b, c in ATTR.findall(self.attrs) if self.attrs else ():
             if key.lower() == name:
                 return a or b or c
         return None
 
+    def style(self) -> str:
+        return self.get("style") or "" if self.attrs and "style" in self.attrs.lower() else ""
+
     def hidden(self) -> bool:
+        """Not laid out, with all that it holds."""
         if self.tag in HIDDEN:
             return True
-        low = self.attrs.lower() if self.attrs else ""
-        return bool(low) and (("hidden" in low and self.get("hidden") is not None) or ("style" in low and HIDDEN_STYLE.search(self.get("style") or "") is not None))
+        return bool(self.attrs) and (("hidden" in self.attrs.lower() and self.get("hidden") is not None) or NO_DISPLAY.search(self.style()) is not None)
+
+    def shown(self, above: bool) -> bool:
+        """Whether text is visible here, where it is ``above`` or not."""
+        m = VISIBILITY.search(self.style())
+        return m[1].lower() == "visible" if m else above
+
+
+class Open:
+    """The open elements; those below DEPTH are no nodes of the tree, and only tell whether their text is hidden."""
+
+    def __init__(self, root: Node):
+        self.stack, self.count, self.hidden = [root], Counter(), 0
+
+    def push(self, node: Node) -> None:
+        if len(self.stack) < DEPTH:
+            self.stack[-1].children.append(node)
+        else:
+            self.hidden += node.hidden() or not node.shown(True)
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes all from place ``at`` on."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.count[node.tag] -= 1
+            if len(self.stack) >= DEPTH:
+                self.hidden -= node.hidden() or not node.shown(True)
+
+    def add(self, child: Node | str) -> None:
+        if not self.hidden:
+            self.stack[min(len(self.stack), DEPTH) - 1].children.append(child)
+
+    def close(self, tags: tuple[str, ...], stops: tuple[str, ...] | frozenset) -> None:
+        """Closes the open ones of ``tags`` that lie above every one of ``stops``."""
+        while any(self.count[t] for t in tags):
+            at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag in tags or self.stack[i].tag in stops), 0)
+            if not at or self.stack[at].tag not in tags:
+                return
+            self.cut(at)
+
+    def end(self, tag: str) -> None:
+        """An end tag: it closes its element unless a scope lies between."""
+        if not self.count[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                self.cut(i)
+                return
+            if self.stack[i].tag in SCOPE and tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot", "template"):
+                return
 
 
 def parse(source: str) -> Node:
     """The tree of a page."""
     root = Node("html")
-    stack, at = [root], 0
-
-    def close(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in tags:
-                del stack[i:]
-                if not any(x.tag in tags for x in stack[1:]):
-                    break
-
+    open_, at = Open(root), 0
     while at < len(source):
         m = TOKEN.match(source, at)
         at = m.end()
         tag = m["tag"]
         if tag is None:
             if (text := m[0])[:2] not in ("<!", "<?"):
-                stack[-1].children.append(text)
+                open_.add(text)
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot", "template"):
-                    break
+            open_.end(tag)
             continue
         if tag == "html":
             root.attrs = root.attrs or m["attrs"]
             continue
         if tag in ENDS:
-            close(*ENDS[tag])
+            open_.close(*ENDS[tag])
         if tag in ENDS_P:
-            close(("p",), tuple(SCOPE))
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            stack[-1].children.append(row := Node("tr"))  # the row that the markup leaves out
-            stack.append(row)
+            open_.close(("p",), SCOPE)
+        if tag in ("td", "th") and open_.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            open_.push(Node("tr"))  # the row that the markup leaves out
         node = Node(tag, m["attrs"])
-        stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
+            open_.add(node)
             at = end.end() if end else len(source)
-        elif tag not in VOID and not m["attrs"].rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag in VOID or m["attrs"].rstrip().endswith("/"):
+            open_.add(node)
+        else:
+            open_.push(node)
     return root
 
 
@@ -145,48 +199,74 @@ class Layout:
         return "".join(self.out)
 
 
-def _table(node: Node) -> str:
-    """Rows of a table with its cells in aligned columns; a spanning cell takes its columns' places."""
-    rows: list[list[tuple[str, int]]] = []
-    captions: list[str] = []
+def _span(cell: Node, name: str, most: int) -> int:
+    n = cell.get(name) or "1"
+    return max(1, min(int(n), most)) if n.isascii() and n.isdigit() and len(n) < 9 else 1
 
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str) or c.hidden():
-                if isinstance(c, str) and c.strip():
-                    captions.append(" ".join(entities.unescape(c).split()))
-            elif c.tag == "tr":
-                cells = [x for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and not x.hidden()]
-                rest = Node("div")
-                rest.children = [x for x in c.children if isinstance(x, str) or x.tag not in ("td", "th")]
-                if stray := " ".join(render(rest).split()):
-                    captions.append(stray)
-                rows.append([(" ".join(render(x).split()), int(s) if (s := x.get("colspan") or "1").isdigit() and 0 < int(s) < 1000 else 1) for x in cells])
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                walk(c)
-            elif t := " ".join(render(c).split()):
-                captions.append(t)
-
-    walk(node)
+
+def _rows(node: Node, shown: bool) -> tuple[list[str], list[list[tuple[Node, bool]]]]:
+    """Lines of a table that are in no cell, and its rows of cells."""
+    loose, rows = [], []
+    for c in node.children:
+        if isinstance(c, str):
+            if shown and c.strip():
+                loose.append(" ".join(entities.unescape(c).split()))
+        elif c.hidden():
+            continue
+        elif c.tag == "tr":
+            inside = c.shown(shown)
+            stray = Node("div")
+            stray.children = [x for x in c.children if isinstance(x, str) or x.tag not in ("td", "th")]
+            if line := " ".join(render(stray, inside).split()):
+                loose.append(line)
+            rows.append([(x, x.shown(inside)) for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and not x.hidden()])
+        elif c.tag in ("tbody", "thead", "tfoot"):
+            more = _rows(c, c.shown(shown))
+            loose += more[0]
+            rows += more[1]
+        elif line := " ".join(render(c, shown).split()):
+            loose.append(line)
+    return loose, rows
+
+
+def _table(node: Node, shown: bool) -> str:
+    """Rows of a table with its cells in aligned columns."""
+    loose, rows = _rows(node, shown)
+    placed: list[list[tuple[int, int, list[str]]]] = []  # per row: column, columns, lines of each cell
+    taken: dict[int, int] = {}  # column -> rows below that a spanning cell holds
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    lines = captions
-    for row in rows:
-        at, cells = 0, []
-        for text, span in row:
-            cells.append(text.ljust(sum(widths.get(at + i, 0) + 2 for i in range(span)) - 2))
-            at += span
-        if line := "  ".join(cells).rstrip():
-            lines.append(line)
-    return "\n".join(lines)
-
-
-def render(root: Node) -> str:
+        at, cells, held = 0, [], dict(taken)
+        for cell, visible in row:
+            while held.get(at, 0):
+                at += 1
+            across, down = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
+            lines = [line.rstrip() for line in render(cell, visible).split("\n")]
+            cells.append((at, across, lines))
+            if across == 1 and (fit := [len(x) for x in lines if len(x) <= WIDE]):
+                widths[at] = max(widths.get(at, 0), *fit)
+            if down > 1:
+                taken.update((i, down) for i in range(at, at + across))
+            at += across
+        taken = {i: n - 1 for i, n in taken.items() if n > 1}
+        placed.append(cells)
+    columns = sorted(widths)
+    starts = dict(zip(columns, accumulate((widths[c] + 2 if widths[c] else 0 for c in columns), initial=0), strict=False))
+    out = loose
+    for cells in placed:
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line, after = "", 0
+            for at, _, lines in cells:
+                if text := lines[i] if i < len(lines) else "":
+                    after = starts[at] if at in starts else starts.get(next(iter(columns[bisect_left(columns, at) :]), -1), after)
+                    line = line.ljust(max(after, len(line) + 2 if line else 0)) + text
+            if line or any(any(lines[i + 1 :]) for _, _, lines in cells):
+                out.append(line)
+    return "\n".join(out)
+
+
+def render(root: Node, shown: bool = True) -> str:
+    """Text of an element, whose surroundings are visible or not."""
     out = Layout()
 
     def lines(text: str) -> None:
@@ -194,20 +274,21 @@ def render(root: Node) -> str:
             out.put(line)
             out.gap(1)
 
-    def visit(n: Node, pre: bool) -> None:
+    def visit(n: Node, pre: bool, shown: bool) -> None:
         tag = n.tag
         if n.hidden():
             return
+        shown = n.shown(shown)
         if tag == "br":
             out.gap(min(2, out.breaks + 1))
             return
         if tag == "img":
-            if alt := n.get("alt"):
+            if shown and (alt := n.get("alt")):
                 out.words(f" {alt} ")
             return
         if tag == "table":
             out.gap(2)
-            if body := _table(n):
+            if body := _table(n, shown):
                 lines(body)
             out.gap(2)
             return
@@ -218,10 +299,12 @@ def render(root: Node) -> str:
         step = 2 if tag in ("ul", "ol", "menu", "dd", "blockquote") else 0
         out.indent += step
         start = n.get("start") or "1"
-        number = int(start) if tag == "ol" and start.isdigit() else 1
+        number = int(start) if tag == "ol" and start.isascii() and start.isdigit() else 1
         closed = tag == "details" and n.get("open") is None
         for c in n.children:
             if isinstance(c, str):
+                if not shown:
+                    continue
                 if pre or tag == "pre":
                     for i, line in enumerate(entities.unescape(c).strip("\n").split("\n")):
                         if i:
@@ -235,15 +318,15 @@ def render(root: Node) -> str:
                     out.gap(1)
                     out.mark = f"{number}. " if tag == "ol" else "- "
                     number += 1
-                    visit(c, pre)
+                    visit(c, pre, shown)
                     out.mark = ""
                 else:
-                    visit(c, pre or tag == "pre")
+                    visit(c, pre or tag == "pre", shown)
         out.indent -= step
         if block:
             out.gap(1 if nested else block)
 
-    visit(root, False)
+    visit(root, False, shown)
     return out.text()
 
 
