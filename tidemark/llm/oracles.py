@@ -15,7 +15,7 @@ m as (select d.doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(
 from d join l using (r) left join x using (r)),
 b as (select *, ((n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (100 * n_symbols > 30 * n_words)::bigint + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines)::bigint + 16 * (100 * n_stutter > 30 * n_words)::bigint
 + 32 * (100 * n_upper > 40 * n_letters)::bigint + 64 * (100 * n_marks > 50 * n_words)::bigint + 128 * (100 * n_letters < 50 * word_chars)::bigint + 256 * (word_chars < 2 * n_words or word_chars > 14 * n_words)::bigint)::bigint fail_bits from m)
-select *, fail_bits & 3 <> 0 base_failed, fail_bits = 0 kept from b""",
+select *, fail_bits & 3 <> 0 base_failed, fail_bits = 0 kept, case when bit_count(fail_bits) = 1 then fail_bits else 0 end lone_bit from b""",
     "op7_ngram_jaccard": rf"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NOT_SPACE}+') w from documents),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) end) g from d), n as (select doc_id, count(*) n from s group by 1),
 i as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
@@ -32,7 +32,7 @@ select conv_id, turn place, -1 as level, 0 pos, 0 part, 'message' kind, 'ok' sta
 union all select d.conv_id, d.turn, d.level, 0, 1, 'call', case when d.n > 30 then 'invalid' when a.id is null then 'no result' else 'linked' end, case when d.n > 30 then 'max_words is not integer' else '' end,
 '{"arguments":{"max_words":' || case when d.n > 30 then '"' || d.n || '"' else d.n::varchar end || ',"style":"plain"},"id":"' || d.id || '","name":"reply","role":"assistant","type":"call"}' from d left join a on a.call_id = d.id
 union all select conv_id, coalesce(call_turn, turn), level, 0, 2, 'result', case when call_id is null then 'no call' else 'linked' end, '', '{"content":' || to_json(text)::varchar || ',"id":"c' || conv_id || '-' || (turn - 1) || '","role":"tool","type":"result"}' from a""",
-    "op3_source_mixing": rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}+'))::bigint size, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 5))::bigint u from documents),
+    "op3_source_mixing": rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}+'))::bigint size, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':' || row_number() over (partition by doc_id, source, coalesce(text, ''))), 1, 5))::bigint u from documents),
 s as (select source, sum(size)::bigint z, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from d group by source),
 o as (select *, sum(z) over () * 150 budget, coalesce(sum(200 * z) over before, 0) full_before, sum(w) over (order by z::double / w, source rows between current row and unbounded following) w_left from s window before as (order by z::double / w, source rows between unbounded preceding and 1 preceding)),
 f as (select (budget - full_before)::double n, w_left::double w from o where 200 * z::double * w_left >= w * (budget - full_before)::double order by z::double / o.w, source limit 1),

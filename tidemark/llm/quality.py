@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger holds the measurements and one
-bit per failed rule, so policies (sets of rules, versioned) and ablations (what each
-rule alone decides) are integer operations on the ledger; the text is never read again.
+bit per failed rule, so policies (sets of rules, versioned) and ablations (what leaving a
+rule out would change) are integer operations on the ledger; the text is never read again.
 
 Everything stays inside one row: no shuffle, no Python. Null text counts as empty
 (no words, base rule fails); repeated rows give repeated ledger rows; an empty table
@@ -99,30 +99,46 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({k: v.cast("long") for k, v in values.items()}).drop("_w", "_l")
 
 
+def _with_bits(book: DataFrame) -> DataFrame:
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(rule(), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()))
+    return book.withColumn("fail_bits", bits.cast("long"))
+
+
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: ``keep``, the measurements and ``fail_bits``."""
-    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(rule(), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()))
-    return measured(docs.select(*keep, F.col(text).alias("_text")), "_text").drop("_text").withColumn("fail_bits", bits.cast("long"))
+    return _with_bits(measured(docs.select(*keep, F.col(text).alias("_text")), "_text").drop("_text"))
+
+
+def _fails(policy: str) -> Column:
+    return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
 
 
 def apply_policy(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept``."""
-    fails = lambda name: F.col("fail_bits").bitwiseAND(F.lit(mask(name))) != 0
-    return book.withColumns({"base_failed": fails("base"), "kept": ~fails("base") & ~fails(policy)})
+    """The ledger with ``base_failed``, ``kept`` and ``lone_bit``: that of the rule without which the document would be kept, 0 for none."""
+    hit = _fails(policy).bitwiseOR(_fails("base"))
+    return book.withColumns({"base_failed": _fails("base") != 0, "kept": hit == 0, "lone_bit": F.when(F.bit_count(hit) == 1, hit).otherwise(F.lit(0).cast("long"))})
 
 
 def ablations(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """Per rule of a policy: documents that fail it, and that fail nothing else (one pass, one row per rule)."""
-    hit = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
-    totals = [F.count("*").alias("n_docs"), F.bit_or("fail_bits").alias("seen_bits")]
-    for name in POLICIES[policy]:
-        totals += [F.count_if(hit.bitwiseAND(F.lit(BIT[name])) != 0).alias(f"{name}_failed"), F.count_if(hit == BIT[name]).alias(f"{name}_only")]
-    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"{n}_failed").alias("failed"), F.col(f"{n}_only").alias("decided_alone")) for n in POLICIES[policy])))
-    return book.agg(*totals).select("n_docs", rows.alias("r")).select(F.lit(policy).alias("policy"), "r.*", "n_docs")
+    """Per rule of a policy, from the ledger: n_docs, ``failed``, ``decided_alone`` (kept without the rule), and two
+    bitwise aggregates over the documents that fail it: ``ever_with`` and ``always_with``, the bits that any, and
+    that all of them have.
+
+    Documents are counted per pattern of bits first, of which there are at most 2 to the
+    number of rules, whatever the corpus.
+    """
+    patterns = book.groupBy(_fails(policy).alias("bits")).agg(F.count("*").alias("n"))
+    n_docs = F.sum("n")
+    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(BIT[n]).cast("long").alias("bit")) for n in POLICIES[policy])))
+    has = F.col("bits").bitwiseAND(F.col("r.bit")) != 0
+    out = patterns.select("bits", "n", rules.alias("r")).groupBy("r.rule").agg(
+        F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("failed"), F.coalesce(F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n"))), F.lit(0)).alias("decided_alone"),
+        F.bit_or(F.when(has, F.col("bits"))).alias("ever_with"), F.bit_and(F.when(has, F.col("bits"))).alias("always_with"), n_docs.alias("n_docs"),
+    )
+    return out.select(F.lit(policy).alias("policy"), "*")
 
 
 def filter_documents(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The documents that the policy keeps, with their own columns only."""
-    bits = measured(docs.withColumn("_doc", F.struct(*docs.columns)).select("_doc", F.col("text").alias("_text")), "_text").drop("_text")
-    fail = reduce(lambda a, b: a | b, (F.coalesce(RULES[name](), F.lit(False)) for name in POLICIES[policy]))
-    return bits.filter(~fail).select("_doc.*")
+    """The documents that the policy keeps by their ledger, with their own columns only."""
+    book = _with_bits(measured(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")), "_text").drop("_text"))
+    return book.filter(_fails(policy).bitwiseOR(_fails("base")) == 0).select("_doc.*")
