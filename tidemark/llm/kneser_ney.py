@@ -1,43 +1,49 @@
 """Quality classifier: interpolated modified Kneser-Ney over characters, ORDER at a time.
 
-Every trusted text is counted (no sample), so the counts grow with the corpus. Count
-tables are sharded by n-gram; continuation counts, context totals and interpolated
-probabilities come from joins and aggregates among them, order by order. Documents are
-scored in their own partitions against the finished table while it has at most
-BROADCAST_ENTRIES entries (checked by a count; characters keep it small); a larger one is
-joined shard by shard with the documents' distinct n-grams, with the same result. A
-document's cross-entropy decides against a quantile of the trusted documents of its
-language, with an allowance for short texts.
+Trusted texts are split by a hash of their ids: one in HELD_OUT sets the thresholds, all
+others are counted (no sample), so the counts grow with the corpus. Count tables are
+sharded by n-gram; continuation counts, context totals and interpolated probabilities come
+from joins and aggregates among them, order by order.
+
+Documents are scored by sharded count joins too, in one form at every size. A batch is a
+bounded run of a file's documents; its distinct n-grams are joined with the model once for
+all batches, shard by shard, and meet the batch's texts again by its key. The model is
+neither broadcast nor collected. A document's cross-entropy decides against a quantile of
+the held-out trusted documents of its language, with an allowance for short texts; the
+quantile is Spark's approximate one, off by one in ACCURACY of the ranks at most.
 
 Characters are code points, those beyond 16 bits taken as one; runs of white space are
 one space and digits are alike. Null text is empty; empty text has no perplexity and
-isn't kept; a language without trusted documents, and a null one, take the quantile of
-all trusted documents; without any trusted text nothing is scored and nothing kept.
-Repeated rows score alike; other columns are not read.
+isn't kept; a language without held-out documents, and a null one, take the quantile of
+all held-out documents, or of all trusted ones where none is held out; without any counted
+text nothing is scored and nothing kept. Repeated rows score alike; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Staging, staged
 
 ORDER = 4
 BITS = 16
-BROADCAST_ENTRIES = 3_000_000
-#: So many ids of trusted documents are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-QUANTILE = 0.99
+#: One trusted document in so many sets thresholds and is not counted.
+HELD_OUT = 5
+QUANTILE, ACCURACY = 0.99, 10_000
 #: Bits that a text of n characters may lie above the quantile: MARGIN + SHORT / sqrt(n).
 MARGIN, SHORT = 0.15, 6.0
 START, END = 2, 3
-CHUNK = 1 << 20
+#: Rows of a batch, by the bytes of its texts; larger texts are batches of their own.
+BATCHES = ((1 << 14, 2048), (1 << 17, 256), (1 << 21, 16))
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -60,6 +66,13 @@ def grams(s: np.ndarray) -> np.ndarray:
     return code
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and where each begins among all of them, with the end."""
+    s = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(s), 1), bool), s[1:] != s[:-1]]))
+    return s[first], np.append(first, len(s))
+
+
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
     """code, c: the ORDER-grams of all texts; batches combine before the shuffle."""
 
@@ -67,8 +80,8 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 codes = [grams(symbols(t.as_py())) for t in batch.column(0).slice(at, 512)]
-                found, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "c"])
+                found, first = distinct(np.concatenate(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.diff(first))], names=["code", "c"])
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -90,14 +103,14 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i) for i, d in zip((1, 2, 3), made, strict=True)]
 
 
-def model(trusted: DataFrame, text: str = "text") -> DataFrame:
+def model(trusted: DataFrame, tables: Staging, text: str = "text") -> DataFrame:
     """kind, code, value: 'p4'..'p1' interpolated probabilities, 'g4'..'g1' weights of contexts.
 
     The context of order 1 is empty (code 0); 'u' (code 0) is the uniform probability.
     """
-    levels = {ORDER: staged(count(trusted, text), "kn-counts")}
+    levels = {ORDER: tables.put(count(trusted, text), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = staged(levels[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.count("*").alias("c")), f"kn-{k}")
+        levels[k] = tables.put(levels[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.count("*").alias("c")), f"kn-{k}")
     uniform = 1.0 / (levels[1].count() + 1)
     parts = [trusted.sparkSession.range(1).select(F.lit("u").alias("kind"), F.lit(0).cast("long").alias("code"), F.lit(uniform).alias("value"))]
     lower = None
@@ -113,118 +126,99 @@ def model(trusted: DataFrame, text: str = "text") -> DataFrame:
         else:
             rows = rows.withColumn("s", _suffix(F.col("code"), k - 1)).join(lower.select(F.col("code").alias("s"), F.col("value").alias("below")), "s")
             p = F.col("g") * F.col("below")
-        probability = staged(rows.select(F.lit(f"p{k}").alias("kind"), "code", (F.greatest(c - discount, F.lit(0.0)) / F.col("total") + p).alias("value")), f"kn-p{k}")
+        probability = tables.put(rows.select(F.lit(f"p{k}").alias("kind"), "code", (F.greatest(c - discount, F.lit(0.0)) / F.col("total") + p).alias("value")), f"kn-p{k}")
         parts += [probability, context.select(F.lit(f"g{k}").alias("kind"), F.col("h").alias("code"), F.col("g").alias("value"))]
         lower = probability
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return staged(out, "kn-model")
-
-
-class Scorer:
-    """The table as sorted arrays per kind."""
-
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
-        self.uniform = float(tables["u"][1][0])
-
-    def look(self, kind: str, codes: np.ndarray) -> np.ndarray:
-        """Values, NaN where there is none."""
-        keys, values = self.tables.get(kind, (np.empty(0, np.uint64), np.empty(0)))
-        if not len(keys):
-            return np.full(len(codes), np.nan)
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return np.where(keys[at] == codes, values[at], np.nan)
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each code's last symbol: the longest known n-gram, weighted down from there."""
-        p, weight = np.full(len(codes), np.nan), np.ones(len(codes))
-        for k in range(ORDER, 0, -1):
-            left = np.flatnonzero(np.isnan(p))
-            if not len(left):
-                break
-            code = codes[left] & np.uint64((1 << BITS * k) - 1) if k < ORDER else codes[left]
-            p[left] = self.look(f"p{k}", code) * weight[left]
-            weight[left] *= np.nan_to_num(self.look(f"g{k}", code >> np.uint64(BITS)), nan=1.0)
-        p = np.where(np.isnan(p), weight * self.uniform, p)
-        return np.log2(p)
-
-
-def _scored_by_broadcast(docs: DataFrame, table: DataFrame) -> DataFrame:
-    rows = table.toPandas()
-    packed = {}
-    for kind, part in rows.groupby("kind"):
-        codes = part["code"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(codes)
-        packed[kind] = (codes[order], part["value"].to_numpy(np.float64)[order])
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    return tables.put(reduce(DataFrame.unionByName, parts), "kn-model")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            at, n_all, bits_all = 0, [], []
-            while at < batch.num_rows:
-                codes, lengths, total = [], [], 0
-                while at < batch.num_rows and total < CHUNK:  # a bounded run of texts, one at least
-                    codes.append(grams(symbols(batch.column(2)[at].as_py())))
-                    lengths.append(len(codes[-1]))
-                    total += lengths[-1]
-                    at += 1
-                found, back = np.unique(np.concatenate(codes), return_inverse=True)
-                each = -scorer.log2(found)[back]
-                ends = np.cumsum([0, *lengths])
-                sums = np.concatenate([[0.0], np.cumsum(each)])
-                n_all += lengths
-                bits_all += (sums[ends[1:]] - sums[ends[:-1]]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_all, pa.int64()), pa.array(bits_all, pa.float64())], names=["doc_id", "lang", "n", "bits"])
-
-    return docs.mapInArrow(run, "doc_id long, lang string, n long, bits double")
-
-
-def _scored_by_shards(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Each row's distinct n-grams against the shards of the table; rows are told apart by a key of their own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, lang, text, key in zip(*(batch.column(i) for i in range(4)), strict=True):
-                found, n = np.unique(grams(symbols(text.as_py())), return_counts=True)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"key": key.as_py(), "doc_id": pd.array([doc.as_py()] * len(found), "Int64"), "lang": pd.array([lang.as_py()] * len(found), "string"), "code": found.view(np.int64), "c": n}), preserve_index=False)
-
-    keyed = staged(docs.withColumn("key", F.monotonically_increasing_id()), "kn-docs")
-    rows = keyed.mapInArrow(run, "key long, doc_id long, lang string, code long, c long")
-    p, weight = F.lit(None).cast("double"), F.lit(1.0)
-    uniform = table.filter("kind = 'u'").first().value
+def bits_of(codes: DataFrame, table: DataFrame) -> DataFrame:
+    """(code, bits) of distinct codes: minus log2 of the probability of each code's last symbol.
+
+    The longest known n-gram counts, weighted down from there by the contexts; all that a
+    code may need is looked up in one join. Null bits where the model is empty.
+    """
+    fixed = {r.kind: r.value for r in table.filter("kind in ('u', 'g1')").collect()}  # two rows
+    wanted = []
     for k in range(ORDER, 0, -1):
         code = _suffix(F.col("code"), k) if k < ORDER else F.col("code")
-        rows = rows.withColumn("s", code).join(table.filter(F.col("kind") == f"p{k}").select(F.col("code").alias("s"), F.col("value").alias(f"p{k}")), "s", "left").drop("s")
-        rows = rows.withColumn("s", _context(code)).join(table.filter(F.col("kind") == f"g{k}").select(F.col("code").alias("s"), F.col("value").alias(f"g{k}")), "s", "left").drop("s")
-        p = F.coalesce(p, F.col(f"p{k}") * weight)
-        weight = weight * F.coalesce(F.col(f"g{k}"), F.lit(1.0))
-    bits = -F.log2(F.coalesce(p, weight * F.lit(uniform))) * F.col("c")
-    sums = rows.groupBy("key").agg(F.sum("c").alias("n"), F.sum(bits).alias("bits"))
-    return keyed.select("key", "doc_id", "lang").join(sums, "key", "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
-
+        wanted.append(F.struct(F.lit(f"p{k}").alias("kind"), code.alias("code")))
+        if k > 1:
+            wanted.append(F.struct(F.lit(f"g{k}").alias("kind"), _context(code).alias("code")))
+    rows = codes.select(F.col("code").alias("of"), F.explode(F.array(*wanted)).alias("w")).select("of", "w.*").join(table, ["kind", "code"])
+    found = rows.groupBy("of").agg(*[F.max(F.when(F.col("kind") == f"{x}{k}", F.col("value"))).alias(f"{x}{k}") for k in range(1, ORDER + 1) for x in "pg"])
+    p = F.coalesce("p1", F.lit(fixed.get("g1")) * F.lit(fixed["u"]))
+    for k in range(2, ORDER + 1):
+        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
+    return codes.join(found, codes["code"] == found["of"], "left").select("code", (-F.log2(p)).alias("bits"))
+
+
+def _batched(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and batch, a key that any reading of the files gives the same rows."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
+    try:
+        rows = docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not a file's rows
+        rows = staged(docs.select(*own), "kn-docs").select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    width = reduce(lambda rest, x: F.when(size < x[0], F.lit(x[1])).otherwise(rest), reversed(BATCHES), F.lit(1))
+    return rows.select("doc_id", "lang", "text", F.xxhash64("file", width, F.floor(F.col("row") / width)).alias("batch"))
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    """(batch, code): the distinct n-grams of each batch, or of what a task holds of it."""
 
-def score(docs: DataFrame, table: DataFrame, most_broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
-    """doc_id, lang, n (symbols), bits of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return (_scored_by_broadcast if table.count() <= most_broadcast else _scored_by_shards)(rows, table)
-
-
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, short: float = SHORT, most_broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            held: dict[int, list[np.ndarray]] = {}
+            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                held.setdefault(key, []).append(grams(symbols(text.as_py())))
+            for key, codes in held.items():
+                found, _ = distinct(np.concatenate(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found.view(np.int64))], names=["batch", "code"])
+
+    return rows.select("batch", "text").mapInArrow(run, "batch long, code long")
+
+
+def _scores(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, lang, n, bits of a batch's texts, from the bits of its n-grams."""
+    keys = table["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, values = keys[order], table["bits"].to_numpy(np.float64)[order]
+    n, bits = [], []
+    for text in texts["text"]:
+        codes = grams(symbols(text))
+        n.append(len(codes))
+        bits.append(float(values[np.searchsorted(keys, codes)].sum()))
+    return pd.DataFrame({"doc_id": texts["doc_id"], "lang": texts["lang"], "n": n, "bits": bits})
+
+
+def score(docs: DataFrame, table: DataFrame, tables: Staging) -> DataFrame:
+    """doc_id, lang, n (symbols), bits of every row; bits are NaN where the model is empty."""
+    rows = _batched(docs)
+    codes = tables.put(_codes(rows), "kn-codes")
+    known = tables.put(bits_of(codes.select("code").distinct(), table), "kn-bits")
+    found = codes.join(known, "code").select("batch", "code", "bits")
+    return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(_scores, "doc_id long, lang string, n long, bits double")
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, short: float = SHORT) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold (bits per symbol) and kept of every row of ``docs``.
 
     ``trusted_ids``: doc_id of the trusted documents.
     """
-    trusted_ids = staged(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "kn-trusted")
-    small = F.broadcast(trusted_ids) if trusted_ids.count() <= BROADCAST_IDS else trusted_ids
-    trusted = docs.join(small, docs["doc_id"].cast("long") == trusted_ids["doc_id"], "left_semi")
-    scored = staged(score(docs, model(trusted), most_broadcast), "kn-scores").withColumn("rate", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
-    allowance = F.lit(short) / F.sqrt("n")
-    known = scored.filter("n > 0").join(small, "doc_id", "left_semi").withColumn("net", F.col("rate") - allowance)
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("net", F.lit(quantile), F.lit(10_000)).alias("own"))
-    overall = known.agg(F.percentile_approx("net", F.lit(quantile), F.lit(10_000)).alias("all"))
-    out = scored.join(by_lang.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l"), "left").join(F.broadcast(overall))
-    limit = F.coalesce("own", "all") + margin + F.when(F.col("n") > 0, allowance)
+    with Staging(docs.sparkSession) as tables:
+        held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+        trusted = tables.put(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("held", held), "kn-trusted")
+        counted = trusted.filter("not held")
+        table = model(docs.join(counted, docs["doc_id"].cast("long") == counted["doc_id"], "left_semi"), tables)
+        # twelve bytes a row or so: the scores, and per language two numbers
+        scored = staged(score(docs, table, tables).withColumn("rate", F.when((F.col("n") > 0) & ~F.isnan("bits"), F.col("bits") / F.col("n"))), "kn-scores")
+        allowance = F.lit(short) / F.sqrt("n")
+        known = scored.filter("rate is not null").join(trusted, "doc_id").withColumn("net", F.col("rate") - allowance)
+        at = lambda c: F.percentile_approx(F.when(c, F.col("net")), F.lit(quantile), F.lit(ACCURACY))
+        by_lang = staged(known.groupBy("lang").agg(at(F.col("held")).alias("own")), "kn-limits")
+        overall = known.agg(F.coalesce(at(F.col("held")), at(F.lit(True))).alias("all")).first()["all"]
+    out = scored.join(by_lang.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l"), "left")
+    limit = F.coalesce(F.col("own"), F.lit(overall).cast("double")) + margin + F.when(F.col("n") > 0, allowance)
     return out.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.pow(F.lit(2.0), F.col("rate")).alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("rate") <= limit, F.lit(False)).alias("kept"))
