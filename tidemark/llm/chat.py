@@ -3,6 +3,7 @@
 Calls and results are hash-joined by conversation and call id, calls are put in
 topological order of their dependencies, arguments are checked against the tools'
 schemas, and every record becomes one line of canonical JSON (keys sorted, no spaces).
+The order takes rounds in the logarithm of the longest chain of calls.
 
 A record's place is (conv_id, place, level, pos, part): a call stands at its own turn or
 that of the latest call it depends on, at a level above it, and its result follows it.
@@ -24,11 +25,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Staging, staged
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 
+#: Levels end here, so that what goes round in a cycle does not overflow.
+MOST = 1 << 29
+
 #: tool -> parameter -> (type, required).
 TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "reply": {"max_words": ("integer", True), "style": ("string", True), "strict": ("boolean", False)},
@@ -66,30 +70,46 @@ def argument_errors(name: Column, arguments: Column, tools: dict = TOOLS) -> Col
     return out
 
 
-def ordered_calls(calls: DataFrame) -> DataFrame:
+def ordered_calls(calls: DataFrame, tables: Staging) -> DataFrame:
     """Calls with ``place`` and ``level``: at or after all that they depend on; null level in a cycle.
 
-    One join per level over the calls still open; where no call depends on another there is none.
+    An open dependency (dep, add, level, place) says that a call stands at least at
+    ``level`` and ``place``, at least ``add`` levels above ``dep`` and not before it. In each
+    round it is settled if ``dep`` is known, and passed on to what ``dep`` itself waits for if
+    that is a single call, so that a chain of n calls takes about log2(n) rounds; calls with
+    several open dependencies wait for them. What no round settles any more is a cycle or
+    hangs on one. Rounds join staged tables on (conv_id, call id).
     """
     key = ["conv_id", "id"]
-    known = calls.filter(F.size("depends_on") == 0).select(*key, F.col("turn").alias("place"), F.lit(0).alias("level"))
-    waiting = staged(calls.filter(F.size("depends_on") > 0).select(*key, "turn", F.explode(F.array_compact(F.array_distinct("depends_on"))).alias("dep")), "chat-waiting")
-    there = calls.select("conv_id", F.col("id").alias("dep")).distinct()
+    waiting = calls.filter(F.size("depends_on") > 0).select(*key, "turn", F.explode(F.array_compact(F.array_distinct("depends_on"))).alias("dep"))
     # dependencies that name no call hold nothing up
-    bare = waiting.join(there, ["conv_id", "dep"], "left_anti").select(*key, "dep")
-    waiting = staged(waiting.join(bare, [*key, "dep"], "left_anti"), "chat-open")
-    freed = calls.filter(F.size("depends_on") > 0).join(waiting.select(*key).distinct(), key, "left_anti").select(*key, F.col("turn").alias("place"), F.lit(0).alias("level"))
-    known = staged(known.union(freed), "chat-known")
-    while not waiting.isEmpty():
-        met = waiting.join(known.select("conv_id", F.col("id").alias("dep"), "place", "level"), ["conv_id", "dep"], "left")
-        step = met.groupBy(*key, "turn").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("place").alias("place"), F.max("level").alias("level")).filter("open = 0")
-        step = staged(step.select(*key, F.greatest("turn", "place").alias("place"), (F.col("level") + 1).alias("level")), "chat-step")
-        if step.isEmpty():
+    there = calls.select("conv_id", F.col("id").alias("dep")).distinct()
+    edges = tables.put(waiting.join(there, ["conv_id", "dep"], "left_semi").select(*key, "dep", F.lit(1).cast("long").alias("add"), F.lit(0).cast("long").alias("level"), F.col("turn").alias("place")), "chat-open")
+    known = tables.put(calls.join(edges.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).cast("long").alias("level"), F.col("turn").alias("place")), "chat-known")
+    left = edges.count()
+    while left:
+        single = edges.groupBy(*key).agg(F.count("*").alias("n"), F.max("dep").alias("to"), F.max("add").alias("by"), F.max("level").alias("floor"), F.max("place").alias("after")).filter("n = 1")
+        state = known.select("conv_id", F.col("id").alias("dep"), F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("by"), F.col("level").alias("floor"), F.col("place").alias("after"))
+        state = state.unionByName(single.select("conv_id", F.col("id").alias("dep"), "to", "by", "floor", "after"))
+        met = edges.join(state.withColumn("met", F.lit(True)), ["conv_id", "dep"], "left")
+        step = met.select(
+            *key, F.when(F.col("met"), F.col("to")).otherwise(F.col("dep")).alias("dep"), F.least(F.col("add") + F.coalesce("by", F.lit(0)), F.lit(MOST)).alias("add"),
+            F.greatest("level", F.when(F.col("met"), F.least(F.col("floor") + F.col("add"), F.lit(MOST)))).alias("level"), F.greatest("place", "after").alias("place"),
+        )
+        step = tables.put(step, "chat-step")
+        settled = step.groupBy(*key).agg(F.count("dep").alias("n"), F.max("level").alias("level"), F.max("place").alias("place")).filter("n = 0").drop("n")
+        # what is settled of a call that waits on stays as the least that its other dependencies allow
+        bounds = step.groupBy(*key).agg(F.max("level").alias("floor"), F.max("place").alias("after"))
+        open_ = tables.put(step.filter("dep is not null").groupBy(*key, "dep").agg(F.max("add").alias("add")).join(bounds, key).select(*key, "dep", "add", F.col("floor").alias("level"), F.col("after").alias("place")), "chat-open")
+        now = tables.put(known.unionByName(settled), "chat-known")
+        tables.drop(edges, known, step)
+        edges, known = open_, now
+        waits = edges.select(*key).distinct().count()
+        if waits == left:
             break
-        known = staged(known.union(step), "chat-known")
-        waiting = staged(waiting.join(step.select(*key), key, "left_anti"), "chat-open")
-    cycles = waiting.select(*key, F.col("turn").alias("place"), F.lit(None).cast("int").alias("level")).distinct()
-    return calls.join(known.union(cycles), key)
+        left = waits
+    cycles = edges.select(*key).distinct().join(calls.select(*key, "turn"), key).select(*key, F.lit(None).cast("long").alias("level"), F.col("turn").alias("place"))
+    return calls.join(known.unionByName(cycles).withColumn("level", F.col("level").cast("int")), key)
 
 
 CALL, ANSWER = ("no_turn", "turn", "pos", "name", "arguments", "depends_on"), ("no_turn", "turn", "content")
@@ -138,10 +158,11 @@ def linked(conversations: DataFrame, tools: dict = TOOLS, text: str = "text") ->
     no_turn = F.col("turn").isNull().alias("no_turn")  # sorts after the turns that are known
     each = turns.filter("calls is not null").select("conv_id", "turn", no_turn, F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "no_turn", "pos", "c.id", "c.name", "c.arguments", F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     heads = staged(each.groupBy("conv_id", "id").agg(F.min(F.struct(*CALL)).alias("first"), F.count("*").alias("n")), "chat-calls")
-    calls = ordered_calls(heads.filter("id is not null").select("conv_id", "id", "first.*", "n"))
     answers = turns.filter("call_id is not null").select("conv_id", F.col("call_id").alias("id"), "turn", no_turn, "content")
     results = answers.groupBy("conv_id", "id").agg(F.min(F.struct(*ANSWER)).alias("r"), F.count("*").alias("n_results"))
-    both = staged(calls.join(results.hint("shuffle_hash"), ["conv_id", "id"], "full_outer"), "chat-linked")
+    with Staging(conversations.sparkSession) as tables:
+        calls = ordered_calls(heads.filter("id is not null").select("conv_id", "id", "first.*", "n"), tables)
+        both = staged(calls.join(results.hint("shuffle_hash"), ["conv_id", "id"], "full_outer"), "chat-linked")
     errors = argument_errors(F.col("name"), F.col("arguments"), tools)
     status = F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("r").isNull(), "no result").otherwise("linked")
     call_rows = _call_rows(both.filter("n is not null").withColumn("errors", errors).withColumn("status", status))
