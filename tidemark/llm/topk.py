@@ -1,22 +1,23 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The lists of the threshold algorithm are the partial scores over SLICES groups of vector
-components. Rows and queries are dealt into a grid of blocks of bounded size; every cell
-of the grid holds its rows' lists.
-
-1. Each cell takes the best partial scores of each of its lists and the full scores of
-   the rows at their heads; the k-th best full score gathered for a query can't exceed
-   its final k-th best: a safe cutoff, sent to all cells of the query.
-2. A row whose total reaches the cutoff must, in some list, lie above a uniform share of
-   what the cutoff leaves over the lists' floors. Cells collect the rows above it, and
-   drop those whose known parts plus the share for unknown ones stay below the cutoff.
-3. The full scores of the rows that remain are taken, and the k best per query survive.
-
-All scores are integers, so the result is exact; ties go to the smaller vec_id. Vectors
-that are null, or hold null or non-finite components, take no part, and neither does a
-row whose length differs from the query's. Repeated query rows count once; repeated
-candidate rows count each. Rows with a null id are no queries but are no use as results,
-and are left out. An empty table or no query gives no rows. Other columns are not read.
+Rows and queries are dealt into a grid of blocks of bounded size. A row's score is the sum
+of its partial scores in SLICES lists, one per group of vector components.
+
+1. Each query meets one block of rows and gathers the k best scores there. The k-th of
+   them can't exceed its final k-th best: a safe cutoff, sent to all blocks.
+2. A block reads its lists in turn. What a list can give at most is known from the norms;
+   a row that reaches the cutoff falls short of that in some list by no more than a uniform
+   share of the slack. Rows whose known parts and bounds of unknown ones stay below the
+   cutoff leave before the next list is read, so that most products are never formed.
+3. The scores of the rows that remain are complete, and the k best per query survive.
+
+All scores are integers, so the result is exact; ties go to the smaller vec_id. Components
+must be so small that no sum can pass 64 bits (length times the largest square below
+2**63); a search of larger ones ends with an error. Vectors that are null, or hold null or
+non-finite components, take no part, and neither does a row whose length differs from the
+query's. Repeated query rows count once; repeated candidate rows count each. Rows with a
+null id are no queries but are no use as results, and are left out. An empty table or no
+query gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import Staging, staged
 
 SLICES = 4
 ROWS = 8192
@@ -40,18 +41,22 @@ def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector:
     """vec_id and v (array<long>): floor(scale * x) of each component; unusable vectors left out."""
     whole = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(whole & finite).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    exact = F.forall(vector, lambda x: F.abs(scaled(x)) < 2.0**62)
+    good = vectors.filter(whole & finite).select(F.col(key).cast("long").alias("vec_id"), exact.alias("exact"), F.transform(vector, lambda x: F.floor(scaled(x))).alias("v"))
+    return good.select("vec_id", F.when(F.col("exact"), F.col("v")).otherwise(F.raise_error(F.lit("a component passes 64 bits"))).alias("v"))
 
 
 def _matrices(group: pd.DataFrame):
-    """Per vector length: query ids and components, row ids and components.
+    """Per vector length: query ids and components, row ids and components, and the queries' rows.
 
     Doubles hold the products exactly below 2**53; larger components use integers.
     """
-    lengths = group["v"].map(len)
-    for _, part in group.groupby(lengths):
-        top = max(abs(int(np.min([v.min() for v in part["v"]]))), abs(int(np.max([v.max() for v in part["v"]]))))
-        kind = np.float64 if top * top * len(part["v"].iloc[0]) < 2**53 else np.int64
+    for width, part in group.groupby(group["v"].map(len)):
+        top = max(abs(int(f(part["v"].map(f)))) for f in (np.min, np.max))
+        if top * top * width >= 2**63:
+            raise OverflowError("scores could pass 64 bits")
+        kind = np.float64 if top * top * width < 2**53 else np.int64
         q, r = part[part["is_query"]], part[~part["is_query"]]
         if len(q) and len(r):
             yield q["vec_id"].to_numpy(np.int64), np.stack(list(q["v"])).astype(kind), r["vec_id"].to_numpy(np.int64), np.stack(list(r["v"])).astype(kind), q
@@ -62,48 +67,59 @@ def _slices(width: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def _heads(k: int):
-    """Phase 1: full scores of the rows at the heads of a cell's lists."""
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id."""
+    return np.lexsort((ids, -scores))[:k]
+
+
+def _gather(k: int):
+    """Phase 1: the k best scores of the one block that a query meets."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for qid, q, rid, r, _ in _matrices(group):
             for at in range(0, len(qid), 256):
-                block = q[at : at + 256]
-                own = qid[at : at + 256, None] == rid[None, :]
-                best = []
-                for s in _slices(q.shape[1]):
-                    part = np.where(own, -np.inf, (block[:, s] @ r[:, s].T).astype(np.float64))
-                    best.append(np.argpartition(part, max(0, part.shape[1] - k), 1)[:, -k:])
-                for i, picks in enumerate(np.concatenate(best, 1)):
-                    picks = np.unique(picks)
-                    picks = picks[~own[i, picks]]
-                    out += [(int(qid[at + i]), int(rid[p]), int(x)) for p, x in zip(picks, (r[picks] @ block[i]).tolist(), strict=True)]
+                full = q[at : at + 256] @ r.T
+                for i, row in enumerate(full):
+                    other = np.flatnonzero(rid != qid[at + i])
+                    out += [(int(qid[at + i]), int(rid[p]), int(row[p])) for p in other[_best_of(rid[other], row[other], k)]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _norms(x: np.ndarray, slices: list[slice]) -> np.ndarray:
+    return np.stack([np.sqrt((x[:, s].astype(np.float64) ** 2).sum(1)) for s in slices], 1)
+
+
 def _collect(k: int):
-    """Phases 2 and 3: rows that the cutoff leaves, with their full scores, at most the k best of a cell."""
+    """Phases 2 and 3: rows that the cutoff leaves, with their scores, at most the k best of a block."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for qid, q, rid, r, rows in _matrices(group):
-            cutoffs = rows["cutoff"].fillna(-(2.0**62)).to_numpy(np.float64)
+            cutoffs = rows["cutoff"].fillna(-np.inf).to_numpy(np.float64)
+            slices = _slices(q.shape[1])
+            q_norm, r_norm = _norms(q, slices), _norms(r, slices)
             for at in range(0, len(qid), 256):
-                block, cut = q[at : at + 256], cutoffs[at : at + 256]
-                parts = [(block[:, s] @ r[:, s].T).astype(np.float64) for s in _slices(q.shape[1])]
-                floors = [p.min(1, keepdims=True) for p in parts]
-                share = (cut[:, None] - sum(floors)) / len(parts)
-                above = [p - low >= share for p, low in zip(parts, floors, strict=True)]
-                most = sum(np.where(a, p, share + low) for a, p, low in zip(above, parts, floors, strict=True))
-                stay = np.logical_or.reduce(above) & (most >= cut[:, None] - 0.5) & (qid[at : at + 256, None] != rid[None, :])
-                for i, j in enumerate(stay):
-                    left = np.flatnonzero(j)
-                    full = r[left] @ block[i]
-                    order = np.lexsort((rid[left], -full))[:k]
-                    out += [(int(qid[at + i]), int(rid[left[o]]), int(full[o])) for o in order]
+                block, mine = q[at : at + 256], q_norm[at : at + 256]
+                # bounds and cutoffs are doubles: so much may be lost in them
+                loss = 1 + 1e-12 * float(mine.sum(1).max() * r_norm.sum(1).max())
+                cut = cutoffs[at : at + 256, None] - loss
+                live, known, near = np.arange(len(rid)), np.zeros((len(block), len(rid)), q.dtype), np.zeros((len(block), len(rid)), bool)
+                slack = mine @ r_norm.T - cut  # by which a row's bounds pass the cutoff
+                for j, s in enumerate(slices):
+                    part = block[:, s] @ r[live][:, s].T
+                    known = known + part
+                    near |= mine[:, j : j + 1] * r_norm[live, j] - part <= slack / len(slices) + loss
+                    stay = (known + mine[:, j + 1 :] @ r_norm[live, j + 1 :].T >= cut - loss).any(0)
+                    live, known, near, slack = live[stay], known[:, stay], near[:, stay], slack[:, stay]
+                    if not len(live):
+                        break
+                reached = near & (known >= cut) & (qid[at : at + 256, None] != rid[live][None, :])
+                for i in np.flatnonzero(reached.any(1)):
+                    left = np.flatnonzero(reached[i])
+                    out += [(int(qid[at + i]), int(rid[live[p]]), int(known[i, p])) for p in left[_best_of(rid[live[left]], known[i, left], k)]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -117,21 +133,17 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 def search(queries: DataFrame, rows: DataFrame, k: int = 5, block_rows: int = ROWS, block_queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. Both sides: vec_id, v (see ``quantised``)."""
-    rows, queries = staged(rows, "topk-rows"), staged(queries.dropDuplicates(["vec_id", "v"]), "topk-queries")
-    n_r, n_q = max(1, ceil(rows.count() / block_rows)), max(1, ceil(queries.count() / block_queries))
-    # a vector that repeats is dealt by its place in the file too, so that no block can fill up with it
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    right = staged(rows.withColumn("rb", deal(n_r)), "topk-grid").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    left = staged(queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int")), "topk-side").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-
-    def cells(cut: DataFrame | None) -> DataFrame:
-        own = left if cut is None else left.join(cut, left["vec_id"] == cut["query_id"], "left").drop("query_id")
-        own = own.withColumn("cutoff", F.lit(None).cast("double")) if cut is None else own
-        sides = own.withColumn("is_query", F.lit(True)).unionByName(right.withColumns({"is_query": F.lit(False), "cutoff": F.lit(None).cast("double")}))
-        return sides.select("rb", "qb", "vec_id", "v", "is_query", "cutoff")
-
     schema = "query_id long, vec_id long, score long"
-    heads = cells(None).groupBy("rb", "qb").applyInPandas(_heads(k), schema).distinct()
-    cut = _best(heads, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("cutoff"))
-    cut = cut.filter(F.col("n") == k).drop("n")
-    return _best(cells(cut).groupBy("rb", "qb").applyInPandas(_collect(k), schema), k)
+    with Staging(rows.sparkSession) as tables:
+        rows, queries = tables.put(rows, "topk-rows"), tables.put(queries.dropDuplicates(["vec_id", "v"]), "topk-queries")
+        n_r, n_q = max(1, ceil(rows.count() / block_rows)), max(1, ceil(queries.count() / block_queries))
+        # a vector that repeats is dealt by its place in the file too, so that no block can fill up with it
+        deal = lambda n, *c: F.pmod(F.xxhash64("vec_id", *c), F.lit(n)).cast("int")
+        right = tables.put(rows.withColumn("rb", deal(n_r, F.monotonically_increasing_id())), "topk-grid").withColumn("is_query", F.lit(False))
+        left = queries.withColumns({"rb": deal(n_r), "qb": deal(n_q, F.lit(1)), "is_query": F.lit(True)})
+        first = left.drop("qb").unionByName(right).groupBy("rb").applyInPandas(_gather(k), schema)
+        cut = _best(first.distinct(), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("cutoff")).filter(F.col("n") == k).drop("n")
+        known = tables.put(left.drop("rb").join(cut, left["vec_id"] == cut["query_id"], "left").drop("query_id"), "topk-cutoffs")
+        sides = known.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+        sides = sides.unionByName(right.withColumns({"cutoff": F.lit(None).cast("double"), "qb": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))}))
+        return staged(_best(sides.groupBy("rb", "qb").applyInPandas(_collect(k), schema), k), "topk-best")
