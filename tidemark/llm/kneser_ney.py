@@ -7,7 +7,7 @@ from joins and aggregates among them, order by order.
 
 Documents are scored by sharded count joins too, in one form at every size. A batch is a
 bounded run of a file's documents; its distinct n-grams are joined with the model once for
-all batches, shard by shard, and meet the batch's texts again by its key. The model is
+all batches, shard by shard, and meet the batch's texts, packed, again by its key. The model is
 neither broadcast nor collected. A document's cross-entropy decides against a quantile of
 the held-out trusted documents of its language, with an allowance for short texts; the
 quantile is Spark's approximate one, off by one in ACCURACY of the ranks at most.
@@ -43,7 +43,7 @@ QUANTILE, ACCURACY = 0.99, 10_000
 MARGIN, SHORT = 0.15, 6.0
 START, END = 2, 3
 #: Rows of a batch, by the bytes of its texts; larger texts are batches of their own.
-BATCHES = ((1 << 14, 2048), (1 << 17, 256), (1 << 21, 16))
+BATCHES = ((1 << 12, 8192), (1 << 14, 2048), (1 << 17, 256), (1 << 21, 16))
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -180,17 +180,36 @@ def _codes(rows: DataFrame) -> DataFrame:
     return rows.select("batch", "text").mapInArrow(run, "batch long, code long")
 
 
-def _scores(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, lang, n, bits of a batch's texts, from the bits of its n-grams."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """(batch, packed): the documents of each batch, or of what a task holds of it, as one compressed table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            held: dict[int, list[int]] = {}
+            for i, key in enumerate(part.column("batch").to_pylist()):
+                held.setdefault(key, []).append(i)
+            for key, places in held.items():
+                own = part.select(["doc_id", "lang", "text"]).take(pa.array(places))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "packed"])
+
+    return rows.mapInArrow(run, "batch long, packed binary")
+
+
+def _scores(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, lang, n, bits of a batch's documents, from the bits of its n-grams."""
     keys = table["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, values = keys[order], table["bits"].to_numpy(np.float64)[order]
+    docs = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed["packed"]]) if len(packed) else pa.table({"doc_id": [], "lang": [], "text": []})
     n, bits = [], []
-    for text in texts["text"]:
-        codes = grams(symbols(text))
+    for text in docs["text"]:
+        codes = grams(symbols(text.as_py()))
         n.append(len(codes))
-        bits.append(float(values[np.searchsorted(keys, codes)].sum()))
-    return pd.DataFrame({"doc_id": texts["doc_id"], "lang": texts["lang"], "n": n, "bits": bits})
+        bits.append(float(values[np.searchsorted(keys, codes)].sum()) if len(codes) else 0.0)
+    return pd.DataFrame({"doc_id": docs["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "lang": docs["lang"].to_pandas(), "n": pd.Series(n, dtype="int64"), "bits": pd.Series(bits, dtype="float64")})
 
 
 def score(docs: DataFrame, table: DataFrame, tables: Staging) -> DataFrame:
@@ -199,7 +218,7 @@ def score(docs: DataFrame, table: DataFrame, tables: Staging) -> DataFrame:
     codes = tables.put(_codes(rows), "kn-codes")
     known = tables.put(bits_of(codes.select("code").distinct(), table), "kn-bits")
     found = codes.join(known, "code").select("batch", "code", "bits")
-    return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(_scores, "doc_id long, lang string, n long, bits double")
+    return _packed(rows).groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(_scores, "doc_id long, lang string, n long, bits double")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, short: float = SHORT) -> DataFrame:
