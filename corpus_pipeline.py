@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, mixing, ngram_join, quality, secrets
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import Staging, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage was given is let go when its own documents are written."""
+    docs, tables, before = table(spark, sf_dir, "documents"), Staging(spark), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = tables.put(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            tables.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
