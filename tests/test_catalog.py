@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL, at the smallest size."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -51,7 +52,9 @@ def plan(df):
 
 @pytest.mark.parametrize("name", ["html_to_text", "extract_links", "html_cells", "signed_sentence_value", "candidate_blocks", "history_rows"])
 def test_extraction_stays_in_the_jvm(spark, name):
-    assert not [w for w in ("Python", "Pandas", "Arrow") if w in plan(QUERIES[name](spark, DATA))]
+    # operators only: the table of character references holds names such as LeftArrow
+    operators = re.findall(r"(?m)^[\s:+-]*(?:\*\(\d+\) )?([A-Z]\w+)", plan(QUERIES[name](spark, DATA)))
+    assert "Project" in operators and not [x for x in operators for w in ("Python", "Pandas", "Arrow") if w in x]
 
 
 def test_small_dimensions_are_broadcast(spark):
