@@ -32,20 +32,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside, each statement's shuffle files go when it has ended, not when the driver next collects garbage."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before) if before else spark.conf.unset(SHUFFLE_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet to ``path`` and read back."""
-    with shuffles_removed(df.sparkSession):
+def written(df: DataFrame, path: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back; its shuffle files go when that has ended."""
+    values = {SHUFFLE_CLEANUP: "true"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    with settings(df.sparkSession, values):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,8 +74,8 @@ def delete(spark: SparkSession, path: str) -> None:
 class Staging:
     """The staged tables of one job: each can be dropped after its last use, and the others go at its end."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, arrow_rows: int | None = None):
+        self.spark, self.arrow_rows = spark, arrow_rows
         self.held: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Staging:
@@ -79,7 +86,7 @@ class Staging:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, name)
-        out = written(df, path)
+        out = written(df, path, self.arrow_rows)
         self.held[id(out)] = out, path
         return out
 
