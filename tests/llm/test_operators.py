@@ -5,10 +5,13 @@ import math
 import random
 import sys
 from collections import Counter
+from functools import reduce
+from operator import and_, or_
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit as spark_lit
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -90,6 +93,14 @@ def test_html_keeps_visible_words(spark):
         ("</p></div>text<b>open <i>both", "textopen both"),
         ("", ""),
         ("a < b", "a < b"),
+        ("<table><tr><td><p>one</p><p>two</p><ul><li>a<li>b</ul><td>x<tr><td>y<td>z</table>", "one  x\n\ntwo\n\n- a\n- b\ny    z"),
+        ("<table><tr><td rowspan=2>tall<td>a<tr><td>b<tr><td>c<td>d</table>", "tall  a\n      b\nc     d"),
+        ("<table><tr><td rowspan=2 colspan=2>big<td>a<tr><td>b<tr><td>c<td>d<td>e</table>", "big   a\n      b\nc  d  e"),
+        ("<table><tr><td>in<td><table><tr><td>1<td>2<tr><td>33<td>4</table></table>", "in  1   2\n    33  4"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"),
+        ("x <a \"y <b>z</b>", 'x <a "y z'),
+        ("<a title='1 < 2'>w</a> <!x> v", "w v"),
     ],
 )
 def test_html_layout(source, text):
@@ -104,6 +115,33 @@ def test_html_edges(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+def test_html_hides_below_the_depth():
+    for hidden in ("<div hidden>", "<p style='display:none'>", "<span style='visibility: hidden'>"):
+        deep = "<div>" * 400 + f"{hidden}no<b>no</b></div></p></span>" + "yes"
+        assert html.to_text(deep) in ("yes", "")  # what is not closed by its own tag stays hidden
+        tag = hidden[1:].split()[0]
+        assert html.to_text("<div>" * 400 + f"{hidden}no<b>no</b></{tag.rstrip('>')}>yes" + "</div>" * 400 + "end") == "yes\nend"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!x ", "<a '", '<a "', "<b a=\"<", "</", "<p", "<td>", "<table>", "</x>", "<li>", "<tr><td colspan=1000>x", "<div><p>", "<b></i>"])
+def test_html_takes_linear_time_and_space(piece):
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        start = time.process_time()
+        text = html.to_text(piece * (size // len(piece)))
+        took.append(time.process_time() - start)
+        assert len(text) <= 4 * size
+    assert took[1] < 10 * max(took[0], 0.05), took
+
+
+def test_html_bounds_the_padding():
+    page = "<table>" + "<tr><td>a<td>b" * 5000 + f"<tr><td>{'long ' * 20_000}<td>c</table>"
+    text = html.to_text(page)
+    assert len(text) < 2 * len(page) and text.startswith("a  b\na  b\n")
+
+
 # 2
 
 
@@ -125,11 +163,17 @@ def test_quality_edges(edge, empty):
 
 
 def test_ablations_agree_with_the_ledger(docs):
-    book = quality.ledger(docs)
-    rows = [r.fail_bits & quality.mask("v2") for r in book.collect()]
-    for r in quality.ablations(book, "v2").collect():
-        bit = quality.BIT[r.rule]
-        assert (r.failed, r.decided_alone, r.n_docs) == (sum(bool(b & bit) for b in rows), sum(b == bit for b in rows), len(rows))
+    for policy in quality.POLICIES:
+        book = quality.apply_policy(quality.ledger(docs), policy)
+        rows = [r.fail_bits & quality.mask(policy) for r in book.collect()]
+        assert [r.lone_bit for r in book.collect()] == [b if b.bit_count() == 1 else 0 for b in rows]
+        out = quality.ablations(book, policy)
+        assert python_free(out) and out.count() == len(quality.POLICIES[policy])
+        for r in out.collect():
+            bit = quality.BIT[r.rule]
+            own = [b for b in rows if b & bit]
+            assert (r.failed, r.decided_alone, r.n_docs) == (len(own), sum(b == bit for b in rows), len(rows))
+            assert r.ever_with == (reduce(or_, own) if own else None) and r.always_with == (reduce(and_, own) if own else None)
 
 
 # 3
@@ -162,6 +206,29 @@ def test_mixing(spark, docs, edge, empty):
     assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter({k: v for k, v in times.items() if v})
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_mixing_splits_rows_with_one_id(spark, ident):
+    """A table of equal rows, and one of different texts, under a null and a repeated id: taken words still come near the target."""
+    for text in (lambda i: "ten words of text that all rows share between them", lambda i: f"text number {i} with some words"):
+        docs = spark.createDataFrame([(ident, text(i), None if i % 4 == 0 else "s", 1) for i in range(1000)], "doc_id long, text string, source string, _doc int").repartition(5)
+        rows = mixing.repetitions(docs).collect()
+        assert len(rows) == 1000
+        for source in (None, "s"):
+            own = [r for r in rows if r.source == source]
+            taken = sum(r.times * r["size"] for r in own)
+            assert abs(taken - own[0].target) <= 20 * own[0]["size"], (source, taken, own[0].target)
+        mixed = mixing.mix_documents(docs)
+        assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in rows)
+
+
+def test_sources_are_ranked_across_ranges(spark):
+    with mixing.Staging(spark) as tables:
+        names = [None, *(f"source-{i:05}" for i in range(2000)), "Z", "é", "中"]
+        rows = mixing.weighted(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long"), tables).collect()
+    order = sorted(names[1:]) + [None]
+    assert {r.source: r.weight for r in rows} == {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+
+
 def test_water_filling_with_one_hot_source(spark):
     rows = [(i, "w " * (i % 7 + 1), "hot" if i % 3 else f"s{i % 5}", 0) for i in range(3000)]
     check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
@@ -216,29 +283,37 @@ def test_trie_shares_prefixes_and_is_bounded(monkeypatch):
 
 
 def test_kneser_ney_probabilities_sum_to_one(spark, docs):
-    rows = kneser_ney.model(docs.limit(40)).toPandas()
-    tables = {k: (np.sort(p["code"].to_numpy(np.int64).view(np.uint64)), p["value"].to_numpy()[np.argsort(p["code"].to_numpy(np.int64).view(np.uint64))]) for k, p in rows.groupby("kind")}
-    scorer = kneser_ney.Scorer(tables)
-    letters = tables["p1"][0]
-    for context in (0x0002_0002_0002, 0x0074_0068_0065, 0x4E2D_0061_0020):
-        codes = (np.uint64(context) << np.uint64(16)) | letters
-        unseen = 2.0 ** scorer.log2(np.array([(context << 16) | 0xABCD], np.uint64))[0]
-        assert math.isclose((2.0 ** scorer.log2(codes)).sum() + unseen, 1.0, rel_tol=1e-9)
-
-
-def test_classifier_scores_alike_by_shards_and_separates(spark, docs, edge, empty):
+    with kneser_ney.Staging(spark) as tables:
+        table = kneser_ney.model(docs.limit(40), tables)
+        letters = [r.code for r in table.filter("kind = 'p1'").collect()]
+        for context in (0x0002_0002_0002, 0x0074_0068_0065, 0x4E2D_0061_0020):
+            codes = spark.createDataFrame([((context << 16) | x,) for x in (*letters, 0xABCD)], "code long")
+            assert math.isclose(sum(2.0**-r.bits for r in kneser_ney.bits_of(codes, table).collect()), 1.0, rel_tol=1e-9)
+
+
+def test_kneser_ney_against_brute_force(spark, docs, edge):
+    rows = docs.filter("doc_id < 60").select("doc_id", "text").collect()
+    odd = [(i, t) for i, t, *_ in edge_rows() if i != 6] + [(70, "été 12 34 \U0001f600"), (71, "x")]
+    trained = brute.kneser_ney([r.text for r in rows])
+    with kneser_ney.Staging(spark) as tables:
+        table = kneser_ney.model(docs.filter("doc_id < 60"), tables)
+        scored = spark.createDataFrame([(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
+        for df, want in ((docs.filter("doc_id % 9 = 0"), {r.doc_id: r.text for r in docs.filter("doc_id % 9 = 0").collect()}), (scored, dict(odd))):
+            got = kneser_ney.score(df, table, tables).collect()
+            assert len(got) == df.count()
+            for r in got:
+                n, bits = brute.cross_entropy(want[r.doc_id], *trained)
+                assert r.n == n and math.isclose(r.bits, bits, rel_tol=1e-9, abs_tol=1e-9), r.doc_id
+
+
+def test_classifier_separates_held_out_labels(spark, docs, edge, empty):
+    labels = {r.doc_id: r.quality for r in table(spark, DATA, "labels").collect()}
     trusted = table(spark, DATA, "labels").filter("quality = 1").select("doc_id")
     a = {r.doc_id: r for r in kneser_ney.classify(docs, trusted).collect()}
-    few = docs.filter("doc_id < 20").unionByName(docs.filter("doc_id = 3"))
-    grown = kneser_ney.model(docs.join(trusted, "doc_id", "left_semi"))
-    x = sorted((r.doc_id, r.n, round(r.bits, 6)) for r in kneser_ney.score(few, grown).collect())
-    y = sorted((r.doc_id, r.n, round(r.bits, 6)) for r in kneser_ney.score(few, grown, most_broadcast=0).collect())
-    assert x == y
-    labels = {r.doc_id: r.quality for r in table(spark, DATA, "labels").collect()}
     good = [i for i, q in labels.items() if q == 1]
     bad = [i for i, q in labels.items() if q == 0]
-    assert sum(a[i].kept for i in good) >= 0.97 * len(good) and sum(a[i].kept for i in bad) <= 0.2 * len(bad)
-    odd = kneser_ney.classify(edge, edge.filter("doc_id = 1").select("doc_id")).collect()
+    assert sum(a[i].kept for i in good) >= 0.95 * len(good) and sum(a[i].kept for i in bad) <= 0.2 * len(bad)
+    odd = kneser_ney.classify(edge, edge.filter("doc_id in (1, 5, 6, 10, 11)").select("doc_id")).collect()
     assert len(odd) == len(edge_rows()) and not any(r.kept for r in odd if r.doc_id in (2, 3, 4))
     assert kneser_ney.classify(empty, trusted).count() == 0
     assert not any(r.kept for r in kneser_ney.classify(docs.limit(5), trusted.limit(0)).collect())
@@ -300,14 +375,33 @@ def test_repeated_and_null_ids_are_kept(spark):
     assert {"no turn", "no conversation"} <= {json.loads(r.line)["content"] for r in got if r.kind == "message"}
 
 
-def test_chat_sql_with_its_table(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{DATA}/conversations.parquet'")
-    result, df = con.sql(ORACLES["op6_chat_formatting"]), queries()["op6_chat_formatting"](spark, DATA)
-    order = [list(result.columns).index(c) for c in df.columns]
-    assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in order) for r in result.fetchall())
+def test_long_chains_and_diamonds_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(41)
+    deps = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)}  # a chain
+    deps |= {f"d{i}": sorted({f"d{rng.randrange(i)}" for _ in range(rng.choice([1, 1, 1, 2]))}) if i else [] for i in range(300)}
+    deps |= {"x": ["y"], "y": ["z", "c5"], "z": ["x"], "w": ["x", "c3"], "v": ["v"], "u": ["c999", "d299", "gone"]}
+    turns = {k: rng.randrange(50) for k in deps}
+    rows = [(1, turns[k], "assistant", json.dumps({"content": "", "tool_calls": [{"id": k, "name": "reply", "arguments": {"style": "x", "max_words": 1}, "depends_on": v}]})) for k, v in deps.items()]
+    rounds, put = [], chat.Staging.put
+    monkeypatch.setattr(chat.Staging, "put", lambda self, df, name: rounds.append(name) or put(self, df, name))
+    df = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", spark_lit(9)).withColumn("id", spark_lit("i")).repartition(4))
+    got = {json.loads(r.line)["id"]: (r.level, r.place, r.status) for r in df.collect() if r.kind == "call"}
+    known = {}
+    for k in sys_order(deps):
+        own = [known[d] for d in deps[k] if d in deps]
+        known[k] = (max((d[0] for d in own), default=-1) + 1, max([turns[k], *(d[1] for d in own)]))
+    assert {k: v[:2] for k, v in got.items() if v[2] != "cycle"} == known
+    assert {k for k, v in got.items() if v[2] == "cycle"} == {"x", "y", "z", "w", "v"}
+    assert rounds.count("chat-step") <= 25
+
+
+def sys_order(deps):
+    """Calls after all that they depend on; those in cycles or behind them left out."""
+    done, order = set(), []
+    while more := [k for k in deps if k not in done and all(d in done for d in deps[k] if d in deps)]:
+        order += more
+        done |= set(more)
+    return order
 
 
 def test_conversations_in_tool_form(spark):
@@ -354,10 +448,10 @@ def near_copies(n, seed, edits):
     return out
 
 
-@pytest.mark.parametrize(("percent", "broadcast"), [(80, True), (90, True), (90, False)])
-def test_components_of_large_groups(spark, percent, broadcast, monkeypatch):
-    if not broadcast:  # what larger inputs do
-        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
+@pytest.mark.parametrize(("percent", "most_broadcast"), [(80, "10m"), (90, "10m"), (90, "-1")])
+def test_components_of_large_groups(spark, percent, most_broadcast, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most_broadcast)  # with and without broadcasts by Spark
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
     monkeypatch.setattr(ngram_join, "CHUNK", 32)
     rows = list(enumerate(near_copies(200, 1, (1, 3, 5, 8)) + near_copies(60, 2, (3, 4)) + ["same text of more than three words"] * 40 + near_copies(50, 3, (9, 11))))
@@ -365,6 +459,7 @@ def test_components_of_large_groups(spark, percent, broadcast, monkeypatch):
     docs = spark.createDataFrame([(i * 3, t) for i, t in rows], "doc_id long, text string")
     want = brute.components([(i * 3, t) for i, t in rows], 3, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs, 3, percent).collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_similar_sets_share_a_signature():
@@ -380,7 +475,8 @@ def test_similar_sets_share_a_signature():
             if 100 * len(a & c) < percent * len(a | c):
                 break
             b = c
-        x, y = ngram_join.signatures([np.array(sorted(s), np.uint64) for s in (a, b)], percent)
+        found, owner = ngram_join.signatures([np.array(sorted(s), np.uint64) for s in (a, set(), b)], percent)
+        x, y = found[owner == 0], found[owner == 2]
         bands, top = Counter(v >> 54 for v in set(x.tolist()) & set(y.tolist())), ngram_join.bands(percent)["common"]
         assert a == b or any(n >= top[band] for band, n in bands.items())
 
@@ -389,10 +485,31 @@ def test_keep_one(docs, edge, empty):
     kept = ngram_join.keep_one(docs, 5, 80)
     want = brute.components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {c for _, c in want.values()}
-    assert sorted((r.doc_id or 0) for r in ngram_join.keep_one(edge, 5, 80).collect()) == [0, 1, 2, 3, 4, 6, 7, 9, 11, 12]  # 10 is at 19 of 23 shingles
+    assert sorted(r.doc_id for r in ngram_join.keep_one(edge, 5, 80).collect()) == [1, 2, 3, 4, 6, 7, 9, 11, 12]  # 10 is at 19 of 23 shingles
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_odd_rows(spark):
+    """Null ids, ids with several texts, rows that repeat but for another column, columns with the operator's own names."""
+    far = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, PROSE, 1, "a"), (None, PROSE, 1, "a"), (None, far, 2, "b"), (7, PROSE + " x", 3, "c"), (8, far + " y", 4, "d"), (8, "an other text", 5, "e"), (9, None, 6, "f"), (9, None, 6, "g"), (None, None, 7, "h"), (3, "", 8, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _id string").withColumn("key", spark_lit("k")).withColumn("_doc", spark_lit("d"))
+    kept = ngram_join.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, PROSE + " x"), (8, far + " y"), (8, "an other text"), (9, None), (None, None), (3, "")])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, ngram_join.keep_one(docs.repartition(3), 5, 80).collect()))
+
+
+def test_no_staged_table_but_the_result_stays(spark, docs):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tidemark"
+    before = set(os.listdir(folder))
+    ngram_join.components(docs, 3, 90)
+    ngram_join.keep_one(docs, 5, 80)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["join-components", "join-kept"]
+
+
 # 8
 
 
@@ -411,6 +528,21 @@ def test_topk(spark):
     assert topk.search(none, none).count() == 0
 
 
+def test_topk_of_large_components_and_clusters(spark):
+    """Sums beyond 2**53 stay exact, sums that could pass 64 bits are refused, and clusters are searched through small blocks."""
+    rng = random.Random(43)
+    big = [(i, [float(rng.randrange(-(2**20), 2**20)) for _ in range(8)]) for i in range(120)]
+    near = [(i, [float(8 * (i % 12 == c)) + rng.random() for c in range(12)]) for i in range(600)]
+    for rows in (big, near):
+        v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = topk.search(v.filter("vec_id % 50 = 0"), v, 5, block_rows=60, block_queries=5).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute.topk(rows)
+    for x in (2.0**40, 1e300):
+        with pytest.raises(Exception, match="64 bits"):
+            v = topk.quantised(spark.createDataFrame([(0, [x] * 4), (1, [x] * 4)], "vec_id long, embedding array<double>"))
+            topk.search(v.filter("vec_id = 0"), v).collect()
+
+
 # 9
 
 
@@ -527,6 +659,24 @@ def test_redaction(spark, docs, edge):
     assert secrets.redact(edge).columns == edge.columns and python_free(secrets.redact(docs))
 
 
+def test_battery_and_control_against_brute_force(spark):
+    """Steps of the battery, and the Benjamini-Hochberg thresholds over all candidates, from plain versions of both."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(37)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pools = [lower, lower.upper(), lower + lower.upper(), digits + "ABCDEF", lower.upper() + "234567", lower + digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "+/", digits, "ab"]
+    strings = ["".join(rng.choice(p) for _ in range(n)) for p in pools for n in (20, 27, 33, 40, 64, 120) for _ in range(4)] + clean_runs(rng, 300)
+    strings = [x for x in strings if len(x) >= 20]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(strings)], "i long, s string").select("i", secrets.battery(F.col("s")).alias("step")).collect()
+    want = [brute.battery(x, secrets) for x in strings]
+    off = [(strings[r.i], r.step, want[r.i]) for r in rows if r.step != want[r.i]]
+    assert not [x for x in off if abs(x[1] - x[2]) > 1] and len(off) <= 3  # a step's edge may fall either way
+    found = secrets.found_in(spark.createDataFrame([(i, f"x {x} y") for i, x in enumerate(strings)], "doc_id long, text string"))
+    steps = [(c.stratum, c.step) for r in found.collect() for c in r.cands]
+    assert secrets.thresholds(found) == brute.accepted(steps, secrets.FDR)
+
+
 # all
 
 
@@ -540,7 +690,7 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries()[name](spark, DATA)
     result = con.sql(ORACLES[name])

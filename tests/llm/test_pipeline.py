@@ -45,3 +45,16 @@ def test_run_agrees_with_its_stages(spark):
     chained = mixing.mix_documents(secrets.redact(ngram_join.keep_one(quality.filter_documents(docs), 5, 80)))
     got = corpus_pipeline.run(spark, DATA)
     assert Counter(r.doc_id for r in got.select("doc_id").collect()) == Counter(r.doc_id for r in chained.select("doc_id").collect())
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, long and empty texts, and an empty table."""
+    from test_operators import PROSE, edge_rows
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [r[:5] for r in edge_rows()] + [(None, None, None, None, None), (None, PROSE + " once more", None, None, None), (20, PROSE + " secret=abcdefgh", "en", "s1", 9)]
+    for name, own in (("odd", rows), ("none", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        kept = [r for r in own if not brute.quality(r[1])["base_failed"]]
+        assert {r.doc_id for r in got} <= {r[0] for r in kept} and bool(got) == bool(kept)

@@ -3,51 +3,57 @@
 A document is the set of its distinct word n-grams (64-bit hashes). Sets whose Jaccard
 similarity reaches the threshold have sizes in the same or in adjacent size bands, and
 within a band differ in at most ``k`` features. The feature domain is cut into parts, each
-part in CUTS cells, and a signature is a part with all cells but one, for each choice of
-the one. There are about a quarter more cells than ``k``, so two such sets share not one
-but many signatures: enough to drop those of nearly empty cells, and to ask for several
-in common before two sets are compared. A set carries about ``1.25 k`` signatures however
-many documents there are.
-
-Pairs are never listed per signature, but for signatures of at most PAIRS classes.
-Documents with equal sets are one class, and only its smallest id goes on. Of the classes
-under a common signature, the smallest id is the hub, and every other class is compared
-with its hubs: a number of rows in proportion to the signatures. As all classes under a
-signature share its hub, links among them are found among the differences from the hub,
-which are short; a group of more than CHUNK classes is dealt out in chunks and pairs of
-blocks, so that no task holds a group whatever its size. Every comparison is of exact set
-sizes. Components then come from star contraction over the links found, a few rounds of
-aggregations and joins over staged tables.
+part in CUTS cells, and a signature is a part's features in a subset of KEEP of its cells,
+for every such subset. ``k`` differences cannot break all subsets of all parts; with SPARE
+more parts than that takes, linked sets share not one but ``common`` signatures.
+
+Only counts travel before texts do. Signatures found in different sets only once are let
+go; a set that shares fewer than ``common`` in a band has no partner there and leaves; of
+the sets under a signature of at most PAIRS, each pair is named and stays if it shares
+``common``. Under a larger signature, the set with the smallest hash is the hub, and every
+other set is compared with its hubs, a number of rows in proportion to the signatures. As
+all sets under a signature share its hub, links among them are found among the differences
+from it, which are short: sets farther from the hub than any set that the hub does not link
+can reach are done, the rest of a group is compared in pairs of blocks. Groups are dealt
+out in chunks bounded in features and rows. Every comparison is of exact set sizes.
+Components then come from star contraction over the links found, a few rounds of
+aggregations and joins over staged tables. Joins of signatures and of texts are by shuffle
+at every size.
 
 Null, empty or wordless text: empty set, linked with nothing, component is the document
-itself. Rows with a null id take no part and get a null component. Rows that share an id
-are one document with several texts, and so one component. Other columns are not read.
+itself. In ``components``, rows with a null id take no part and get a null component, and
+rows that share an id are one document with several texts, and so one component. Other
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 from math import ceil, exp, factorial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Staging, staged
 
-CUTS = 2
+#: Cells of a part, and how many of them a signature covers.
+CUTS, KEEP = 3, 2
+#: Parts beyond those that the differences of linked sets can break.
+SPARE = 1.25
 BAND_BITS = 10
-#: Signatures of at most so many classes name their pairs (six at most), others a hub.
+#: Signatures of at most so many sets name their pairs (six at most), others a hub.
 PAIRS = 4
-BLOCK = 2048
-#: Hub rows per task when a group is compared with its hub.
-CHUNK = 1024
-#: A table of ids of at most so many rows is broadcast to keep the texts where they are.
-BROADCAST_ROWS = 1_000_000
+#: A hub's group is dealt out in tasks of at most about so many rows and features.
+CHUNK = 512
+FEATURES = 2_000_000
+#: Rows of a block, when the rest of a large group is compared.
+BLOCK = 1024
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -57,107 +63,183 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Texts to sorted distinct n-gram hashes; word hashes are kept while they fit."""
-
-    def __init__(self, n: int, cache: int = 500_000):
-        self.n, self.cache, self.words = n, cache, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.words
-        try:
-            codes = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.cache:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = [known[w] for w in words]
-        h = np.array(codes, np.uint64)
-        if len(h) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
-        total = np.zeros(len(h) - self.n + 1, np.uint64)
-        for i in range(self.n):
-            total += _mix(h[i : len(h) - self.n + 1 + i] ^ _MULTIPLIERS[i % len(_MULTIPLIERS)]) * _MULTIPLIERS[(i + 3) % len(_MULTIPLIERS)]
-        return np.unique(_mix(total))
+#: Rows that a Python worker is given at once.
+ARROW_ROWS = 1000
+#: Rows and bytes that are hashed at once.
+ROWS, PIECE = 128, 1 << 19
+#: A word's hash is the sum of its bytes' codes times powers of an odd base; capitals A-Z have the codes of a-z.
+_BASE = 0x9E3779B97F4A7C13
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_CODES[65:91] = _CODES[97:123]
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of the base, and of its inverse."""
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(1 << bits, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    return made[0], made[1]
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every word of the bytes."""
+    space = np.concatenate([[True], _SPACES[data], [True]])
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    up, down = _powers(max(10, int(len(data)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)], dtype=np.uint64)])
+    return start, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _runs(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(first, last, bytes): texts with a space between, or a piece of a long one, of about PIECE bytes."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > PIECE:
+            yield first, i - 1, b" ".join(texts[first:i])
+            first, size = i, 0
+        size += len(t) + 1
+        if len(t) > PIECE:
+            at = 0
+            while at < len(t):
+                cut = len(t) if len(t) - at <= PIECE else max(t.rfind(b" ", at, at + PIECE), at)
+                if cut == at:  # one word without end: up to the next space
+                    cut = t.find(b" ", at + 1)
+                    cut = len(t) if cut < 0 else cut
+                yield i, i, t[at:cut]
+                at = cut
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts) - 1, b" ".join(texts[first:])
+
+
+def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text; of fewer words than n, one for the whole sequence."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for first, last, data in _runs(raw):
+        place, found = _words(np.frombuffer(data, np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in raw[first : last + 1]])
+        hashes.append(found)
+        owners.append(first + np.searchsorted(ends, place, "right") if last > first else np.full(len(found), first))
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    total = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for i in range(n):
+        total += _mix(h[i : len(total) + i] ^ _MULTIPLIERS[i % len(_MULTIPLIERS)]) * _MULTIPLIERS[(i + 3) % len(_MULTIPLIERS)]
+    whole = owner[: len(total)] == owner[n - 1 :]  # windows inside one text
+    grams, starts = _mix(total[whole]), np.searchsorted(owner[: len(total)][whole], np.arange(len(texts) + 1))
+    words = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for i in range(len(texts)):
+        s = np.sort(grams[starts[i] : starts[i + 1]])
+        if not len(s) and words[i] < words[i + 1]:
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[words[i] : words[i + 1]].tobytes(), seed=1)], np.uint64))
+        else:
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
+
+
+#: The subsets of a part's cells that are enumerated.
+SUBSETS = tuple(combinations(range(CUTS), KEEP))
 
 
 @cache
 def bands(percent: int, largest: int = 1 << 31) -> dict[str, np.ndarray]:
     """Size bands and what holds in each.
 
-    start: first size. k: differences that linked sets in the band, or in it and the band
-    before, can have. parts: parts of the feature domain. weak: cells with fewer features
-    are dropped by a set that has at most ``spare`` of them. common: signatures that linked
-    sets then still share: of all cells, those that neither differ nor are dropped.
+    A band is as wide as two steps of the threshold, so that only the larger half of its
+    sizes can have partners in the next. start: first size. k: differences that linked sets
+    can have of which the larger lies in the band. parts: parts of the feature domain. weak:
+    signatures with fewer features are dropped by a set that has at most ``spare`` of them.
+    common: signatures that linked sets then still share.
     """
     start = [1]
     while start[-1] <= largest:
-        start.append(max(start[-1] + 1, ceil(start[-1] * 100 / percent)))
+        start.append(max(start[-1] + 1, ceil(start[-1] * 10_000 / percent**2)))
+    per_part = len(SUBSETS)
     out: dict[str, list[int]] = {"start": [], "k": [], "parts": [], "weak": [], "spare": [], "common": []}
     for low, after in zip(start, start[1:], strict=False):
         k = 2 * (after - 1) * (100 - percent) // (100 + percent)
-        parts = ceil(1.25 * (k + 1) / CUTS)
-        cells = CUTS * parts
-        spare = ceil(2 * (cells - k - 1) / 3)
-        mean = low * percent / 100 / cells
-        few = [exp(-mean) * sum(mean**j / factorial(j) for j in range(t)) * cells for t in (1, 2, 3)]
+        # each broken cell takes KEEP of a part's subsets first, and the last one second
+        parts = ceil(SPARE * (k + 1) / KEEP)
+        common = per_part * parts - 2 * k if k <= parts else 2 * parts - k
+        spare = 2 * (common - 1) // 3
+        mean = low * percent / 100 * KEEP / (CUTS * parts)
+        few = [exp(-mean) * sum(mean**j / factorial(j) for j in range(t)) * per_part * parts for t in (1, 2, 3)]
         weak = max([1, *(t for t, x in zip((1, 2, 3), few, strict=True) if x <= spare / 2)])
-        for name, value in zip(out, (low, k, parts, weak, spare, cells - k - spare), strict=True):
+        for name, value in zip(out, (low, k, parts, weak, spare, common - spare), strict=True):
             out[name].append(value)
     return {name: np.array(values, np.int64) for name, values in out.items()}
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The signatures of each set, with their band in the top bits; none where only an equal set could be linked."""
-    table = bands(percent)
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    for i, s in enumerate(sets):
-        if not len(s):
-            continue
-        own = int(np.searchsorted(table["start"], len(s), "right")) - 1
-        low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
-        for band in (own, own + 1):
-            #: the next band matters only if a set there can still be similar enough
-            if not table["k"][band] or band > own and 100 * len(s) < percent * table["start"][band]:
-                continue
-            parts = int(table["parts"][band])
-            place = _mix(s + np.uint64(2 * band + 1))
-            part = ((place >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            cell = part * CUTS + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(CUTS)).astype(np.int64)
-            # two halves, each exact in a double
-            sums = np.bincount(cell, low, parts * CUTS).astype(np.uint64) + (np.bincount(cell, high, parts * CUTS).astype(np.uint64) << np.uint64(32))
-            sums = _mix(sums).reshape(parts, CUTS)
-            rest = sums.sum(1, dtype=np.uint64)[:, None] - sums  # all cells of a part but one
-            held = np.bincount(cell, minlength=parts * CUTS).reshape(parts, CUTS)
-            strong = (held.sum(1)[:, None] - held).ravel() >= table["weak"][band]
-            label = np.arange(parts * CUTS, dtype=np.uint64).reshape(parts, CUTS) + np.uint64(1 << 40)
-            found = (_mix(rest + _mix(label)).ravel() >> np.uint64(BAND_BITS)) | np.uint64(band << (64 - BAND_BITS))
-            out[i].append(found[strong] if len(found) - strong.sum() <= table["spare"][band] else found)
-    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
-
-
-def features(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, set_key (16 bytes, equal for equal sets) and sigs of each row."""
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of all sets, with their band in the top bits, and the place of the set that each belongs to.
+
+    None of a set where only an equal one could be linked. All sets are worked on at once.
+    """
+    table, sizes = bands(percent), np.array([len(s) for s in sets], np.int64)
+    features, own = np.concatenate([np.empty(0, np.uint64), *sets]), np.searchsorted(table["start"], sizes, "right") - 1
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for band in (own, own + 1):
+        # the next band matters only if a set there can still be similar enough
+        use = (sizes > 0) & (table["k"][band] > 0) & ((band == own) | (100 * sizes >= percent * table["start"][band]))
+        which, b = np.flatnonzero(use), band[use]
+        parts = table["parts"][b]
+        first, total = np.cumsum(parts) - parts, int(parts.sum())
+        f, owner = features[np.repeat(use, sizes)], np.repeat(np.arange(len(which)), sizes[use])
+        place = _mix(f + (2 * b + 1).astype(np.uint64)[owner])
+        part = first[owner] + ((place >> np.uint64(32)) % parts.astype(np.uint64)[owner]).astype(np.int64)
+        cell = part * CUTS + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(CUTS)).astype(np.int64)
+        # sums in two halves, each exact in a double
+        low, high = (np.bincount(cell, (f >> np.uint64(shift)) & np.uint64(0xFFFFFFFF), total * CUTS).astype(np.uint64) for shift in (0, 32))
+        sums, held = _mix(low + (high << np.uint64(32))).reshape(total, CUTS), np.bincount(cell, minlength=total * CUTS).reshape(total, CUTS)
+        by = np.repeat(np.arange(len(which)), parts)  # the set of each part
+        label = (np.arange(total) - first[by]).astype(np.uint64)
+        covered = np.stack([_mix(sums[:, list(c)].sum(1, dtype=np.uint64) + _mix(np.uint64(len(SUBSETS)) * label + np.uint64(i + (1 << 40)))) for i, c in enumerate(SUBSETS)], 1)
+        found = (covered >> np.uint64(BAND_BITS)) | (b.astype(np.uint64) << np.uint64(64 - BAND_BITS))[by][:, None]
+        strong = np.stack([held[:, list(c)].sum(1) for c in SUBSETS], 1) >= table["weak"][b][by][:, None]
+        drops = np.bincount(by, (~strong).sum(1), len(which)) <= table["spare"][b]
+        keep = strong | ~drops[by][:, None]
+        out.append((found[keep], np.repeat(which[by], keep.sum(1))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _set_hash(s: np.ndarray) -> int | None:
+    """64 bits that equal sets share, as a signed long; null for the empty set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
+
+
+def features(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``also``, key, n_shingles and cls (the set's hash) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sets = shingles(batch.column("text").to_pylist(), n)
+                sizes, hashes = pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes, hashes], names=[*batch.schema.names[:-1], "n_shingles", "cls"])
+
+    rows = docs.select(*also, docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}, n_shingles long, cls long")
+
+
+def signature_rows(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(sig, cls) of every signature of each row with a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = [shingle(t.as_py()) for t in batch.column(1)]
-                found = signatures(sets, percent)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), sigs], names=["doc_id", "n_shingles", "set_key", "sigs"])
+            for at in range(0, whole.num_rows, ROWS):
+                sets = shingles(whole.column(0).slice(at, ROWS).to_pylist(), n)
+                found, owner = signatures(sets, percent)
+                hashes = np.array([_set_hash(s) or 0 for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(hashes[owner])], names=["sig", "cls"])
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>")
+    return docs.filter(docs[key].isNotNull()).select(docs[text].cast("string").alias("text")).mapInArrow(run, "sig long, cls long")
 
 
 def _labels(size: np.ndarray, linked: np.ndarray, diffs: list[np.ndarray], percent: int) -> np.ndarray:
@@ -200,11 +282,11 @@ def _against_hub(percent: int, n: int):
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        shingle = Shingler(n)
         hub, whole = int(group["hub"].iloc[0]), int(group["n_chunks"].iloc[0]) == 1
         # an id with several texts is a hub with several sets; the first serves as the origin of differences
-        hub_sets = [s for t in sorted(set(group.loc[group["is_hub"], "text"].dropna())) if len(s := shingle(t))]
-        found = [(doc, s) for doc, t in zip(group["doc_id"], group["text"], strict=True) if doc != hub and t is not None and len(s := shingle(t))]
+        hub_sets = [s for s in shingles(sorted(set(group.loc[group["is_hub"], "text"].dropna())), n) if len(s)]
+        others = group[group["key"] != hub]
+        found = [(doc, s) for doc, s in zip(others["key"], shingles(others["text"].tolist(), n), strict=True) if len(s)]
         ids = np.array([doc for doc, _ in found], np.int64)
         size, linked, diffs = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool), []
         for i, (_, own) in enumerate(found):
@@ -217,7 +299,7 @@ def _against_hub(percent: int, n: int):
         if whole and len(found):
             label = _labels(size, linked, diffs, percent)
             joined = np.where(label < 0, hub, ids[label])
-        return pd.DataFrame({"hub": hub, "doc_id": ids, "size": size, "linked": linked, "joined": joined, "diff": None if whole else [d.view(np.int64) for d in diffs]})
+        return pd.DataFrame({"hub": hub, "key": ids, "size": size, "linked": linked, "joined": joined, "diff": None if whole else [d.view(np.int64) for d in diffs]})
 
     return run
 
@@ -226,83 +308,88 @@ def _pairs_within(percent: int):
     """A pair of blocks of a large group: each member with what it is joined to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, hub = group["doc_id"].to_numpy(np.int64), int(group["hub"].iloc[0])
+        ids, hub = group["key"].to_numpy(np.int64), int(group["hub"].iloc[0])
         label = _labels(group["size"].to_numpy(np.int64), group["linked"].to_numpy(bool), [np.asarray(d, np.int64) for d in group["diff"]], percent)
-        return pd.DataFrame({"doc_id": ids, "joined": np.where(label < 0, hub, ids[label])})
+        return pd.DataFrame({"key": ids, "joined": np.where(label < 0, hub, ids[label])})
 
     return run
 
 
-def _hubs(classes: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, hub): the pairs of sets to compare.
+def _band(sig: str = "sig") -> Column:
+    return F.shiftrightunsigned(sig, 64 - BAND_BITS).cast("int")
 
-    Under a signature of at most PAIRS classes each pair is named, and stays if it shares as
-    many signatures of a band as linked sets must. Under a more common one every class goes
-    to the smallest id, whose group then finds the links among its members too. Linked sets
-    meet one way or the other: either all that they share is of the first kind, or not.
-
-    Few signatures are shared. While they number at most BROADCAST_ROWS they go to the
-    signatures' own tasks, and only one shuffle sees all signatures; more are joined by shuffle.
-    """
-    rows = classes.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = staged(rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "join-shared")
-    met = staged(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "sig"), "join-met")
-    common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
-    few = met.filter(F.col("n") <= PAIRS).groupBy("sig").agg(F.array_sort(F.collect_set("doc_id")).alias("d"))
-    pairs = few.select("sig", F.explode(F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.lit(PAIRS)), lambda y: F.struct(x.alias("hub"), y.alias("doc_id")))))).alias("p"))
-    counted = pairs.groupBy("p.hub", "p.doc_id", F.shiftrightunsigned("sig", 64 - BAND_BITS).cast("int").alias("band")).agg(F.count("*").alias("n"))
-    near = counted.filter(F.col("n") >= F.get(common, F.col("band"))).select("doc_id", "hub")
-    return near.union(met.filter((F.col("n") > PAIRS) & (F.col("doc_id") != F.col("hub"))).select("doc_id", "hub")).distinct()
 
+def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
+    """(cls, hub): the pairs of sets to compare, from (sig, cls) rows.
 
-def smallest_ids(feats: DataFrame) -> DataFrame:
-    """(set_key, rep): the smallest id of each class of equal sets.
-
-    Staged, so that the joins with it see two plain shuffles, whose skew Spark can split.
+    The rows are dealt out twice, first in partial aggregates for the signatures that
+    different sets share, then to find who shares them; a signature that a large part of
+    the sets share is combined before the first shuffle, and its join can be split.
     """
-    return staged(feats.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "join-classes")
-
-
-def links(docs: DataFrame, feats: DataFrame, least: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    shared = tables.put(rows.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("sig"), "join-shared")
+    met = tables.put(rows.join(shared.hint("shuffle_hash"), "sig"), "join-met")
+    tables.drop(shared)
+    common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
+    able = met.groupBy("cls", _band().alias("band")).agg(F.count_distinct("sig").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "band")
+    left = tables.put(met.distinct().withColumn("band", _band()).join(able, ["cls", "band"], "left_semi"), "join-able")
+    tables.drop(met)
+    groups = left.groupBy("sig").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    grouped = tables.put(left.join(groups, "sig").select("sig", "cls", "hub", "n"), "join-groups")
+    tables.drop(left)
+    few = grouped.filter(F.col("n") <= PAIRS).groupBy("sig").agg(F.array_sort(F.collect_set("cls")).alias("d"))
+    pairs = few.select("sig", F.explode(F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.lit(PAIRS)), lambda y: F.struct(x.alias("hub"), y.alias("cls")))))).alias("p"))
+    near = pairs.groupBy("p.hub", "p.cls", _band().alias("band")).agg(F.count("*").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "hub")
+    many = grouped.filter((F.col("n") > PAIRS) & (F.col("cls") != F.col("hub"))).select("cls", "hub")
+    out = tables.put(near.union(many).distinct(), "join-candidates")
+    tables.drop(grouped)
+    return out
+
+
+def compared(docs: DataFrame, star: DataFrame, classes: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """hub, key, size, linked, joined, diff of every candidate pair, by the keys that stand for the sets."""
+    own = star.join(classes, "cls").join(classes.select(F.col("cls").alias("hub"), F.col("rep").alias("hub_rep")), "hub").select("hub_rep", "rep", "n_shingles")
+    parts = F.greatest(F.ceil(F.sum("n_shingles") / FEATURES), F.ceil(F.count("*") / CHUNK)).cast("int")
+    chunks = own.groupBy("hub_rep").agg(parts.alias("n_chunks"))
+    sized = own.join(chunks, "hub_rep").select(F.col("rep").alias("key"), F.col("hub_rep").alias("hub"), "n_chunks", F.expr("pmod(xxhash64(rep), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
+    hubs = chunks.select(F.col("hub_rep").alias("key"), F.col("hub_rep").alias("hub"), "n_chunks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.lit(True).alias("is_hub"))
+    texts = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+    dealt = texts.join(sized.unionByName(hubs).hint("shuffle_hash"), "key")
+    return dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, key long, size long, linked boolean, joined long, diff array<long>")
+
+
+def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b) rows that connect exactly what the similarity links connect."""
-    named = feats.filter("doc_id is not null and set_key is not null")
-    member = staged(named.select("doc_id", "set_key").join(least, "set_key"), "join-members")
-    # copies leave; signatures stay in their tasks while the copies' ids are few enough to go there
-    copies = member.filter("doc_id <> rep").select("doc_id", "set_key")
-    classes = named.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["doc_id", "set_key"], "left_anti")
-    star = staged(_hubs(classes, percent), "join-hubs")
-    texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    few = star.count() <= BROADCAST_ROWS
-    side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    chunks = staged(star.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n_chunks")), "join-chunks")
-    sized = star.join(side(chunks), "hub").select("doc_id", "hub", "n_chunks", F.expr("pmod(xxhash64(doc_id), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
-    hubs = chunks.select(F.col("hub").alias("doc_id"), "hub", "n_chunks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.lit(True).alias("is_hub"))
-    dealt = texts.join(side(sized.unionByName(hubs)), "doc_id")
-    compared = dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, doc_id long, size long, linked boolean, joined long, diff array<long>")
-    compared = staged(compared, "join-compared")
-    direct = compared.select(F.col("doc_id").alias("a"), F.col("joined").alias("b"))
-    # groups of several chunks with something left to find: not all linked to the hub
-    open_groups = compared.filter("diff is not null").groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("apart")).filter("n > 1 and apart > 0")
-    open_groups = open_groups.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = compared.filter("diff is not null").join(open_groups, "hub").withColumn("block", F.expr("pmod(xxhash64(doc_id, 7), blocks)").cast("int"))
+    star = candidates(signature_rows(docs, n, percent, key, text), percent, tables)
+    found = tables.put(compared(docs, star, classes, n, percent, key, text), "join-compared")
+    tables.drop(star)
+    direct = found.select(F.col("key").alias("a"), F.col("joined").alias("b"))
+    # groups of several chunks that hold sets which their hub does not link: those sets, and all that can reach one
+    reach = F.floor(F.col("size") * (100 - percent) / percent)
+    apart = F.size("diff")
+    open_ = ~F.col("linked")
+    groups = found.filter("diff is not null").groupBy("hub").agg(F.min(F.when(open_, apart - reach)).alias("lo"), F.max(F.when(open_, apart + reach)).alias("hi")).filter("lo is not null")
+    rows = found.filter("diff is not null").join(groups, "hub").filter(apart.between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    blocks = rows.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "hub").withColumn("block", F.expr("pmod(xxhash64(key, 7), blocks)").cast("int"))
     # block pairs (i, j), i <= j: a member goes to every pair that holds its block
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    rows = rows.withColumn("at", F.explode(pair)).select("hub", "doc_id", "size", "linked", "diff", "at.i", "at.j")
-    inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "doc_id long, joined long").select(F.col("doc_id").alias("a"), F.col("joined").alias("b"))
+    rows = rows.withColumn("at", F.explode(pair)).select("hub", "key", "size", "linked", "diff", "at.i", "at.j")
+    inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "key long, joined long").select(F.col("key").alias("a"), F.col("joined").alias("b"))
     # a document with several texts holds its classes together
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
-    held_by = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return direct.union(inner).union(held_by).filter("a <> b").distinct()
+    member = feats.filter("key is not null").join(classes, "cls").select("key", "rep").distinct()
+    several = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
+    held_by = member.join(several, "key", "left_semi").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    out = tables.put(direct.union(inner).union(held_by).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "join-links")
+    tables.drop(found)
+    return out
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every id in ``edges`` (a, b): the smallest id reachable.
+def connected(edges: DataFrame, tables: Staging) -> DataFrame:
+    """(a, component_id) of every id in ``edges`` (a, b; staged, dropped here; a > b): the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges stop changing; each step
     is an aggregation and a join on the node, over a staged table.
     """
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -315,30 +402,41 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = staged(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    return edges.groupBy("a").agg(F.min("b").alias("component_id")).withColumnRenamed("a", "doc_id")
+        after = tables.put(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "join-stars")
+        tables.drop(edges)
+        edges = after
+    return edges.groupBy("a").agg(F.min("b").alias("component_id"))
+
+
+def resolved(docs: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``also``, key, n_shingles and component_id of every row; valid while ``tables`` are."""
+    feats = tables.put(features(docs, n, key, text, also), "join-features")
+    classes = tables.put(feats.filter("key is not null and cls is not null").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles")), "join-classes")
+    found = connected(links(docs, feats, classes, n, percent, tables, key, text), tables)
+    rows = feats.join(classes.select("cls", "rep"), "cls", "left").withColumn("rep", F.coalesce("rep", "key"))
+    rows = rows.join(found.withColumnRenamed("a", "rep"), "rep", "left")
+    return rows.select(*also, "key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    feats = staged(features(docs, n, percent, key, text), "join-features")
-    least = smallest_ids(feats)
-    found = connected(links(docs, feats, least, n, percent, key, text))
-    rows = feats.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    rows = rows.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    with Staging(docs.sparkSession, ARROW_ROWS) as tables:
+        return staged(resolved(docs, n, percent, tables, key, text).withColumnRenamed("key", "doc_id"), "join-components")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one with the smallest id; rows without an id stay.
+    """One row of each component, the one with the smallest id, nulls last; rows without words are linked with nothing.
 
-    Where an id repeats, one of its rows stays; only such rows meet in a shuffle.
+    Rows count as one where they agree in id and text: one of them stays, the same in every
+    run. Rows with a null id, or with one id and different texts, are documents of their own.
     """
-    ids = components(docs, n, percent).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    ids = staged(ids, "join-kept")
-    few = ids.count() <= BROADCAST_ROWS
-    side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    single = docs.join(side(ids.filter("_rows = 1").select(F.col("doc_id").alias("_id"))), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    repeated = docs.join(side(ids.filter("_rows > 1").select(F.col("doc_id").alias("_id"))), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("doc_id", "text").alias("_key"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    with Staging(docs.sparkSession, ARROW_ROWS) as tables:
+        rows = resolved(keyed, n, percent, tables, "_key", "_text", ("_id",))
+        rows = rows.groupBy("component_id", "key").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
+        best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")).alias("b"))
+        kept = staged(best.select(F.col("b.key").alias("_key"), F.col("b.n").alias("_rows")), "join-kept")
+    found = keyed.select("_key", "_doc").join(kept.hint("shuffle_hash"), "_key")
+    single = found.filter("_rows = 1").select("_doc")
+    repeated = found.filter("_rows > 1").groupBy("_key").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc")
+    return single.union(repeated).select("_doc.*")
