@@ -43,7 +43,7 @@ QUANTILE, ACCURACY = 0.99, 10_000
 MARGIN, SHORT = 0.15, 6.0
 START, END = 2, 3
 #: Rows of a batch, by the bytes of its texts; larger texts are batches of their own.
-BATCHES = ((1 << 12, 8192), (1 << 14, 2048), (1 << 17, 256), (1 << 21, 16))
+BATCHES = ((1 << 14, 8192), (1 << 17, 512), (1 << 21, 32))
 
 
 def symbols(text: str | None) -> np.ndarray:
