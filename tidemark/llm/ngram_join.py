@@ -345,9 +345,14 @@ def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
     return out
 
 
-def compared(docs: DataFrame, star: DataFrame, classes: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """hub, key, size, linked, joined, diff of every candidate pair, by the keys that stand for the sets."""
-    own = star.join(classes, "cls").join(classes.select(F.col("cls").alias("hub"), F.col("rep").alias("hub_rep")), "hub").select("hub_rep", "rep", "n_shingles")
+def paired(star: DataFrame, classes: DataFrame) -> DataFrame:
+    """(hub_rep, rep, n_shingles): candidate pairs of sets by the keys that stand for them."""
+    hubs = classes.select(F.col("cls").alias("hub"), F.col("rep").alias("hub_rep"))
+    return star.join(classes, "cls").join(hubs, "hub").select("hub_rep", "rep", "n_shingles")
+
+
+def compared(docs: DataFrame, own: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """hub, key, size, linked, joined, diff of every candidate pair of ``own`` (hub_rep, rep, n_shingles)."""
     parts = F.greatest(F.ceil(F.sum("n_shingles") / FEATURES), F.ceil(F.count("*") / CHUNK)).cast("int")
     chunks = own.groupBy("hub_rep").agg(parts.alias("n_chunks"))
     sized = own.join(chunks, "hub_rep").select(F.col("rep").alias("key"), F.col("hub_rep").alias("hub"), "n_chunks", F.expr("pmod(xxhash64(rep), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
@@ -357,11 +362,9 @@ def compared(docs: DataFrame, star: DataFrame, classes: DataFrame, n: int, perce
     return dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, key long, size long, linked boolean, joined long, diff array<long>")
 
 
-def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b) rows that connect exactly what the similarity links connect."""
-    star = candidates(signature_rows(docs, n, percent, key, text), percent, tables)
-    found = tables.put(compared(docs, star, classes, n, percent, key, text), "join-compared")
-    tables.drop(star)
+def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b) rows that connect exactly what the similarity links among the candidates of ``own`` connect."""
+    found = tables.put(compared(docs, own, n, percent, key, text), "join-compared")
     direct = found.select(F.col("key").alias("a"), F.col("joined").alias("b"))
     # groups of several chunks that hold sets which their hub does not link: those sets, and all that can reach one
     reach = F.floor(F.col("size") * (100 - percent) / percent)
@@ -408,14 +411,20 @@ def connected(edges: DataFrame, tables: Staging) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component_id"))
 
 
+def settled(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``also``, key, n_shingles and component_id of every row of ``feats``, from the candidates of ``own``; valid while ``tables`` are."""
+    found = connected(links(docs, feats, classes, own, n, percent, tables, key, text), tables)
+    rows = feats.join(classes.select("cls", "rep"), "cls", "left").withColumn("rep", F.coalesce("rep", "key"))
+    rows = rows.join(found.withColumnRenamed("a", "rep"), "rep", "left")
+    return rows.select(*also, "key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
+
+
 def resolved(docs: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """``also``, key, n_shingles and component_id of every row; valid while ``tables`` are."""
     feats = tables.put(features(docs, n, key, text, also), "join-features")
     classes = tables.put(feats.filter("key is not null and cls is not null").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles")), "join-classes")
-    found = connected(links(docs, feats, classes, n, percent, tables, key, text), tables)
-    rows = feats.join(classes.select("cls", "rep"), "cls", "left").withColumn("rep", F.coalesce("rep", "key"))
-    rows = rows.join(found.withColumnRenamed("a", "rep"), "rep", "left")
-    return rows.select(*also, "key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
+    star = candidates(signature_rows(docs, n, percent, key, text), percent, tables)
+    return settled(docs, feats, classes, paired(star, classes), n, percent, tables, key, text, also)
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

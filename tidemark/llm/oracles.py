@@ -5,7 +5,58 @@ from __future__ import annotations
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _COUNT = lambda pattern, c="t": f"length({c}) - length(regexp_replace({c}, '{pattern}', '', 'g'))"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _near(n: int, percent: int) -> str:
+    """Sets of word n-grams, all pairs that share one, and what their links reach."""
+    return rf"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '{_NOT_SPACE}+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {n} then [w] else list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}]) end) g from d), n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
+reach as (select doc_id a, doc_id b from d union select reach.a, e.b from reach join e on e.a = reach.b),
+c as (select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c component_id from d left join n using (doc_id) join (select a doc_id, min(b) c from reach group by 1) using (doc_id))"""
+
+
+def _merkle(depth: int = 8) -> str:
+    """Runs of 16 level by level, up to 16**depth leaves a source and as many sources; a level applies where its tree has several nodes."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, b: case when b >= 0 then xor(x, b) else xor(x >> 1, 3988292384 * (x & 1)) end)"
+    out = [
+        f"with d as (select row_number() over () r, doc_id, source, {leaf('text')} leaf, case when xor({bits}, 4294967295) % 5 = 0 then {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end other from documents)",
+        "o as (select *, coalesce('=' || source, '-') tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by source) n from d)",
+        "n0 as (select tree, pos, n, leaf h from o)",
+    ]
+    for k in range(depth):
+        out.append(f"r{k} as (select tree, pos // 16 run, list(h order by pos) hs from n{k} where n > 1 group by all)")
+        out.append(f"n{k + 1} as (select tree, run pos, (any_value(n) + 15) // 16 n, sha256(array_to_string(any_value(hs), '')) h from r{k} join n{k} using (tree) where n{k}.pos = run * 16 group by tree, run union all select tree, pos, n, h from n{k} where n = 1)")
+    out.append(f"m0 as (select tree, row_number() over (order by tree collate binary) - 1 pos, count(*) over () n, h from n{depth})".replace(" collate binary", ""))
+    for k in range(depth):
+        out.append(f"q{k} as (select pos // 16 run, list(h order by pos) hs from m{k} where n > 1 group by all)")
+        out.append(f"m{k + 1} as (select run pos, (any_value(n) + 15) // 16 n, sha256(array_to_string(any_value(hs), '')) h from q{k}, m{k} where m{k}.pos = run * 16 group by run union all select pos, n, h from m{k} where n = 1)")
+    # of each leaf: the siblings so far, and what its own digest has become
+    step = "{0} as (select p.*, p.place // 16 place1, concat(sib, array_to_string(list_concat(hs[:p.place % 16], hs[p.place % 16 + 2:]), '')) sib1, case when hs is null then cur else sha256(concat(array_to_string(hs[:p.place % 16], ''), cur, array_to_string(hs[p.place % 16 + 2:], ''))) end cur1 from {1} p left join {2} on {3})"
+    out.append("p0 as (select r, doc_id, tree, leaf, pos place, '' sib, coalesce(other, leaf) cur from o)")
+    for k in range(depth):
+        out.append(step.format(f"x{k}", f"p{k}", f"r{k} t", "t.tree = p.tree and t.run = p.place // 16"))
+        out.append(f"p{k + 1} as (select r, doc_id, tree, leaf, place1 place, sib1 sib, cur1 cur from x{k})")
+    out.append(f"s0 as (select r, doc_id, leaf, m0.h subroot, m0.pos place, sib, cur from p{depth} join m0 using (tree))")
+    for k in range(depth):
+        out.append(step.format(f"y{k}", f"s{k}", f"q{k} t", "t.run = p.place // 16"))
+        out.append(f"s{k + 1} as (select r, doc_id, leaf, subroot, place1 place, sib1 sib, cur1 cur from y{k})")
+    return ",\n".join(out) + f"\nselect doc_id, leaf, subroot, m{depth}.h root, sha256(sib) proof_sha256, cur folded_root, cur = m{depth}.h verified from s{depth}, m{depth}"
+
+
 ORACLES: dict[str, str] = {
+    "op11_minhash_near_dup": _near(2, 80) + " select *, doc_id = component_id kept from c",
+    "op12_lexical_search": rf"""with d as (select row_number() over () r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents), s as (select count(*) filter (len(w) > 0) n, sum(len(w))::bigint l from d),
+b as (select row_number() over () i, item_id, unnest(list_distinct(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) t from benchmark),
+f as (select r, t, count(*) tf from (select r, unnest(w) t from d) group by all), w as (select t, floor(1000 * ln((2 * s.n + 2)::double / (2 * count(*) + 1)::double))::bigint w from f, s group by t, s.n),
+m as (select r, doc_id, 50 + (50 * len(w)::bigint * s.n) // s.l m from d, s where len(w) > 0),
+c as (select i, item_id, r, doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m)))::bigint score from b join f using (t) join w using (t) join m using (r) group by all)
+select item_id, (row_number() over v)::int "rank", doc_id, score from c where score > 0 window v as (partition by i order by score desc, doc_id) qualify row_number() over v <= 50""",
+    "op13_merkle_manifest": _merkle(),
     "op2_quality_rules": rf"""with d as (select row_number() over () r, doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}+') w from documents),
 l as (select r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_NOT_SPACE}')) l from d),
 p as (select r, unnest(range(1, len(w) - 6)) i, w from d where len(w) >= 8), q as (select r, i, w[i:i + 7] s from p),

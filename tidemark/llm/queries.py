@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, kneser_ney, mixing, ngram_join, quality, secrets, token_counts, topk
+from . import bpe, chat, html, kneser_ney, lexical, merkle, minhash, mixing, ngram_join, quality, secrets, token_counts, topk
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -61,5 +61,23 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf and proof; every fifth row by its id's checksum is checked with the text's A-Z lower-cased."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = [F.translate("text", capitals, capitals.lower()) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*changed))
+    rows = merkle.manifest(table(spark, sf_dir, "documents").withColumn("tampered", tampered), also=("tampered",))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
