@@ -31,7 +31,6 @@ from .common import Staging, staged
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY, LEVELS = 16, 3
-BLOCK = ARITY**LEVELS
 
 
 def leaf(*values: Column) -> Column:
@@ -90,51 +89,58 @@ class Appends:
         return out
 
 
-def _grown(nodes: pa.Table) -> tuple[pa.Table, Appends, int]:
-    """A block's nodes in order, appended, and the levels that it has: LEVELS where its tree has other blocks."""
+def _grown(nodes: pa.Table, most: int) -> tuple[pa.Table, Appends, int]:
+    """A block's nodes in order, appended, and the levels that it has: ``most`` where its tree has other blocks."""
     nodes, tree = nodes.sort_by("pos"), Appends()
     for digest in nodes.column("digest").to_pylist():
         tree.append(digest)
     levels, left = 0, nodes.num_rows
     while left > 1:
         levels, left = levels + 1, -(-left // ARITY)
-    return nodes, tree, levels if nodes.column("n")[0].as_py() <= BLOCK else LEVELS
+    return nodes, tree, levels if nodes.column("n")[0].as_py() <= ARITY**most else most
 
 
-def _block_root(nodes: pa.Table) -> pa.Table:
-    nodes, tree, levels = _grown(nodes)
-    n = -(-nodes.column("n")[0].as_py() // BLOCK)
-    return pa.table({"tree": nodes.column("tree").slice(0, 1), "pos": [nodes.column("pos")[0].as_py() // BLOCK], "digest": [tree.close(levels)], "n": [n]}, schema=pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("n", pa.int64())]))
+NODE = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("n", pa.int64())])
 
 
-def _handed_down(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _block_root(most: int):
+    def run(nodes: pa.Table) -> pa.Table:
+        nodes, tree, levels = _grown(nodes, most)
+        first = nodes.slice(0, 1).to_pylist()[0]
+        return pa.table({"tree": [first["tree"]], "pos": [first["pos"] // ARITY**most], "digest": [tree.close(levels)], "n": [-(-first["n"] // ARITY**most)]}, schema=NODE)
+
+    return run
+
+
+def _handed_down(most: int):
     """Each node's witness: its own within the block, and then the block's."""
-    nodes, tree, levels = _grown(nodes)
-    tree.close(levels)
-    block = above.slice(0, 1).to_pylist()[0]
-    paths = pa.array([tree.path(i, levels) + block["witness"] for i in range(nodes.num_rows)], pa.list_(pa.string()))
-    same = lambda name: pa.array([block[name]] * nodes.num_rows, pa.string())
-    return nodes.drop_columns(["n"]).append_column("witness", paths).append_column("subroot", same("subroot")).append_column("root", same("root"))
 
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes, tree, levels = _grown(nodes, most)
+        tree.close(levels)
+        block = above.slice(0, 1).to_pylist()[0]
+        paths = pa.array([tree.path(i, levels) + block["witness"] for i in range(nodes.num_rows)], pa.list_(pa.string()))
+        same = lambda name: pa.array([block[name]] * nodes.num_rows, pa.string())
+        return nodes.drop_columns(["n"]).append_column("witness", paths).append_column("subroot", same("subroot")).append_column("root", same("root"))
 
-def _block() -> Column:
-    return F.expr(f"pos div {BLOCK}").alias("block")
+    return run
 
 
-def _rounds(nodes: DataFrame, tables: Staging) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, levels: int, tables: Staging) -> list[DataFrame]:
     """``nodes`` (tree, pos, digest, n) and above them the roots of blocks, round by round, until each tree has one."""
     out = [nodes]
     while True:
-        out.append(tables.put(out[-1].select("tree", "pos", "digest", "n").groupBy("tree", _block()).applyInArrow(_block_root, "tree string, pos long, digest string, n long"), "merkle-blocks"))
+        blocks = out[-1].select("tree", "pos", "digest", "n").groupBy("tree", F.expr(f"pos div {ARITY**levels}"))
+        out.append(tables.put(blocks.applyInArrow(_block_root(levels), "tree string, pos long, digest string, n long"), "merkle-blocks"))
         if (out[-1].agg(F.max("n")).first()[0] or 1) == 1:
             return out
 
 
-def _witnessed(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _witnessed(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """``nodes`` with witness, subroot and root; ``above``: those of the blocks, by tree and pos."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields if f.name != "n")
     by = above.withColumn("block", F.col("pos")).groupBy("tree", "block")
-    return nodes.groupBy("tree", _block()).cogroup(by).applyInArrow(_handed_down, f"{fields}, witness array<string>, subroot string, root string")
+    return nodes.groupBy("tree", F.expr(f"pos div {ARITY**levels}").alias("block")).cogroup(by).applyInArrow(_handed_down(levels), f"{fields}, witness array<string>, subroot string, root string")
 
 
 def _placed(rows: DataFrame, order: list[str], tables: Staging) -> DataFrame:
@@ -149,27 +155,27 @@ def _placed(rows: DataFrame, order: list[str], tables: Staging) -> DataFrame:
     return ranged.withColumn("_part", part).join(starts, ["tree", "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, source: str = "source", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, source: str = "source", key: str = "doc_id", also: tuple[str, ...] = (), levels: int = LEVELS) -> DataFrame:
     """key, ``also``, leaf, witness, subroot, root of every row.
 
     ``witness`` has two texts for each level from the leaf's run up to the root: the digests
-    left of the node and those right of it.
+    left of the node and those right of it. A task appends ``ARITY**levels`` leaves at most.
     """
     tree = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
     with Staging(docs.sparkSession) as tables:
         rows = tables.put(docs.select(F.col(key).alias("key"), *[F.col(c) for c in also], tree.alias("tree"), leaf(*[F.col(c) for c in fields]).alias("digest")), "merkle-leaves")
         leaves = staged(_placed(rows, ["tree", "key", "digest"], tables), "merkle-nodes")
         tables.drop(rows)
-        rounds = _rounds(leaves, tables)
+        rounds = _rounds(leaves, levels, tables)
         # '-' comes before '=': the null source first, then the others by their bytes
         subroots = _placed(rounds[-1].select("tree", "digest").withColumnsRenamed({"tree": "source", "digest": "subroot"}).withColumn("tree", F.lit("")), ["source"], tables)
         subroots = tables.put(subroots.withColumn("digest", F.col("subroot")), "merkle-subroots")
-        upper = _rounds(subroots.select("tree", "pos", "digest", "n"), tables)
+        upper = _rounds(subroots.select("tree", "pos", "digest", "n"), levels, tables)
         above = upper[-1].select("tree", "pos", F.array().cast("array<string>").alias("witness"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
         for nodes in reversed(upper[:-1]):
-            above = tables.put(_witnessed(nodes, above).drop("digest"), "merkle-above")
+            above = tables.put(_witnessed(nodes, above, levels).drop("digest"), "merkle-above")
         above = subroots.drop("n", "digest").join(above.select("pos", "witness", "root"), "pos").select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("pos"), "witness", "subroot", "root")
         for nodes in reversed(rounds[1:-1]):
-            above = tables.put(_witnessed(nodes, above).drop("digest"), "merkle-above")
+            above = tables.put(_witnessed(nodes, above, levels).drop("digest"), "merkle-above")
         above = staged(above, "merkle-above")
-    return _witnessed(leaves, above).select(F.col("key").alias(key), *also, F.col("digest").alias("leaf"), "witness", "subroot", "root")
+    return _witnessed(leaves, above, levels).select(F.col("key").alias(key), *also, F.col("digest").alias("leaf"), "witness", "subroot", "root")

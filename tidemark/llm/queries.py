@@ -69,15 +69,19 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's leaf and proof; every fifth row by its id's checksum is checked with the text's A-Z lower-cased."""
+def proven(docs: DataFrame, levels: int = merkle.LEVELS) -> DataFrame:
+    """Every row's leaf and proof; each fifth one, by its id's checksum, is checked with the text's A-Z lower-cased."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     changed = [F.translate("text", capitals, capitals.lower()) if c == "text" else F.col(c) for c in merkle.FIELDS]
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*changed))
-    rows = merkle.manifest(table(spark, sf_dir, "documents").withColumn("tampered", tampered), also=("tampered",))
+    rows = merkle.manifest(docs.withColumn("tampered", tampered), also=("tampered",), levels=levels)
     rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proven(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
