@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import kept
+
 CACHE = 400_000
 
 
@@ -126,15 +128,6 @@ def ranks_of(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line)}
 
 
-_LOADED: dict[str, PrefixBPE] = {}
-
-
-def _coder(lines: bytes, pattern: str, key: str) -> PrefixBPE:
-    if key not in _LOADED:
-        _LOADED[key] = PrefixBPE(ranks_of(lines), pattern)
-    return _LOADED[key]
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """key, ids, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text.
 
@@ -146,7 +139,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     name = hashlib.sha256(lines + pattern.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern, name)
+        coder = kept(name, lambda: PrefixBPE(ranks_of(shared.value), pattern))
         for batch in batches:
             out = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for value in batch.column(1):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.staging import Staging, staged, table
 
-__all__ = ["SPACE", "Staging", "WORD", "let", "staged", "table", "text_of"]
+__all__ = ["SPACE", "Staging", "WORD", "kept", "let", "staged", "table", "text_of"]
+
+Held = TypeVar("Held")
+_IN_WORKER: dict[str, object] = {}
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +27,14 @@ def text_of(column: str = "text") -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def kept(name: str, make: Callable[[], Held]) -> Held:
+    """What a Python worker keeps from task to task under ``name``; what it kept under another name is let go first.
+
+    Workers outlive stages, and so would the tables of one operator while another runs.
+    """
+    if name not in _IN_WORKER:
+        _IN_WORKER.clear()
+        _IN_WORKER[name] = make()
+    return _IN_WORKER[name]

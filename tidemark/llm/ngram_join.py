@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, staged
+from .common import Staging, kept, staged
 
 #: Cells of a part, and how many of them a signature covers.
 CUTS, KEEP = 3, 2
@@ -74,22 +74,26 @@ _CODES[65:91] = _CODES[97:123]
 _SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2**bits powers of the base, and of its inverse."""
-    made = []
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of the base, and of its inverse, at least; a worker keeps those of a piece."""
+    made = kept("powers", lambda: _series(2 * PIECE))
+    return made if size <= len(made[0]) else _series(size)
+
+
+def _series(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(1 << bits, base, np.uint64)
+        steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        made.append(np.multiply.accumulate(steps))
-    return made[0], made[1]
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place and hash of every word of the bytes."""
     space = np.concatenate([[True], _SPACES[data], [True]])
     start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    up, down = _powers(max(10, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)], dtype=np.uint64)])
     return start, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
