@@ -335,10 +335,10 @@ def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
     tables.drop(shared)
     common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
     able = met.groupBy("cls", _band().alias("band")).agg(F.count_distinct("sig").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "band")
-    left = tables.put(met.distinct().withColumn("band", _band()).join(able, ["cls", "band"], "left_semi"), "join-able")
+    left = tables.put(met.distinct().withColumn("band", _band()).join(able.hint("shuffle_hash"), ["cls", "band"], "left_semi"), "join-able")
     tables.drop(met)
     groups = left.groupBy("sig").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    grouped = tables.put(left.join(groups, "sig").select("sig", "cls", "hub", "n"), "join-groups")
+    grouped = tables.put(left.join(groups.hint("shuffle_hash"), "sig").select("sig", "cls", "hub", "n"), "join-groups")
     tables.drop(left)
     few = grouped.filter(F.col("n") <= PAIRS).groupBy("sig").agg(F.array_sort(F.collect_set("cls")).alias("d"))
     pairs = few.select("sig", F.explode(F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.lit(PAIRS)), lambda y: F.struct(x.alias("hub"), y.alias("cls")))))).alias("p"))
