@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,9 @@ def join_baseline(captures: DataFrame, baselines: DataFrame) -> DataFrame:
 
 #: Per policy: fields compared, and whether a blank on either side hides a difference.
 POLICY = "policy string, source_id string, use_status boolean, use_etag boolean, use_modified boolean, use_hash boolean, use_period boolean, use_value boolean, blank_is_same boolean"
-#: That of a source which no policy names: every field counts.
-DEFAULT = {f: True for f in ("use_status", "use_etag", "use_modified", "use_hash", "use_period", "use_value", "blank_is_same")}
+#: That of a source which no policy names: every field counts. ``validity_only``, a column that policies may
+#: have besides, makes a valid capture count whether it differs or not.
+DEFAULT = {f: True for f in ("use_status", "use_etag", "use_modified", "use_hash", "use_period", "use_value", "blank_is_same")} | {"validity_only": False}
 #: Fields of the headers and of the content, with the switch of each.
 HEADERS = {"status_code": "use_status", "etag": "use_etag", "last_modified": "use_modified"}
 CONTENT = {"content_hash": "use_hash", "period": "use_period", "actual": "use_value"}
@@ -55,15 +57,82 @@ def detect_changes(captures: DataFrame, policies: DataFrame) -> DataFrame:
     default. Fields that the captures lack are not compared. A first capture has no
     predecessor and counts as unchanged.
     """
-    fields = [c for c in (*HEADERS, *CONTENT) if c in captures.columns]
-    prev = captures.withColumn("_p", F.lag(F.struct(*fields, F.lit(True).alias("_there"))).over(_order())).join(policies, "source_id", "left")
-    prev = prev.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULT.items()})
+    fields = compared(captures)
+    prev = with_policies(captures.withColumn("_p", F.lag(F.struct(*fields, F.lit(True).alias("_there"))).over(_order())), policies)
+    there = F.col("_p._there").isNotNull()
+    flags = {name: there & any_differs(of, fields, F.col, lambda c: F.col(f"_p.{c}")) for name, of in (("headers_changed", HEADERS), ("content_changed", CONTENT))}
+    return prev.withColumns(flags).drop("_p")
 
-    def changed(of: dict[str, str]) -> Column:
-        parts = [F.col(use) & differs(F.col(c), F.col(f"_p.{c}"), F.col("blank_is_same")) for c, use in of.items() if c in fields]
-        return F.col("_p._there").isNotNull() & reduce(lambda a, b: a | b, parts, F.lit(False))
 
-    return prev.withColumns({"headers_changed": changed(HEADERS), "content_changed": changed(CONTENT)}).drop("_p")
+def compared(captures: DataFrame) -> list[str]:
+    """The fields of HEADERS and CONTENT that the captures have."""
+    return [c for c in (*HEADERS, *CONTENT) if c in captures.columns]
+
+
+def with_policies(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """``rows`` with the switches of their source, or the default."""
+    known = rows.join(policies, "source_id", "left")
+    return known.withColumns({c: F.coalesce(c, F.lit(v)) if c in policies.columns else F.lit(v) for c, v in DEFAULT.items()})
+
+
+def any_differs(of: dict[str, str], fields: list[str], now: Callable[[str], Column], before: Callable[[str], Column]) -> Column:
+    """Whether a field of ``of`` that counts differs."""
+    parts = [F.col(use) & differs(now(c), before(c), F.col("blank_is_same")) for c, use in of.items() if c in fields]
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def changed_captures(captures: DataFrame, policies: DataFrame, valid: Column | None = None) -> DataFrame:
+    """(release_id, source_id, seq, method) of the valid captures that differ from the one before, or need not by their policy."""
+    rows = detect_changes(captures.withColumn("_valid", F.coalesce(valid if valid is not None else F.lit(True), F.lit(False))), policies)
+    method = F.coalesce(detection_method(F.col("headers_changed"), F.col("content_changed")), F.when(F.col("validity_only"), "valid"))
+    return rows.withColumn("method", method).filter(F.col("_valid") & F.col("method").isNotNull()).select(*KEY, "seq", "method")
+
+
+# from captures to the first valid change of each source
+
+
+def until_close(captures: DataFrame, window: str, lookback: str) -> DataFrame:
+    """Captures from ``lookback`` before their event to ``window`` after it, with the end of the window, ``closes``."""
+    rows = captures.withColumn("closes", F.expr(f"event_time + interval {window}"))
+    return rows.filter(F.col("captured_at").between(F.expr(f"event_time - interval {lookback}"), F.col("closes")))
+
+
+def versions(captures: DataFrame, good: Column, valid: Column, before: str = "1 minute", lead: str = "2 seconds") -> DataFrame:
+    """One row per release, source and version of its document, that is, the fields that are compared.
+
+    base_at: its last capture up to ``before`` the event, first_at: its first in the window; both
+    (captured_at, seq). ``good``: the fetch gave a value; only such a version can be a baseline.
+    However often a source is polled, what goes on from here has a row for each version. The
+    captures have ``event_time`` and ``closes``; in a stream the latter is the event time.
+    """
+    at, known = F.struct("captured_at", "seq"), lambda c: F.coalesce(c, F.lit(False))
+    early, inside = F.expr(f"captured_at <= event_time - interval {before}"), F.expr(f"captured_at >= event_time - interval {lead}")
+    error = F.col("error") if "error" in captures.columns else F.lit(None).cast("string")
+    return captures.groupBy(*KEY, "event_time", "closes", *compared(captures), known(good).alias("good"), known(valid).alias("valid")).agg(
+        F.max(F.when(early, at)).alias("base_at"), F.min(F.when(inside, at)).alias("first_at"), F.count("*").alias("polls"), F.max(F.when(error.isNotNull(), F.struct("captured_at", "seq", error.alias("error")))).alias("failed"),
+    )
+
+
+def hits_of_versions(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """Per release and source: its last good baseline, and its first capture in the window that is valid and differs from it.
+
+    Columns: release_id, source_id, event_time, closes, base (the fields, null without a good
+    capture before the event), hit (captured_at, seq, actual, method; null without one), polls,
+    last_error. Without a baseline every valid capture counts as changed.
+    """
+    fields = compared(rows)
+    document = F.struct(*fields)
+    seen = F.collect_list(F.when(F.col("first_at").isNotNull() & F.col("valid"), F.struct("first_at", document.alias("d"))))
+    base = F.max(F.when(F.col("good") & F.col("base_at").isNotNull(), F.struct("base_at", document.alias("d"))))
+    per = rows.groupBy(*KEY, "event_time", "closes").agg(base.alias("_b"), seen.alias("_seen"), F.sum("polls").alias("polls"), F.max("failed").alias("_failed"))
+    per = with_policies(per, policies).withColumn("base", F.col("_b.d"))
+
+    def method(x: Column) -> Column:
+        flags = [any_differs(of, fields, lambda c: x["d"][c], lambda c: F.col("base")[c]) for of in (HEADERS, CONTENT)]
+        return F.when(F.col("base").isNull(), "no baseline").otherwise(F.coalesce(detection_method(*flags), F.when(F.col("validity_only"), "valid")))
+
+    hits = F.filter(F.transform("_seen", lambda x: F.struct(x["first_at"]["captured_at"].alias("captured_at"), x["first_at"]["seq"].alias("seq"), x["d"]["actual"].alias("actual"), method(x).alias("method"))), lambda x: x["method"].isNotNull())
+    return per.select(*KEY, "event_time", "closes", "base", F.array_min(hits).alias("hit"), "polls", F.col("_failed.error").alias("last_error"))
 
 
 def detection_method(headers: Column, content: Column) -> Column:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import values_equal
+from ..functions.columns import event_latency_ms, values_equal
+from ..sources.staging import small_rows
 
 TOLERANCE = 1e-6
 
@@ -26,7 +27,7 @@ def classify_confirmations(releases: DataFrame, obs: DataFrame, sources: DataFra
     CONFIRMED or MISMATCH against it. All observations of a release meet in one aggregate keyed by
     release; the sources are a small dimension whose ids become literals.
     """
-    rows = [(r.source_id, r.is_primary) for r in sources.orderBy("priority").collect()]
+    rows = [(r.source_id, r.is_primary) for r in sorted(small_rows(sources), key=lambda r: r.priority)]
     primary, others = next(s for s, p in rows if p), [s for s, p in rows if not p]
     per = obs.groupBy("release_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "actual"))).alias("m"))
     each = releases.select("release_id").join(per, "release_id", "left").withColumn("source_id", F.explode(F.array(*map(F.lit, others))))
@@ -71,14 +72,41 @@ def confirm_releases(releases: DataFrame, obs: DataFrame, sources: DataFrame, sc
     one = lambda cond: F.max_by(F.when(cond, F.col("actual")), cond)
     per = seen.groupBy("release_id").agg(one(F.col("is_primary")).alias("actual"), F.array_sort(F.collect_list(F.struct("priority", "source_id", F.col("actual").alias("v"), "is_primary"))).alias("all"))
     per = releases.join(per, "release_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<priority:int,source_id:string,v:double,is_primary:boolean>>")))
+    reason, matched, warnings = _outcome(scheduled, tolerance)
+    out = per.withColumn("reason", reason)
+    return out.select("release_id", F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("NOT_CONFIRMED").alias("status"), "reason", "actual", matched.alias("matched_sources"), warnings.alias("warnings"))
+
+
+def _outcome(scheduled: Column | None, tolerance: float) -> tuple[Column, Column, Column]:
+    """Reason against, agreeing sources and warnings, from ``actual``, the primary's value, and ``all``: (priority, source_id, v, is_primary) of each source with one."""
     agree = F.filter("all", lambda x: values_equal(x["v"], F.col("actual"), tolerance))
     apart = F.filter("all", lambda x: ~values_equal(x["v"], F.col("actual"), tolerance))
     names = lambda rows: F.transform(rows, lambda x: x["source_id"])
     ok_time = scheduled if scheduled is not None else F.lit(True)
     reason = F.when(F.col("actual").isNull(), "primary missing").when(F.size(apart) > 0, F.concat(F.lit("differs: "), F.array_join(names(apart), ","))).when(~ok_time, "not scheduled").when(F.size(agree) < 2, "no confirming source")
     warnings = F.transform(F.filter(apart, lambda x: ~x["is_primary"]), lambda x: F.concat(x["source_id"], F.lit(" differs")))
+    return reason, names(agree), warnings
+
+
+def confirm_hits(hits: DataFrame, sources: DataFrame, scheduled: Column | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Each release from its sources' first hits (``detect.hits_of_versions``): status, reason, actual, matched sources, warnings, winner and its latency.
+
+    One aggregate per release, in a table or a stream; sources without a hit are named as
+    pending, and the primary's last error is kept where it has none.
+    """
+    names = [r.source_id for r in sorted(small_rows(sources), key=lambda r: (r.priority, r.source_id))]
+    seen = hits.join(sources, "source_id")
+    one = lambda value: F.max(F.when(F.col("is_primary"), value))
+    found = F.when(F.col("hit.actual").isNotNull(), F.struct("priority", "source_id", F.col("hit.actual").alias("v"), "is_primary"))
+    first = F.min(F.when(F.col("hit").isNotNull(), F.struct("hit.captured_at", "priority", "source_id")))
+    per = seen.groupBy("release_id", "event_time", "closes").agg(one(F.col("hit.actual")).alias("actual"), one(F.col("last_error")).alias("last_error"), F.array_sort(F.collect_list(found)).alias("all"), first.alias("_first"))
+    reason, matched, warnings = _outcome(scheduled, tolerance)
+    pending = F.array_except(F.array(*map(F.lit, names)), F.transform("all", lambda x: x["source_id"]))
     out = per.withColumn("reason", reason)
-    return out.select("release_id", F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("NOT_CONFIRMED").alias("status"), "reason", "actual", names(agree).alias("matched_sources"), warnings.alias("warnings"))
+    return out.select(
+        "release_id", F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("NOT_CONFIRMED").alias("status"), "reason", "actual", matched.alias("matched_sources"), warnings.alias("warnings"), pending.alias("pending_sources"),
+        F.col("_first.source_id").alias("winner"), event_latency_ms(F.col("_first.captured_at"), F.col("event_time")).alias("latency_ms"), F.when(F.col("actual").isNull(), F.col("last_error")).alias("last_error"),
+    )
 
 
 def verify_third_party(official: DataFrame, rows: DataFrame, keys: list[str], value: str, tolerance: float, at: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import table
+from .staging import shared_path, table
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
@@ -127,3 +127,47 @@ def history_pages(spark: SparkSession, d: str) -> DataFrame:
         day(1), F.lit(" ("), month(0), F.lit(") 08:30 0.5% 0.6% "), day(0), F.lit(" ("), month(-1), F.lit(") 08:30 "), v, F.lit(" 0.6% 0.9% "), day(-1), F.lit(" ("), month(-2), F.lit(") 08:30 0.9% "),
     )
     return e.select(F.col("event_id").alias("doc_id"), body.alias("body"))
+
+
+# captures with failures, stale documents and events; the same as files in no order of time
+
+#: The capture log of the detection path: what a fetch returned, what was read from it, and the event it is for.
+LOG = "release_id long, source_id string, seq long, captured_at timestamp, status_code int, etag string, period long, actual double, error string, event_time timestamp"
+PERIOD, BOUNDS = 1, (0.0, 3.0)
+
+
+def capture_log(spark: SparkSession, d: str) -> DataFrame:
+    """Captures of which every 13th failed and every 7th shows another period than the expected one."""
+    failed = F.col("seq") % 13 == 0
+    return captures(spark, d).select(
+        "release_id", "source_id", "seq", F.col("captured_at").cast("timestamp").alias("captured_at"), F.when(failed, 500).otherwise(200).alias("status_code"), F.when(~failed, F.col("etag")).alias("etag"),
+        F.when(F.col("seq") % 7 == 0, 0).otherwise(PERIOD).cast("long").alias("period"), F.when(~failed, F.col("actual")).alias("actual"), F.when(failed, F.format_string("HTTP 500 at poll %d", "seq")).alias("error"), event_time().cast("timestamp").alias("event_time"),
+    )
+
+
+def good():
+    return (F.col("status_code") == 200) & F.col("actual").isNotNull()
+
+
+def valid():
+    return (F.col("period") == PERIOD) & F.col("actual").between(*BOUNDS)
+
+
+def detection_policies(spark: SparkSession) -> DataFrame:
+    """A row of switches per source, none for 'error'."""
+    on, off = True, False
+    rows = [  # status, etag, modified, hash, period, value, blank is same, validity only
+        ("value", "purchase", off, off, off, off, off, on, off, off), ("headers", "signup", off, on, off, off, off, off, on, off),
+        ("all", "click", on, on, off, off, on, on, on, off), ("valid", "view", off, off, off, off, off, on, on, on),
+    ]
+    return spark.createDataFrame(rows, "policy string, source_id string, use_status boolean, use_etag boolean, use_modified boolean, use_hash boolean, use_period boolean, use_value boolean, blank_is_same boolean, validity_only boolean")
+
+
+def capture_files(spark: SparkSession, d: str, files: int = 4) -> str:
+    """A folder with the log in ``files`` files, each a random part of it, and a heartbeat long after, written last."""
+    path = shared_path(spark, "capture-files")
+    log = capture_log(spark, d)
+    log.repartition(files, F.xxhash64("seq")).write.parquet(path)
+    beat = log.agg(F.max("captured_at").alias("captured_at")).select(F.expr("captured_at + interval 400 days").alias("captured_at"))
+    beat.select(*[F.col(c) if c == "captured_at" else F.lit(None).cast(kind).alias(c) for c, kind in log.dtypes]).coalesce(1).write.mode("append").parquet(path)
+    return path

@@ -15,6 +15,11 @@ def release_documents(obs: DataFrame, order: str, fields: list[str], key: str =
     return docs.select(key, F.to_json(F.struct(key, "metrics", *[c for c in docs.columns if c not in (key, "metrics")])).alias("document"))
 
 
+def document_of(rows: DataFrame, fields: list[str], key: str = "release_id") -> DataFrame:
+    """(key, document): each row of a table or a stream as a JSON document of its key and ``fields``."""
+    return rows.select(key, F.to_json(F.struct(key, *fields)).alias("document"))
+
+
 def write_release_json(docs: DataFrame, path: str) -> None:
     docs.select(F.col("document").alias("value")).write.text(path)
 

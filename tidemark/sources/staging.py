@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 #: Spark's own setting: shuffle files of a statement are deleted when it has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_rows(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """The rows of a dimension that is bounded by what it describes; an error if it holds more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dimension of more than {most} rows: {df.columns}")
+    return rows
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir.
 
