@@ -207,6 +207,8 @@ def test_stream_and_batch_find_the_same_changes_with_nulls(spark, tmp_path):
     rows = [(1, s, n, f"2024-01-10 12:30:{n:02}", e, v) for s in "abc" for n, (e, v) in enumerate([("x", None), ("x", None), (None, 1.0), ("y", 1.0), ("y", None), ("", 2.0), ("z", 2.0)])]
     df = spark.createDataFrame(rows, "release_id long, source_id string, seq long, at string, etag string, actual double").withColumn("captured_at", F.to_timestamp("at")).drop("at")
     df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    # a heartbeat, by which the watermark passes the captures
+    spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes if c != "captured_at"], F.to_timestamp(F.lit("2024-02-10 00:00:00")).alias("captured_at")).write.mode("append").parquet(f"file://{tmp_path}/in")
     policies = spark.createDataFrame([("p", "a", False, True, False, False, False, True, False), ("p", "b", False, False, False, False, False, True, True)], detect.POLICY)
     batch = detect.detect_changes(df, policies).withColumn("method", detect.detection_method(F.col("headers_changed"), F.col("content_changed"))).filter("method is not null")
     stream = jobs.run_once(jobs.detect_changes_stream(readers.stream_captures(spark, f"file://{tmp_path}/in", df.schema.simpleString()[7:-1].replace(":", " ")), policies), "twin", rocks=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +14,18 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 _MONTH = r"\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b\.?"
 #: Named entities decoded, with the ampersand last.
 ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&minus;": "−", "&ndash;": "–", "&mdash;": "—", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
-#: Every other named reference, and what browsers read for numbers 128 to 159.
-_NAMED = ENTITIES | {f"&{name}": text for name, text in html5.items() if name.endswith(";") and f"&{name}" not in ENTITIES}
+#: All named references, with their semicolon and, where they may go without it, bare.
+_NAMED = {f"&{name}": text for name, text in html5.items()} | ENTITIES | {name[:-1]: text for name, text in ENTITIES.items() if name[1:-1] in html5}
+#: They are looked up in one of so many small maps, since Spark searches a map key by key.
+_SHELVES = 256
+_SHELVED: list[dict[str, str]] = [{} for _ in range(_SHELVES)]
+for _key, _text in _NAMED.items():
+    _SHELVED[crc32(_key.encode()) % _SHELVES][_key] = _text
+#: Lengths, with the ampersand, that names without semicolon have.
+_BARE = sorted({len(name) for name in _NAMED if not name.endswith(";")}, reverse=True)
+#: What browsers read for numbers 128 to 159.
 _CONTROLS = bytes(range(128, 160)).decode("cp1252", "replace")
-_REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 #: Spaces that \s does not match.
 ODD_SPACES = "   "
 NUMBER = r"[-−]?[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -196,22 +205,26 @@ def bound(value: Column, body) -> Column:
 
 
 def _referred(ref: Column) -> Column:
-    """What a character reference stands for; itself if nothing."""
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    """What a character reference stands for; itself if nothing. Of a name without semicolon the longest beginning that is a name counts."""
+    shelves = F.from_json(F.lit(json.dumps(_SHELVED)), "array<map<string,string>>")
+    named = lambda name: F.try_element_at(F.get(shelves, (F.crc32(name) % _SHELVES).cast("int")), name)
+    begun = [F.concat(named(F.substring(ref, 1, n)), F.substring(ref, F.lit(n + 1), F.char_length(ref))) for n in _BARE]
     digits = F.regexp_replace(ref, "[&#xX;]", "")
-    number = F.when(F.rlike(ref, F.lit("^&#[0-9]")), digits.try_cast("long")).when(F.startswith(ref, F.lit("&#")), F.conv(digits, 16, 10).try_cast("long"))
+    far = F.lit(0x110000)  # of numbers beyond a long
+    number = F.when(F.rlike(ref, F.lit("^&#[0-9]")), F.coalesce(digits.try_cast("long"), far)).when(F.startswith(ref, F.lit("&#")), F.coalesce(F.conv(digits, 16, 10).try_cast("long"), far))
 
     def char(n: Column) -> Column:
         good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         text = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
         return F.when(n.between(128, 159), F.substring(F.lit(_CONTROLS), n.cast("int") - 127, F.lit(1))).otherwise(text)
 
-    return F.when(number.isNotNull(), bound(number, char)).otherwise(F.coalesce(F.try_element_at(named, ref), ref))
+    return F.when(number.isNotNull(), bound(number, char)).otherwise(F.coalesce(named(ref), *begun, ref))
 
 
-def decode_entities(c: Column) -> Column:
-    """Named and numeric character references decoded, once each."""
-    parts = F.struct(F.split(c, _REFERENCE).alias("gaps"), F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)).alias("refs"))
+def decode_entities(c: Column, loose: bool = True) -> Column:
+    """Named and numeric character references decoded, once each; ``loose``: without semicolon too, as in texts, not in addresses."""
+    pattern = _REFERENCE + "?" if loose else _REFERENCE
+    parts = F.struct(F.split(c, pattern).alias("gaps"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("refs"))
     joined = bound(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(_referred(F.get(p["refs"], i)), F.lit("")))), ""))
     return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 

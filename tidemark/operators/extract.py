@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.staging import small_rows
 
 _TABLE = r"(?is)(<table\b.*?</table>)"
 _ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
@@ -51,7 +53,7 @@ def lookup_labelled_row(docs: DataFrame, rows: DataFrame, targets: DataFrame, ke
     """
     on = [c for c in targets.columns if c != "target"]
     hits = rows.join(targets, on).groupBy(key, "target").agg(F.count("*").alias("n_matches"), F.min_by("cells", "row_no").alias("cells"))
-    names = [r.target for r in targets.select("target").distinct().collect()]
+    names = [r.target for r in small_rows(targets.select("target").distinct())]
     wanted = docs.select(key).distinct().withColumn("target", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
     out = wanted.join(hits, [key, "target"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     reason = F.when(F.col("n_matches") == 0, "no row").when(F.col("n_matches") > 1, "ambiguous row")
@@ -121,12 +123,6 @@ def candidate_blocks(docs: DataFrame, labels: list[str], key: str = "doc_id", te
     return hits.groupBy(key, "block").agg(F.min("block_no").alias("block_no"), F.max("n_labels").alias("n_labels"))
 
 
-def first_value_per_label(blocks: DataFrame, label_values: Column, key: str = "doc_id") -> DataFrame:
-    """Split sentences merged: each label's value from the earliest block that has one."""
-    rows = blocks.select(key, "block_no", F.explode(label_values).alias("label", "value"))
-    return rows.groupBy(key, "label").agg(F.min_by("value", "block_no").alias("value"))
-
-
 _ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a>"""
 
 
@@ -147,37 +143,73 @@ def extract_links(docs: DataFrame, key: str = "page_id", html: str = "html", url
     """(key, pos, href, url, text) of anchors, the first of each address per document."""
     pair = F.arrays_zip(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(2)).alias("text"))
     rows = docs.select(key, F.col(url).alias("_base"), F.posexplode(pair).alias("pos", "a"))
-    rows = rows.select(key, "pos", C.decode_entities(F.col("a.href")).alias("href"), C.html_to_text(F.col("a.text")).alias("text"), "_base")
+    rows = rows.select(key, "pos", C.decode_entities(F.col("a.href"), loose=False).alias("href"), C.html_to_text(F.col("a.text")).alias("text"), "_base")
     rows = rows.filter(F.rlike("href", F.lit(href_pattern)) & F.rlike("text", F.lit(text_pattern))).withColumn("url", absolute(F.col("href"), F.col("_base")))
     return rows.groupBy(key, "url").agg(F.min("pos").alias("pos"), F.min_by(F.struct("href", "text"), "pos").alias("x")).select(key, "pos", "x.href", "url", "x.text")
 
 
-def context_before_after(text: Column, anchor: str, before: int, after: int) -> Column:
-    """struct(before, hit, after): what surrounds an anchor's first match."""
-    place = F.regexp_instr(text, F.lit(rf"(?is){anchor}"))
-    start = F.greatest(place - before, F.lit(1))
-    cut = F.substring(text, start, place - start)
-    rest = F.substring(text, place, F.lit(after + 2000))
-    return F.when(place > 0, F.struct(cut.alias("before"), C.group(rest, rf"(?is)^({anchor})").alias("hit"), F.substring(F.regexp_replace(rest, rf"(?is)^(?:{anchor})", ""), 1, after).alias("after")))
+#: Matches whose places are added up in one go.
+_RUN = 256
 
 
-def anchors_in_context(text: Column, anchor: str, before: int, after: int) -> Column:
-    """array<struct(before, hit, after)>: what surrounds each match of an anchor, in order."""
-    pattern = rf"(?is){anchor}"
+def match_places(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop>>: the bytes of each match, from 0, from the running lengths of matches and of what is between.
+
+    Runs of matches are added up on their own, from the sums of the runs before, so that time is
+    linear in the matches.
+    """
     parts = F.struct(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    step = "struct<gap:bigint,hit:bigint>"
+
+    def summed(first: Column, lengths: Column) -> Column:
+        """Starts and stops of a run that begins at ``first``."""
+        none = F.struct(first.cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            start, stop = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
+            return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"))).alias("out"))
+
+        return F.aggregate(lengths, none, add, lambda acc: acc["out"])
+
+    def places(p: Column) -> Column:
+        lengths = F.transform(p["hit"], lambda h, i: F.struct(F.octet_length(F.get(p["gap"], i)).cast("bigint").alias("gap"), F.octet_length(h).cast("bigint").alias("hit"))).cast(f"array<{step}>")
+        runs = C.bound(lengths, lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size(n)), lambda i: (i % _RUN == 0) & (i < F.size(n))), lambda i: F.slice(n, i + 1, F.lit(_RUN))))
+
+        def all_runs(r: Column) -> Column:
+            sizes = F.transform(r, lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda total, x: total + x["gap"] + x["hit"]))
+            firsts = F.aggregate(sizes, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+            return C.bound(firsts, lambda f: F.flatten(F.transform(r, lambda run, i: summed(F.get(f, i), run))))
 
-    def around(p: Column) -> Column:
-        joined = lambda a: F.array_join(a, "")
-        pieces = F.transform(p["gap"], lambda g, i: F.concat(g, F.coalesce(F.get(p["hit"], i), F.lit(""))))
-        return C.bound(pieces, lambda x: F.transform(p["hit"], lambda h, i: F.struct(
-            F.right(F.concat(joined(F.slice(x, F.lit(1), i)), F.get(p["gap"], i)), F.lit(before)).alias("before"), h.alias("hit"), F.left(joined(F.slice(x, i + 2, F.size(x))), F.lit(after)).alias("after"))))
+        return C.bound(runs, all_runs)
 
-    return C.bound(parts, around)
+    return C.bound(parts, places)
+
+
+def in_context(text: Column, anchor: str, before: int, after: int, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each match of an anchor with what surrounds it, a struct(before, hit, after), in order.
+
+    Contexts are cut from the page's bytes where the match is (an incomplete character at an edge goes), one
+    at a time, so a page with many anchors holds none of them longer than ``body`` takes.
+    """
+    def whole(cut: Column) -> Column:
+        return F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "^\ufffd+|\ufffd+$", "")
+
+    def around(page: Column) -> Column:
+        cut = lambda start, size: whole(F.substring(page["b"], (start + 1).cast("int"), size.cast("int")))
+        return F.transform(page["at"], lambda m: C.bound(F.struct(
+            cut(F.greatest(m["start"] - before, F.lit(0)), F.least(m["start"], F.lit(before))).alias("before"), cut(m["start"], m["stop"] - m["start"]).alias("hit"), cut(m["stop"], F.lit(after)).alias("after")), body))
+
+    return C.bound(F.struct(text.cast("binary").alias("b"), match_places(text, rf"(?is){anchor}").alias("at")), around)
+
+
+def anchors_in_context(text: Column, anchor: str, before: int, after: int) -> Column:
+    """array<struct(before, hit, after)>: what surrounds each match of an anchor, in order; sizes in bytes."""
+    return in_context(text, anchor, before, after, lambda x: x)
 
 
-def first_that_parses(contexts: Column, parse, *needed: str) -> Column:
+def first_that_parses(text: Column, anchor: str, before: int, after: int, parse: Callable[[Column], Column], *needed: str) -> Column:
     """The first context whose parsed struct has all of ``needed``: a listing's later items count where earlier ones don't parse."""
-    parsed = F.transform(contexts, parse)
+    parsed = in_context(text, anchor, before, after, parse)
     return F.get(F.filter(parsed, lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed))), F.lit(0))
 
 

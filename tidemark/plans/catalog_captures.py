@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import asof as A
 from ..operators import detect as D
 from ..operators import validate as V
 from ..sources import fixtures as X
@@ -332,10 +333,51 @@ def source_order(spark, d):
 
 @query("union_sources", "select event_id, value, case when event_type = 'error' then 'no value' end error, event_type source_id from events")
 def union_sources(spark, d):
-    e = table(spark, d, "events").select("event_id", "value", "event_type")
-    parts = {s: e.filter(F.col("event_type") == s).drop("event_type") for s, *_ in X.SOURCES}
-    parts["error"] = parts["error"].withColumn("error", F.lit("no value"))
-    return R.union_sources(parts).select("event_id", "value", "error", "source_id")
+    """One scan: each source has its own columns, and rows of a failed one stay rows."""
+    rows = table(spark, d, "events").select("event_id", "value", F.col("event_type").alias("source_id"))
+    parts = {s: {"error": F.lit("no value")} if s == "error" else {} for s, *_ in X.SOURCES}
+    return R.dispatch(rows, ["event_id", "value"], parts, "source_id").filter("reason is null").drop("reason")
+
+
+@query("last_good_baseline", """with c as (select event_type source_id, event_id seq, ts captured_at, props etag, floor(value / 100) actual, event_id % 13 <> 0 and event_id % 3 <> 0 good from events),
+m as (select distinct user_id release_id, timestamp '2024-01-10 12:30:00' + (user_id % 10) * interval 1 day - interval 1 minute moment from events), s as (select distinct event_type source_id from events)
+select release_id, s.source_id, b.seq base_seq, b.actual base_actual from m cross join s left join lateral (select max_by({'seq': seq, 'actual': actual}, (captured_at, seq)) b from c where c.source_id = s.source_id and good and captured_at <= moment) on true""")
+def last_good_baseline(spark, d):
+    """Captures that carry no release: each source's last good one before every release's event, failures between them passed over."""
+    log = X.captures(spark, d).drop("release_id").withColumn("good", (F.col("seq") % 13 != 0) & (F.col("seq") % 3 != 0))
+    names = F.array(*[F.lit(s) for s, *_ in X.SOURCES])
+    moments = X.releases(spark, d).select("release_id", F.explode(names).alias("source_id"), F.expr("event_time - interval 1 minute").alias("moment"))
+    return A.last_good_asof(log, moments, F.col("good"), fields=("seq", "actual")).select("release_id", "source_id", "base_seq", "base_actual")
+
+
+@query("window_interval_join", f"{views('captures', 'releases')} select r.release_id, c.source_id, c.seq from (select source_id, seq, captured_at from captures) c join releases r on c.captured_at between r.event_time - interval 2 second and r.event_time + interval 3 hour")
+def window_interval_join(spark, d):
+    """Captures that carry a source only, in the polling window of every release that was open."""
+    windows = X.releases(spark, d).select("release_id", F.expr("event_time - interval 2 seconds").alias("opens"), F.expr("event_time + interval 3 hours").alias("closes"))
+    points = X.captures(spark, d).select("source_id", "seq", "captured_at")
+    return A.interval_join(points, windows, "captured_at", "opens", "closes", "3 hours").select("release_id", "source_id", "seq")
+
+
+_EVENTS = "(0, 'Core PPI (MoM)', 'mom'), (1, 'Core PPI (YoY)', 'yoy'), (2, 'PPI (MoM)', 'mom'), (3, 'PPI (YoY)', 'yoy')"
+_FAULTS = "['country', 'table', 'unit', 'period', 'value method', 'no value', 'out of bounds', 'row', 'group', 'item', 'seasonality', 'column', 'from period', 'no previous', 'repeated', 'missing', 'not defined']"
+
+
+@query("payload_identity", f"""{views('releases')}, e as (select * from (values {_EVENTS}) t(i, name, kind)), f as (select release_id, release_id % 19 k, {_FAULTS}[(release_id % 19)::int] fault, (release_id // 19) % 4 i from releases)
+select f.release_id, case when k = 18 then 'stale period' when k = 0 or (fault = 'no previous' and kind = 'yoy') then '' when fault = 'not defined' then 'Other PPI: not defined' else name || ': ' || fault end violations from f join e using (i)""")
+def payload_identity(spark, d):
+    """PPI payloads of four figures; of every release one figure breaks one rule, which is all that is said of it."""
+    figures = X.payload_figures(spark, d)
+    payloads = X.releases(spark, d).select("release_id", F.when(F.col("release_id") % 19 == 18, F.lit("2026-04-01")).otherwise(F.lit("2026-05-01")).cast("date").alias("period"), F.lit(None).cast("date").alias("from_period"))
+    payloads = payloads.withColumn("from_period", F.add_months("period", -1))
+    out = V.check_identity(payloads, figures, X.payload_definitions(spark), F.lit("2026-05-01").cast("date"))
+    return out.select("release_id", F.array_join("violations", ", ").alias("violations"))
+
+
+@query("document_crosscheck", """select event_id doc_id, ['', 'sentence and block differ', 'sentence and title have other periods', 'page and column have other periods', 'change differs from the levels', '', 'sentence and block differ, change differs from the levels'][(event_id % 7 + 1)::int] violations from events""")
+def document_crosscheck(spark, d):
+    """Extractions of one page held against each other."""
+    x = X.crosscheck_parts(X.crosscheck_pages(spark, d))
+    return x.select("doc_id", F.array_join(V.check_document(*[F.col(c) for c in ("value", "block_value", "sentence_period", "title_period", "page_period", "column_period", "published", "level_change")]), ", ").alias("violations"))
 
 
 @query("extractor_dispatch", f"{CAPTURES} select seq, case source_id when 'purchase' then 'json' when 'click' then 'text' else 'other' end kind, case source_id when 'purchase' then regexp_extract(etag, '([0-9]+)', 1)::double when 'click' then actual end as value, case source_id when 'click' then 'LOW' end confidence, case when source_id not in ('purchase', 'click') then 'no extractor' end reason from captures")

@@ -241,25 +241,33 @@ def numbers_in_text(spark, d):
 def nearest_preceding(spark, d):
     """The first anchor whose date, title and sentence parse: of every other page that is the second."""
     other = F.when(F.col("doc_id") % 2 == 0, F.lit("<p>June 1, 2020</p><a href='/about'>About the bank</a>")).otherwise(F.lit(""))
-    contexts = E.anchors_in_context(F.concat(other, F.col("body")), r"<a\s[^>]*>", 1800, 3000)
+    page = F.concat(other, F.col("body"))
 
     def parse(x):
         date = C.parse_release_date(E.last_match(x["before"], r"([A-Z][a-z]+ \d{1,2}, \d{4})"))
         title = C.group(x["after"], "^(Bank sets[^<]*)</a>")
         return F.struct(date.cast("string").alias("release_date"), title.alias("title"), C.group(x["hit"], r"href='([^']*)'").alias("href"), C.number(C.group(x["after"], rf"target is now ({C.NUMBER})%")).alias("rate"))
 
-    rows = X.event_pages(spark, d).select("doc_id", E.first_that_parses(contexts, parse, "release_date", "title", "rate").alias("x"))
+    rows = X.event_pages(spark, d).select("doc_id", E.first_that_parses(page, r"<a\s[^>]*>", 1800, 3000, parse, "release_date", "title", "rate").alias("x"))
     return rows.select("doc_id", "x.release_date", "x.href", "x.rate")
 
 
-@query("character_references", """select event_id doc_id, ['a < b & c', '−0.4 %', 'é – ∑', '&lt; stays', '€ “x”', '&nothing; & x'][(event_id % 6 + 1)::int] body from events""")
+@query("character_references", """select event_id doc_id, ['a < b & c', '−0.4 %', 'é – ∑', '&lt; stays', '€ “x”', '¬hing; & x'][(event_id % 6 + 1)::int] body from events""")
 def character_references(spark, d):
-    """Named references beyond the common ones, decimal and hexadecimal numbers, what browsers read for 128 to 159, and no reference at all."""
+    """Named references beyond the common ones, decimal and hexadecimal numbers, what browsers read for 128 to 159, and no name but one's beginning."""
     texts = F.array(*map(F.lit, ("a &lt; b &amp; c", "&#8722;0.4&#160;&#x25;", "&eacute; &ndash; &sum;", "&amp;lt; stays", "&#128; &#147;x&#x94;", "&nothing; & x")))
     body = C.html_to_text(F.concat(F.lit("<p>"), F.get(texts, (F.col("event_id") % 6).cast("int")), F.lit("</p>")))
     return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), body.alias("body"))
 
 
+@query("loose_references", """select event_id doc_id, ['© 2026 a & b', '− x', '¬it; ¬in ∉', 'A ¶m', '< &foo >', '� � €'][(event_id % 6 + 1)::int] body from events""")
+def loose_references(spark, d):
+    """References without semicolon, names that only begin with one, numbers that are no characters."""
+    texts = F.array(*map(F.lit, ("&copy 2026 a &amp b", "&#8722 x", "&notit; &notin &notin;", "&#65 &param", "&lt &foo &gt", "&#0; &#xD800 &#128")))
+    body = C.decode_entities(F.get(texts, (F.col("event_id") % 6).cast("int")))
+    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), body.alias("body"))
+
+
 @query("title_rules", "select page_id, ['Script ' || page_id, 'Rate decision ' || page_id, 'Other ' || page_id, 'Head ' || page_id][(page_id % 4 + 1)::int] title from pages")
 def title_rules(spark, d):
     """A script's title first, then the preferred h1 among several, one that is no search page's, the title element."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from .staging import shared_path, table
 
 
@@ -171,3 +172,68 @@ def capture_files(spark: SparkSession, d: str, files: int = 4) -> str:
     beat = log.agg(F.max("captured_at").alias("captured_at")).select(F.expr("captured_at + interval 400 days").alias("captured_at"))
     beat.select(*[F.col(c) if c == "captured_at" else F.lit(None).cast(kind).alias(c) for c, kind in log.dtypes]).coalesce(1).write.mode("append").parquet(path)
     return path
+
+
+# payloads and pages that contradict their definitions or themselves
+
+#: A producer-price table's figures: event, row, group, item, kind, seasonality.
+PPI = [
+    ("Core PPI (MoM)", "Final demand less foods and energy", "FD", "49104", "mom", "seasonally adjusted"), ("Core PPI (YoY)", "Final demand less foods and energy", "FD", "49104", "yoy", "unadjusted"),
+    ("PPI (MoM)", "Final demand", "FD", "4", "mom", "seasonally adjusted"), ("PPI (YoY)", "Final demand", "FD", "4", "yoy", "unadjusted"),
+]
+
+
+def payload_definitions(spark: SparkSession) -> DataFrame:
+    rows = [(*x, "%", "United States", "Table 1", -50.0, 50.0) for x in PPI]
+    return spark.createDataFrame(rows, "event_name string, row_label string, group_code string, item_code string, kind string, seasonality string, unit string, country string, table_name string, lo double, hi double")
+
+
+def payload_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Four figures per release, one of which has the fault of the release's number (release_id modulo 19; none at 0 and 18)."""
+    period = F.when(F.col("release_id") % 19 == 18, F.lit("2026-04-01")).otherwise(F.lit("2026-05-01")).cast("date")
+    four = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip(("event_name", "row_label", "group_code", "item_code", "kind", "seasonality"), x, strict=True)]) for i, x in enumerate(PPI)])
+    rows = releases(spark, d).select("release_id", period.alias("period"), F.explode(four).alias("x")).select("release_id", "period", "x.*")
+    fault = F.when(F.col("i") == F.floor(F.col("release_id") / 19) % 4, F.col("release_id") % 19).otherwise(0)
+    other = lambda n, wrong, value: F.when(fault == n, wrong).otherwise(value)
+    yearly, label = F.col("kind") == "yoy", F.concat("row_label", F.lit(" (1)"))
+    column = F.when(yearly, C.yoy_label(F.col("period"))).otherwise(C.mom_label(F.col("period")))
+    before = F.when(~yearly, F.add_months("period", -1))
+    rows = rows.select(
+        "release_id", other(17, F.lit("Other PPI"), F.col("event_name")).alias("event_name"), other(1, F.lit(None), F.lit("United States")).alias("country"), other(2, F.lit("Table 2"), F.lit("Table 1")).alias("table_name"), other(3, F.lit("index"), F.lit("%")).alias("unit"),
+        other(4, F.add_months("period", -1), F.col("period")).alias("period"), other(5, F.lit("calculated"), F.lit("direct_table_value")).alias("value_method"), F.when(fault == 6, F.lit(None)).when(fault == 7, 50.1).otherwise(0.4).alias("actual"),
+        other(8, F.lit("Final demand less foods, energy, and trade services"), label).alias("row_label"), other(9, F.lit(None), F.col("group_code")).alias("group_code"), other(10, F.lit("49116"), F.col("item_code")).alias("item_code"), other(11, F.lit("other"), F.col("seasonality")).alias("seasonality"),
+        other(12, F.lit("Mar. to Apr.(p)"), column).alias("column_label"), other(13, F.add_months("period", -2), before).alias("from_period"), F.when((fault == 14) | yearly, F.lit(None)).otherwise(0.2).alias("previous"), F.when(fault == 15, 2).when(fault == 16, 0).otherwise(1).alias("_n"),
+    )
+    # an event that is not defined stands in the place of one that is: that one is there besides
+    rows = rows.withColumn("event_name", F.explode(F.when(F.col("event_name") == "Other PPI", F.array("event_name", F.element_at(F.array(*[F.lit(x[0]) for x in PPI]), (F.floor(F.col("release_id") / 19) % 4 + 1).cast("int")))).otherwise(F.array("event_name"))))
+    return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).drop("_n", "_c")
+
+
+def crosscheck_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, body: a title, a sentence, a metric block, a change-from header and three levels; of seven pages five contradict themselves."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 7
+    month = lambda n, form: F.date_format(F.add_months(F.to_date("ts"), n), form)
+    value = F.format_string("%.1f", F.floor(F.col("value") / 10).cast("double") / 10 + 0.1)
+    last = F.format_string("%.1f", 100 + F.floor(F.col("value") / 10).cast("double") / 10 + 0.1 + F.when(k.isin(4, 6), 0.3).otherwise(0.0))
+    body = F.concat(
+        F.lit("<h1>Monthly estimate, "), month(0, "MMMM yyyy"), F.lit("</h1><p>Monthly GDP grew by "), value, F.lit("% in "), F.when(k == 2, month(-1, "MMMM yyyy")).otherwise(month(0, "MMMM yyyy")), F.lit(".</p><p>Headline figure: "),
+        F.when(k.isin(1, 6), F.lit("9999.5")).otherwise(value), F.lit("%</p><p>Page of "), month(0, "MMM yyyy"), F.lit("</p><p>Change from: "), month(-1, "MMM yyyy"), F.lit(" - "), F.when(k == 3, month(-2, "MMM yyyy")).otherwise(month(0, "MMM yyyy")),
+        F.lit("</p><p>Levels 99.5 100.0 "), last, F.lit(" change "), value, F.lit("</p>"),
+    )
+    return e.select(F.col("event_id").alias("doc_id"), body.alias("body"))
+
+
+def crosscheck_parts(pages: DataFrame) -> DataFrame:
+    """What a page of ``crosscheck_pages`` says in each of its places; the text, and the sentence, are made once."""
+    from ..operators import extract as E
+
+    read = pages.select("doc_id", E.extract_title(F.col("body")).alias("title"), C.html_to_text(F.col("body")).alias("text"))
+    piece = lambda pattern: C.group(F.col("text"), pattern)
+    read = read.withColumns({"sentence": piece(r"(Monthly GDP [^.]*\.[0-9][^.]*\.)"), "page": piece(r"Page of ([A-Z][a-z]+ \d{4})"), "header": piece(r"Change from: (.*?) Levels")})
+    text, sentence = F.col("text"), F.col("sentence")
+    number = lambda pattern: C.number(C.group(text, pattern))
+    return read.select(
+        "doc_id", E.signed_value(sentence).alias("value"), number(rf"Headline figure: ({C.NUMBER})%").alias("block_value"), C.to_period(sentence).alias("sentence_period"), C.to_period(F.col("title")).alias("title_period"),
+        C.to_period(F.col("page")).alias("page_period"), E.change_period(F.col("header"))["period"].alias("column_period"),
+        number(rf" change ({C.NUMBER})").alias("published"), (number(rf"Levels {C.NUMBER} {C.NUMBER} ({C.NUMBER})") - number(rf"Levels {C.NUMBER} ({C.NUMBER})")).alias("level_change"),
+    )

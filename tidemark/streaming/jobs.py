@@ -25,10 +25,13 @@ from ..sources.staging import settings, shared_path, small_rows
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", rocks: bool = False, checkpoint: str | None = None) -> DataFrame:
-    """The stream run to the end of what is there, written to the shared folder and read back."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", rocks: bool = False, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """The stream run to the end of what is there, written to the shared folder and read back.
+
+    With the same ``checkpoint`` and ``out`` a later run goes on where the last one stopped.
+    """
     spark = stream.sparkSession
-    out, place = shared_path(spark, name), checkpoint or shared_path(spark, f"{name}-checkpoint")
+    out, place = out or shared_path(spark, name), checkpoint or shared_path(spark, f"{name}-checkpoint")
     with settings(spark, ROCKS if rocks else {}):
         query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -87,22 +90,23 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.held.get()) if self.held.exists() else []
-        due = sorted((tuple(r) for r in held if self.end(r[0]) <= now), key=lambda r: r[:2])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        due = sorted((r for r in held if self.end(r[0]) <= now), key=lambda r: r[:2])
         last = self.last.get() if self.last.exists() else None
-        if not due:
-            if not held and last and self.end(last[0]) + self.idle <= now:
-                self.last.clear()
-            return
-        yield from self.taken(key, last, due)
-        left = [tuple(r) for r in held if self.end(r[0]) > now]
-        if left:
-            self.held.put(left)
-        else:
-            self.held.clear()
-        self.last.update(due[-1])
-        self.handle.registerTimer(self.end(due[-1][0]) + self.idle)
+        if due:
+            yield from self.taken(key, last, due)
+            last = due[-1]
+            if len(due) < len(held):
+                self.held.put([r for r in held if self.end(r[0]) > now])
+            else:
+                self.held.clear()
+        gone = self.end(last[0]) + self.idle if last else now
+        if gone <= now and len(due) == len(held):
+            self.last.clear()
+        elif due:
+            self.last.update(last)
+            self.handle.registerTimer(gone)
 
     def taken(self, key: tuple, last: tuple | None, due: list[tuple]) -> Iterator[Row]:
         """What comes of the rows ``due``, in order, after ``last``."""
