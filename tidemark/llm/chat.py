@@ -2,7 +2,9 @@
 
 Calls and results are hash-joined by conversation and call id, calls are put in
 topological order of their dependencies, arguments are checked against the tools'
-schemas, and every record becomes one line of canonical JSON (keys sorted, no spaces).
+schemas, and every record becomes one line of canonical JSON (keys sorted, no spaces,
+numbers as plain decimals, so that 1, 1.0 and 1e0 are one text). A number that no double
+can hold makes the arguments invalid, and they stay as the text that they were.
 The order takes rounds in the logarithm of the longest chain of calls.
 
 A record's place is (conv_id, place, level, pos, part): a call stands at its own turn or
@@ -25,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, staged
+from .common import Staging, let, staged
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
@@ -37,8 +39,12 @@ MOST = 1 << 29
 TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "reply": {"max_words": ("integer", True), "style": ("string", True), "strict": ("boolean", False)},
 }
-#: JSON type -> types that a parsed variant can report.
-TYPES = {"integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL)", "string": "^STRING", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
+#: JSON type -> type that a parsed variant reports.
+TYPES = {"string": "^STRING", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
+
+#: Numbers travel through the variant as texts behind this mark, a private character, so that none loses a digit.
+MARK, FAR = "\ue000#", "\ue000?"
+_NUMBER = r"(?<![^\s,:\[\]{}])-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![^\s,:\[\]{}])"
 
 
 def messages(conversations: DataFrame, text: str = "text") -> DataFrame:
@@ -53,20 +59,60 @@ def messages(conversations: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("conv_id", "turn", "role", content.alias("content"), F.col("c.tool_calls").alias("calls"), F.col("r.tool_call_id").alias("call_id"))
 
 
+def canonical_number(t: Column) -> Column:
+    """The one plain decimal form of a JSON number, so that equal values are equal texts; null beyond what a double can hold."""
+    part = lambda pattern: F.regexp_extract(t, pattern, 1)
+    whole, fraction, power = part("^-?([0-9]+)"), part(r"\.([0-9]+)"), part("[eE]([+-]?[0-9]+)$")
+    exponent = F.when(power == "", F.lit(0)).otherwise(F.when(F.char_length(F.regexp_replace(power, "^[+-]?0*", "")) <= 6, power.try_cast("int")))
+
+    def plain(x: Column) -> Column:
+        digits = F.regexp_replace(x["all"], "^0+", "")
+        point = x["n"] + x["e"] - (F.char_length(x["all"]) - F.char_length(digits))
+        short = F.regexp_replace(digits, "0+$", "")
+        size = F.char_length(short)
+        text = F.when(point >= size, F.concat(short, F.repeat(F.lit("0"), point - size))).when(point > 0, F.concat(F.substring(short, F.lit(1), point), F.lit("."), F.substring(short, point + 1, size))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), short))
+        held = point.between(-340, 309) & (F.abs(t.try_cast("double")) < F.lit(float("inf")))
+        return F.when(short == "", F.lit("0")).when(held, F.concat(F.when(t.startswith("-"), "-").otherwise(""), text))
+
+    return let(F.struct(F.concat(whole, fraction).alias("all"), F.char_length(whole).alias("n"), exponent.alias("e")), plain)
+
+
+def marked_numbers(arguments: Column) -> Column:
+    """JSON text in which each number outside strings is a text: its canonical form behind MARK, or FAR where there is none.
+
+    Every second piece between quotes lies outside strings. Texts that hold the private character stay as they are.
+    """
+    def marked(piece: Column) -> Column:
+        parts = F.struct(F.split(piece, _NUMBER).alias("gaps"), F.regexp_extract_all(piece, F.lit(_NUMBER), F.lit(0)).alias("hits"))
+        one = lambda t: F.concat(F.lit('"'), F.coalesce(F.concat(F.lit(MARK), canonical_number(t)), F.lit(FAR)), F.lit('"'))
+        return let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.when(i < F.size(p["hits"]), one(F.get(p["hits"], i))).otherwise(F.lit("")))), ""))
+
+    safe = F.replace(F.replace(arguments, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    joined = F.array_join(F.transform(F.split(safe, '"'), lambda x, i: F.when(i % 2 == 0, marked(x)).otherwise(x)), '"')
+    whole = F.replace(F.replace(joined, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(F.rlike(arguments, F.lit("(?i)\ue000|\\\\ue000|[\x01\x02]")), arguments).otherwise(whole)
+
+
 def argument_errors(name: Column, arguments: Column, tools: dict = TOOLS) -> Column:
-    """Errors of a call's arguments, in order of the schema; unknown parameters last."""
-    parsed = F.try_parse_json(arguments)
+    """Errors of a call's arguments, in order of the schema; unknown parameters last. An integer is one by value: 1.0 and 1e2 are."""
+    made = marked_numbers(arguments)
+    parsed = F.try_parse_json(made)
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("")))).cast("array<string>")
     keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
     for tool, params in tools.items():
         checks = []
         for p, (kind, required) in params.items():
             value = F.try_variant_get(parsed, f"$.{p}", "variant")
+            numeric = F.startswith(F.coalesce(F.try_variant_get(parsed, f"$.{p}", "string"), F.lit("")), F.lit(MARK))
+            if kind in ("integer", "number"):
+                fits = numeric if kind == "number" else numeric & ~F.contains(F.try_variant_get(parsed, f"$.{p}", "string"), F.lit("."))
+            else:
+                fits = F.rlike(F.schema_of_variant(value), F.lit(TYPES[kind])) & (~numeric if kind == "string" else F.lit(True))
             present = F.array_contains(keys, p)
-            checks.append(F.when(~present, F.lit(f"missing {p}") if required else F.lit(None)).when(~F.coalesce(F.rlike(F.schema_of_variant(value), F.lit(TYPES[kind])), F.lit(False)), F.lit(f"{p} is not {kind}")))
+            checks.append(F.when(~present, F.lit(f"missing {p}") if required else F.lit(None)).when(~F.coalesce(fits, F.lit(False)), F.lit(f"{p} is not {kind}")))
         extra = F.transform(F.array_except(keys, F.array(*map(F.lit, params))), lambda k: F.concat(F.lit("unknown "), k))
         errors = F.concat(F.array_compact(F.array(*checks)), extra)
-        out = F.when(name == tool, F.when(parsed.isNull(), F.array(F.lit("malformed arguments"))).otherwise(errors)).otherwise(out)
+        out = F.when(name == tool, F.when(parsed.isNull(), F.array(F.lit("malformed arguments"))).when(F.contains(made, F.lit(FAR)), F.array(F.lit("number out of range"))).otherwise(errors)).otherwise(out)
     return out
 
 
@@ -140,9 +186,10 @@ def _placed(others: DataFrame, calls: DataFrame) -> DataFrame:
 
 def _call_rows(calls: DataFrame) -> DataFrame:
     """Output rows of calls with place, level, status and errors."""
-    canonical = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("malformed")))))
+    made = marked_numbers(F.col("arguments"))
+    canonical = F.coalesce(F.try_parse_json(F.when(~F.contains(made, F.lit(FAR)), made)), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("malformed")))))
     line = F.to_json(F.struct(canonical.alias("arguments"), "id", "name", F.lit("assistant").alias("role"), F.lit("call").alias("type")))
-    return calls.select("conv_id", "place", F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", F.lit(1).alias("part"), F.lit("call").alias("kind"), "status", "errors", line.alias("line"))
+    return calls.select("conv_id", "place", F.coalesce("level", F.lit(1 << 30)).alias("level"), "pos", F.lit(1).alias("part"), F.lit("call").alias("kind"), "status", "errors", F.regexp_replace(line, f'"{MARK}([^"]*)"', "$1").alias("line"))
 
 
 def _result_rows(results: DataFrame) -> DataFrame:
