@@ -47,6 +47,8 @@ CUTS, KEEP = 3, 2
 #: Parts beyond those that the differences of linked sets can break.
 SPARE = 1.25
 BAND_BITS = 10
+#: Bits of a set's hash that travel with its signatures. Two linked sets that agree in all of them, one pair in 2**40, are missed.
+CLASS_BITS = 40
 #: Signatures of at most so many sets name their pairs (six at most), others a hub.
 PAIRS = 4
 #: A hub's group is dealt out in tasks of at most about so many rows and features.
@@ -66,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 #: Rows that a Python worker is given at once.
 ARROW_ROWS = 1000
 #: Rows and bytes that are hashed at once.
-ROWS, PIECE = 128, 1 << 19
+ROWS, PIECE = 64, 1 << 17
 #: A word's hash is the sum of its bytes' codes times powers of an odd base; capitals A-Z have the codes of a-z.
 _BASE = 0x9E3779B97F4A7C13
 _CODES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -233,14 +235,14 @@ def features(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", a
 
 
 def signature_rows(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(sig, cls) of every signature of each row with a key."""
+    """(sig, cls) of every signature of each row with a key; ``cls`` in CLASS_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 sets = shingles(whole.column(0).slice(at, ROWS).to_pylist(), n)
                 found, owner = signatures(sets, percent)
-                hashes = np.array([_set_hash(s) or 0 for s in sets], np.int64)
+                hashes = np.array([_set_hash(s) or 0 for s in sets], np.int64) & ((1 << CLASS_BITS) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(hashes[owner])], names=["sig", "cls"])
 
     return docs.filter(docs[key].isNotNull()).select(docs[text].cast("string").alias("text")).mapInArrow(run, "sig long, cls long")
@@ -333,10 +335,12 @@ def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
     shared = tables.put(rows.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("sig"), "join-shared")
     met = tables.put(rows.join(shared.hint("shuffle_hash"), "sig"), "join-met")
     tables.drop(shared)
-    common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
-    able = met.groupBy("cls", _band().alias("band")).agg(F.count_distinct("sig").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "band")
-    left = tables.put(met.distinct().withColumn("band", _band()).join(able.hint("shuffle_hash"), ["cls", "band"], "left_semi"), "join-able")
+    found = tables.put(met.distinct(), "join-found")
     tables.drop(met)
+    common = F.array(*[F.lit(int(x)) for x in bands(percent)["common"]])
+    able = found.groupBy("cls", _band().alias("band")).agg(F.count("*").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "band")
+    left = tables.put(found.withColumn("band", _band()).join(able.hint("shuffle_hash"), ["cls", "band"], "left_semi"), "join-able")
+    tables.drop(found)
     groups = left.groupBy("sig").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     grouped = tables.put(left.join(groups.hint("shuffle_hash"), "sig").select("sig", "cls", "hub", "n"), "join-groups")
     tables.drop(left)
@@ -351,8 +355,9 @@ def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
 
 def paired(star: DataFrame, classes: DataFrame) -> DataFrame:
     """(hub_rep, rep, n_shingles): candidate pairs of sets by the keys that stand for them."""
-    hubs = classes.select(F.col("cls").alias("hub"), F.col("rep").alias("hub_rep"))
-    return star.join(classes, "cls").join(hubs, "hub").select("hub_rep", "rep", "n_shingles")
+    known = classes.withColumn("cls", F.col("cls").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)))
+    hubs = known.select(F.col("cls").alias("hub"), F.col("rep").alias("hub_rep"))
+    return star.join(known, "cls").join(hubs, "hub").filter("rep <> hub_rep").select("hub_rep", "rep", "n_shingles")
 
 
 def compared(docs: DataFrame, own: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
