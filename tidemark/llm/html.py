@@ -9,12 +9,15 @@ dropped, and nothing hidden is kept: head, script, style, template, closed detai
 it visible again.
 
 A page is one row and is rendered on its own, so there is no shuffle and no skew beyond
-the longest page, which is read in time linear in its length: a tag that the next ``<``
-cuts short is text. Null HTML gives null text, empty HTML empty text; broken markup is
+the longest page, which is read and laid out in time linear in its length: what is open is
+known by tag, and spanning cells are intervals of columns. A tag that the next ``<`` cuts
+short is text. Null HTML gives null text, empty HTML empty text; broken markup is
 closed where it must be; elements nested deeper than DEPTH are laid out as text of the
 DEPTH-th (hidden ones still go), so that no page can exhaust the stack. A column of a table
-is padded for cells of up to WIDE characters; longer ones run over, so that output stays
-in proportion to the page. Repeated rows give repeated results; an empty table gives an
+is padded for cells of up to WIDE characters, and a table with a few times its text;
+longer ones run over, so that output stays in proportion to the page. Of cells that would
+overlap, the upper one keeps the column for the rows below. Of preformatted text the first
+line break goes, all others stay. Repeated rows give repeated results; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -22,8 +25,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,6 +36,8 @@ from pyspark.sql import DataFrame
 DEPTH = 200
 #: Characters of a cell up to which its column is padded.
 WIDE = 80
+#: Spaces that a table is padded with at most: so many times its text, and so many besides; cells after them run over.
+PADDING, PADDED = 4, 10_000
 #: Most columns and rows that a cell may span, as browsers have it.
 COLSPAN, ROWSPAN = 1000, 65534
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>"']|"[^"<]*+(?:<[^"<]*+)*+"|'[^'<]*+(?:<[^'<]*+)*+')*+)>|[^<]+|<""", re.S)
@@ -43,7 +48,7 @@ ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 HIDDEN = frozenset("head script style template title noscript iframe object audio video canvas datalist noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav section summary tr caption".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav optgroup option section summary tr caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote hr".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
@@ -55,6 +60,8 @@ ENDS = {
     "body": (("head",), ()),
 }
 SCOPE = frozenset(("table", "td", "th", "html", "body", "caption", "button", "template"))
+#: Elements whose end tags no scope keeps out.
+BEYOND = frozenset(("table", "body", "html", "tr", "tbody", "thead", "tfoot", "template"))
 
 
 class Node:
@@ -85,24 +92,27 @@ class Node:
 
 
 class Open:
-    """The open elements; those below DEPTH are no nodes of the tree, and only tell whether their text is hidden."""
+    """The open elements, and for each tag the places where it is open, so that none is searched for.
+
+    Those below DEPTH are no nodes of the tree, and only tell whether their text is hidden.
+    """
 
     def __init__(self, root: Node):
-        self.stack, self.count, self.hidden = [root], Counter(), 0
+        self.stack, self.places, self.hidden = [root], defaultdict(list), 0
 
     def push(self, node: Node) -> None:
         if len(self.stack) < DEPTH:
             self.stack[-1].children.append(node)
         else:
             self.hidden += node.hidden() or not node.shown(True)
+        self.places[node.tag].append(len(self.stack))
         self.stack.append(node)
-        self.count[node.tag] += 1
 
     def cut(self, at: int) -> None:
         """Closes all from place ``at`` on."""
         while len(self.stack) > at:
             node = self.stack.pop()
-            self.count[node.tag] -= 1
+            self.places[node.tag].pop()
             if len(self.stack) >= DEPTH:
                 self.hidden -= node.hidden() or not node.shown(True)
 
@@ -110,24 +120,20 @@ class Open:
         if not self.hidden:
             self.stack[min(len(self.stack), DEPTH) - 1].children.append(child)
 
+    def top(self, tags: tuple[str, ...] | frozenset) -> int:
+        """The last place at which one of ``tags`` is open, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def close(self, tags: tuple[str, ...], stops: tuple[str, ...] | frozenset) -> None:
         """Closes the open ones of ``tags`` that lie above every one of ``stops``."""
-        while any(self.count[t] for t in tags):
-            at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag in tags or self.stack[i].tag in stops), 0)
-            if not at or self.stack[at].tag not in tags:
-                return
+        while (at := self.top(tags)) > self.top(stops):
             self.cut(at)
 
     def end(self, tag: str) -> None:
         """An end tag: it closes its element unless a scope lies between."""
-        if not self.count[tag]:
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self.cut(i)
-                return
-            if self.stack[i].tag in SCOPE and tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot", "template"):
-                return
+        at = self.top((tag,))
+        if at and (tag in BEYOND or at >= self.top(SCOPE)):
+            self.cut(at)
 
 
 def parse(source: str) -> Node:
@@ -161,7 +167,7 @@ def parse(source: str) -> Node:
             node.children.append(source[at : end.start() if end else len(source)])
             open_.add(node)
             at = end.end() if end else len(source)
-        elif tag in VOID or m["attrs"].rstrip().endswith("/"):
+        elif tag in VOID:  # a slash ends no other element
             open_.add(node)
         else:
             open_.push(node)
@@ -177,6 +183,10 @@ class Layout:
     def gap(self, lines: int) -> None:
         self.breaks, self.space = max(self.breaks, lines), False
 
+    def newline(self) -> None:
+        """A break that counts, after others."""
+        self.breaks, self.space = self.breaks + 1, False
+
     def put(self, text: str) -> None:
         if self.breaks or not self.out:
             self.out.append(("\n" * self.breaks if self.out else "") + " " * max(0, self.indent - len(self.mark)) + self.mark)
@@ -229,39 +239,83 @@ def _rows(node: Node, shown: bool) -> tuple[list[str], list[list[tuple[Node, boo
     return loose, rows
 
 
+class Free:
+    """The columns that no spanning cell from above holds, as gaps in order; the last has no end."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends, self.until = [0], [float("inf")], defaultdict(list)
+
+    def row(self, number: int) -> None:
+        """Lets go of what is held until this row."""
+        for start, end in self.until.pop(number, ()):
+            i = bisect_left(self.starts, start)
+            if i and self.ends[i - 1] == start:
+                i -= 1
+                start = self.starts[i]
+                del self.starts[i], self.ends[i]
+            if i < len(self.starts) and self.starts[i] == end:
+                end = self.ends[i]
+                del self.starts[i], self.ends[i]
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+
+    def first(self, at: int) -> int:
+        """The first free column from ``at`` on."""
+        i = bisect_right(self.starts, at) - 1
+        return at if i >= 0 and self.ends[i] > at else self.starts[i + 1]
+
+    def take(self, start: int, end: int, until: int) -> None:
+        """Holds the free ones of these columns until row ``until``; what another cell holds stays with it."""
+        i = max(0, bisect_right(self.starts, start) - 1)
+        while i < len(self.starts) and self.starts[i] < end:
+            low, high = self.starts[i], self.ends[i]
+            if high <= start:
+                i += 1
+                continue
+            self.until[until].append((max(low, start), min(high, end)))
+            parts = [(a, b) for a, b in ((low, start), (end, high)) if a < b]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [a for a, _ in parts], [b for _, b in parts]
+            i += len(parts)
+
+
 def _table(node: Node, shown: bool) -> str:
     """Rows of a table with its cells in aligned columns."""
     loose, rows = _rows(node, shown)
     placed: list[list[tuple[int, int, list[str]]]] = []  # per row: column, columns, lines of each cell
-    taken: dict[int, int] = {}  # column -> rows below that a spanning cell holds
-    widths: dict[int, int] = {}
-    for row in rows:
-        at, cells, held = 0, [], dict(taken)
+    free, widths, size = Free(), {}, 0
+    for number, row in enumerate(rows):
+        free.row(number)
+        at, cells = 0, []
         for cell, visible in row:
-            while held.get(at, 0):
-                at += 1
+            at = free.first(at)
             across, down = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
             lines = [line.rstrip() for line in render(cell, visible).split("\n")]
+            size += sum(map(len, lines))
             cells.append((at, across, lines))
             if across == 1 and (fit := [len(x) for x in lines if len(x) <= WIDE]):
                 widths[at] = max(widths.get(at, 0), *fit)
             if down > 1:
-                taken.update((i, down) for i in range(at, at + across))
+                free.take(at, at + across, min(number + down, len(rows)))
             at += across
-        taken = {i: n - 1 for i, n in taken.items() if n > 1}
         placed.append(cells)
     columns = sorted(widths)
-    starts = dict(zip(columns, accumulate((widths[c] + 2 if widths[c] else 0 for c in columns), initial=0), strict=False))
-    out = loose
+    starts = list(accumulate((widths[c] + 2 if widths[c] else 0 for c in columns), initial=0))
+    out, spaces = loose, PADDING * size + PADDED
     for cells in placed:
-        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line, after = "", 0
+        last = max((i for _, _, lines in cells for i, x in enumerate(lines) if x), default=-1)
+        for i in range(last + 1):
+            line = []
+            length = after = 0
             for at, _, lines in cells:
                 if text := lines[i] if i < len(lines) else "":
-                    after = starts[at] if at in starts else starts.get(next(iter(columns[bisect_left(columns, at) :]), -1), after)
-                    line = line.ljust(max(after, len(line) + 2 if line else 0)) + text
-            if line or any(any(lines[i + 1 :]) for _, _, lines in cells):
-                out.append(line)
+                    if (k := bisect_left(columns, at)) < len(columns):
+                        after = starts[k]
+                    least = length + 2 if length else 0
+                    pad = max(after, least) - length if spaces > 0 else least - length
+                    spaces -= pad
+                    line += " " * pad, text
+                    length += pad + len(text)
+            out.append("".join(line))
     return "\n".join(out)
 
 
@@ -301,15 +355,16 @@ def render(root: Node, shown: bool = True) -> str:
         start = n.get("start") or "1"
         number = int(start) if tag == "ol" and start.isascii() and start.isdigit() else 1
         closed = tag == "details" and n.get("open") is None
-        for c in n.children:
+        for k, c in enumerate(n.children):
             if isinstance(c, str):
                 if not shown:
                     continue
                 if pre or tag == "pre":
-                    for i, line in enumerate(entities.unescape(c).strip("\n").split("\n")):
+                    text = entities.unescape(c).replace("\r\n", "\n")
+                    for i, line in enumerate((text.removeprefix("\n") if tag == "pre" and not k else text).split("\n")):
                         if i:
-                            out.gap(1)
-                        if line.strip():
+                            out.newline()
+                        if line.strip() or line and i == 0 and out.out and not out.breaks:
                             out.put(line)
                 elif not closed:
                     out.words(c)
