@@ -58,3 +58,35 @@ def test_odd_rows_go_through_all_stages(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
         kept = [r for r in own if not brute.quality(r[1])["base_failed"]]
         assert {r.doc_id for r in got} <= {r[0] for r in kept} and bool(got) == bool(kept)
+
+
+def test_columns_of_any_name_and_kind_go_through(spark):
+    """Dots, blanks and backticks in names, maps, arrays and structs, repeated rows that differ in one of them."""
+    from pyspark.sql import functions as F
+    from test_operators import PROSE
+
+    rows = [(i, PROSE + (f" w{i} x{i} y{i} z{i} a{i} b{i} c{i} d{i}" if i % 3 else ""), "en", "s", 9, {"k": str(i)}) for i in range(12)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m map<string,string>")
+    docs = docs.withColumns({"a.b": F.col("doc_id"), "c d`e": F.array("lang"), "s": F.struct("lang", "m"), "n": F.monotonically_increasing_id()})
+    kept = ngram_join.keep_one(quality.filter_documents(docs))
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    want = brute.components([(r[0], r[1]) for r in rows[:12]], 5, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+    mixed = mixing.mix_documents(secrets.redact(kept))
+    assert mixed.columns == docs.columns and {r["a.b"] for r in mixed.collect()} <= {r["a.b"] for r in kept.collect()}
+
+
+def test_mix_against_brute_force(spark):
+    """Each source's words come within one document of its target, and none is taken more than twice."""
+    docs = table(spark, DATA, "documents")
+    words = {r.doc_id: (r.source, len(brute.WORD.findall(r.text or ""))) for r in docs.collect()}
+    sizes = Counter()
+    for source, n in words.values():
+        sizes[source] += n
+    want, taken = brute.targets(sizes), Counter()
+    times = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    for i, n in times.items():
+        taken[words[i][0]] += n * words[i][1]
+    assert max(times.values()) <= 2
+    for source, target in want.items():
+        assert abs(taken[source] - target) <= max(n for s, n in words.values() if s == source), source

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import Staging, staged, table
 
-__all__ = ["SPACE", "Staging", "WORD", "kept", "let", "staged", "table", "text_of"]
+__all__ = ["SPACE", "Staging", "WORD", "kept", "let", "staged", "table", "text_of", "whole_row"]
 
 Held = TypeVar("Held")
 _IN_WORKER: dict[str, object] = {}
@@ -24,6 +24,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names hold."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,9 +8,10 @@ source's threshold. Thresholds come from two rounds of hash-bucket sums per sour
 no task ever orders a source's documents, and a source may hold any share of the rows.
 
 The hash is of the id, the text and, among rows that agree in id, text and source, a
-number, so that any of them can be split; which of such rows has which number is open, and
-makes no difference. Null text has size 0; a null source is a source of its own, last in
-order; null and repeated ids need nothing else; an empty table gives an empty result.
+number, so that any of them can be split. Rows that agree in all three are taken alike but for
+one repetition; which of them gives it is open where they differ in other columns. Null text
+has size 0; a null source is a source of its own, last in order; null and repeated ids need
+nothing else; an empty table gives an empty result.
 Documents do not shuffle but for repeated rows: sizes are staged as a narrow table.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Staging, staged, text_of
+from .common import WORD, Staging, staged, text_of, whole_row
 
 WEIGHTS = (3, 1, 2)
 BUDGET_PERCENT = 150
@@ -150,7 +151,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED, budget_percent: int = BUDGE
     with Staging(docs.sparkSession) as tables:
         _, plan, repeated = _plan(docs, seed, budget_percent, max_epochs, weights, tables)
         repeated = staged(repeated, "mix-repeated")
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), *[F.col(c).alias(c) for c in ("doc_id", "source", "text")])
+    whole = docs.select(whole_row(docs).alias("_doc"), *[F.col(c).alias(c) for c in ("doc_id", "source", "text")])
     rows = _numbered(_keyed(whole, ("_doc",)), seed, repeated)
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["_src"])).withColumn("_n", _times(max_epochs).cast("int")).filter("_n > 0")
     return joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_doc.*")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, kept, staged
+from .common import Staging, kept, staged, whole_row
 
 #: Cells of a part, and how many of them a signature covers.
 CUTS, KEEP = 3, 2
@@ -448,7 +448,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows count as one where they agree in id and text: one of them stays, the same in every
     run. Rows with a null id, or with one id and different texts, are documents of their own.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("doc_id", "text").alias("_key"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    keyed = docs.select(whole_row(docs).alias("_doc"), F.xxhash64("doc_id", "text").alias("_key"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     with Staging(docs.sparkSession, ARROW_ROWS) as tables:
         rows = resolved(keyed, n, percent, tables, "_key", "_text", ("_id",))
         rows = rows.groupBy("component_id", "key").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
@@ -456,5 +456,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         kept = staged(best.select(F.col("b.key").alias("_key"), F.col("b.n").alias("_rows")), "join-kept")
     found = keyed.select("_key", "_doc").join(kept.hint("shuffle_hash"), "_key")
     single = found.filter("_rows = 1").select("_doc")
-    repeated = found.filter("_rows > 1").groupBy("_key").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc")
+    repeated = found.filter("_rows > 1").groupBy("_key").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc")).select("_doc")
     return single.union(repeated).select("_doc.*")

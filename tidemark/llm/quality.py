@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_of
+from .common import SPACE, let, text_of, whole_row
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks", "n_stutter")
@@ -140,7 +140,7 @@ def ablations(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """The documents that the policy keeps by their ledger, with their own columns only."""
-    book = _with_bits(measured(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")), "_text").drop("_text"))
+    book = _with_bits(measured(docs.select(whole_row(docs).alias("_doc"), F.col("text").alias("_text")), "_text").drop("_text"))
     # a row number keeps the filter above the ledger: pushed below, it would evaluate each measurement once per use
     book = book.withColumn("_row", F.monotonically_increasing_id())
     return book.filter((_fails(policy).bitwiseOR(_fails("base")) == 0) & (F.col("_row") >= 0)).select("_doc.*")
