@@ -5,11 +5,13 @@ of its partial scores in SLICES lists, one per group of vector components.
 
 1. Each query meets one block of rows and gathers the k best scores there. The k-th of
    them can't exceed its final k-th best: a safe cutoff, sent to all blocks.
-2. A block reads its lists in turn. What a list can give at most is known from the norms;
-   a row that reaches the cutoff falls short of that in some list by no more than a uniform
-   share of the slack. Rows whose known parts and bounds of unknown ones stay below the
-   cutoff leave before the next list is read, so that most products are never formed.
-3. The scores of the rows that remain are complete, and the k best per query survive.
+2. A row that reaches the cutoff reaches a uniform share of it, the cutoff divided by the
+   number of lists, in some list. A list is read only where it can: its rows stand in order
+   of their norms there, and those whose norm times the query's stays below the share are
+   left unread, as are rows whose bounds over all lists stay below the cutoff. Entries that
+   reach their share make their row a candidate.
+3. What is not known of a candidate is bounded by norms; where the sum may still reach the
+   cutoff, its score is resolved exactly by its id, and the k best per query survive.
 
 All scores are integers, so the result is exact; ties go to the smaller vec_id. Components
 must be so small that no sum can pass 64 bits (length times the largest square below
@@ -35,6 +37,8 @@ from .common import Staging, staged
 SLICES = 4
 ROWS = 8192
 QUERIES = 2048
+#: Pairs whose scores are resolved at once.
+RESOLVED = 65_536
 
 
 def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -92,34 +96,50 @@ def _norms(x: np.ndarray, slices: list[slice]) -> np.ndarray:
     return np.stack([np.sqrt((x[:, s].astype(np.float64) ** 2).sum(1)) for s in slices], 1)
 
 
+def reached(q: np.ndarray, r: np.ndarray, cutoffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query place, row place, score) of all pairs whose score reaches the query's cutoff, and how many products of components that took."""
+    slices = _slices(q.shape[1])
+    q_norm, r_norm = _norms(q, slices), _norms(r, slices)
+    # bounds and cutoffs are doubles: so much may be lost in them
+    loss = 1 + 1e-12 * float(q_norm.sum(1).max() * r_norm.sum(1).max())
+    cut = cutoffs[:, None] - loss
+    bound, candidate, products = q_norm @ r_norm.T, np.zeros((len(q), len(r)), bool), 0
+    live = (bound >= cut).any(0)
+    for j, s in enumerate(slices):
+        share = cut[:, 0] / len(slices)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = np.where(share <= 0, -np.inf, share / q_norm[:, j]).min()
+        order = np.argsort(-r_norm[:, j], kind="stable")
+        read = order[: np.searchsorted(-r_norm[order, j], -least, "right")]
+        read = read[live[read]]
+        part = q[:, s] @ r[read][:, s].T
+        products += part.size * (s.stop - s.start)
+        candidate[:, read] |= part >= share[:, None]
+        bound[:, read] += part - q_norm[:, j : j + 1] * r_norm[read, j]
+    which, place = np.nonzero(candidate & (bound >= cut))
+    score = np.empty(len(which), q.dtype)
+    for first in range(0, len(which), RESOLVED):
+        part = slice(first, first + RESOLVED)
+        score[part] = (q[which[part]] * r[place[part]]).sum(1)
+    products += len(which) * q.shape[1]
+    whole = score >= cutoffs[which]
+    return which[whole], place[whole], score[whole], products
+
+
 def _collect(k: int):
-    """Phases 2 and 3: rows that the cutoff leaves, with their scores, at most the k best of a block."""
+    """Phases 2 and 3: rows that reach the cutoff, with their scores, at most the k best of a block."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for qid, q, rid, r, rows in _matrices(group):
             cutoffs = rows["cutoff"].fillna(-np.inf).to_numpy(np.float64)
-            slices = _slices(q.shape[1])
-            q_norm, r_norm = _norms(q, slices), _norms(r, slices)
             for at in range(0, len(qid), 256):
-                block, mine = q[at : at + 256], q_norm[at : at + 256]
-                # bounds and cutoffs are doubles: so much may be lost in them
-                loss = 1 + 1e-12 * float(mine.sum(1).max() * r_norm.sum(1).max())
-                cut = cutoffs[at : at + 256, None] - loss
-                live, known, near = np.arange(len(rid)), np.zeros((len(block), len(rid)), q.dtype), np.zeros((len(block), len(rid)), bool)
-                slack = mine @ r_norm.T - cut  # by which a row's bounds pass the cutoff
-                for j, s in enumerate(slices):
-                    part = block[:, s] @ r[live][:, s].T
-                    known = known + part
-                    near |= mine[:, j : j + 1] * r_norm[live, j] - part <= slack / len(slices) + loss
-                    stay = (known + mine[:, j + 1 :] @ r_norm[live, j + 1 :].T >= cut - loss).any(0)
-                    live, known, near, slack = live[stay], known[:, stay], near[:, stay], slack[:, stay]
-                    if not len(live):
-                        break
-                reached = near & (known >= cut) & (qid[at : at + 256, None] != rid[live][None, :])
-                for i in np.flatnonzero(reached.any(1)):
-                    left = np.flatnonzero(reached[i])
-                    out += [(int(qid[at + i]), int(rid[live[p]]), int(known[i, p])) for p in left[_best_of(rid[live[left]], known[i, left], k)]]
+                which, place, score, _ = reached(q[at : at + 256], r, cutoffs[at : at + 256])
+                other = qid[at + which] != rid[place]
+                which, place, score = which[other], place[other], score[other]
+                edges = np.searchsorted(which, np.arange(min(256, len(qid) - at) + 1))
+                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    out += [(int(qid[at + i]), int(rid[place[a + p]]), int(score[a + p])) for p in _best_of(rid[place[a:b]], score[a:b], k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
