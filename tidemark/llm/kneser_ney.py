@@ -42,8 +42,10 @@ QUANTILE, ACCURACY = 0.99, 10_000
 #: Bits that a text of n characters may lie above the quantile: MARGIN + SHORT / sqrt(n).
 MARGIN, SHORT = 0.15, 6.0
 START, END = 2, 3
-#: Rows of a batch, by the bytes of its texts; larger texts are batches of their own.
-BATCHES = ((1 << 14, 8192), (1 << 17, 512), (1 << 21, 32))
+#: Bytes of a batch's texts at most; a larger text is a batch of its own.
+BATCH = 1 << 25
+#: Texts of up to so many bytes share batches of as many rows as that allows.
+SIZES = (1 << 12, 1 << 14, 1 << 17, 1 << 21)
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -153,15 +155,15 @@ def bits_of(codes: DataFrame, table: DataFrame) -> DataFrame:
     return codes.join(found, codes["code"] == found["of"], "left").select("code", (-F.log2(p)).alias("bits"))
 
 
-def _batched(docs: DataFrame) -> DataFrame:
+def _batched(docs: DataFrame, tables: Staging) -> DataFrame:
     """doc_id, lang, text and batch, a key that any reading of the files gives the same rows."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
     try:
         rows = docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:  # not a file's rows
-        rows = staged(docs.select(*own), "kn-docs").select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        rows = tables.put(docs.select(*own), "kn-docs").select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    width = reduce(lambda rest, x: F.when(size < x[0], F.lit(x[1])).otherwise(rest), reversed(BATCHES), F.lit(1))
+    width = reduce(lambda rest, most: F.when(size <= most, F.lit(BATCH // most)).otherwise(rest), reversed(SIZES), F.lit(1))
     return rows.select("doc_id", "lang", "text", F.xxhash64("file", width, F.floor(F.col("row") / width)).alias("batch"))
 
 
@@ -191,7 +193,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             for key, places in held.items():
                 own = part.select(["doc_id", "lang", "text"]).take(pa.array(places))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
                     out.write_batch(own)
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "packed"])
 
@@ -214,7 +216,7 @@ def _scores(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
 
 def score(docs: DataFrame, table: DataFrame, tables: Staging) -> DataFrame:
     """doc_id, lang, n (symbols), bits of every row; bits are NaN where the model is empty."""
-    rows = _batched(docs)
+    rows = _batched(docs, tables)
     codes = tables.put(_codes(rows), "kn-codes")
     known = tables.put(bits_of(codes.select("code").distinct(), table), "kn-bits")
     found = codes.join(known, "code").select("batch", "code", "bits")
