@@ -42,7 +42,7 @@ _LAG = "lag({0}) over (partition by release_id, source_id order by captured_at,
 @query("stream_change_detect", f"""{views('log')}, f as (select *, {_LAG.format("seq")} is not null there, {_LAG.format("etag")} pe, {_LAG.format("actual")} pa from log), g as (select *, there and coalesce(etag <> pe, false) h, there and coalesce(actual <> pa, false) c from f)
 select release_id, source_id, seq, case when h and c then 'headers+content' when h then 'headers' else 'content' end as "method" from g where h or c""")
 def stream_change_detect(spark, d):
-    rows = log(spark, d).select("release_id", "source_id", "seq", "captured_at", "etag", "actual")
+    rows = log(spark, d, 4).select("release_id", "source_id", "seq", "captured_at", "etag", "actual")
     return J.run_once(J.detect_changes_stream(rows, delay=DELAY), "changes", rocks=True)
 
 

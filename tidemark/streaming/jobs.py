@@ -91,19 +91,19 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        held, known = [tuple(r) for r in self.held.get()], self.last.get()  # each call goes to the store
         due = sorted((r for r in held if self.end(r[0]) <= now), key=lambda r: r[:2])
-        last = self.last.get() if self.last.exists() else None
+        last = due[-1] if due else known
         if due:
-            yield from self.taken(key, last, due)
-            last = due[-1]
+            yield from self.taken(key, known, due)
             if len(due) < len(held):
                 self.held.put([r for r in held if self.end(r[0]) > now])
             else:
                 self.held.clear()
         gone = self.end(last[0]) + self.idle if last else now
         if gone <= now and len(due) == len(held):
-            self.last.clear()
+            if known:
+                self.last.clear()
         elif due:
             self.last.update(last)
             self.handle.registerTimer(gone)
@@ -194,7 +194,7 @@ class Race(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001
         new = list(rows)
         first = min((r.at, r.source_id, r.seq) for r in new)
-        known = self.best.get() if self.best.exists() else None
+        known = self.best.get()
         if not known:
             self.handle.registerTimer(new[0].closes_ms)
         if not known or not known[3] and first < tuple(known[:3]):
@@ -204,7 +204,7 @@ class Race(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001
         now = expiredTimerInfo.getExpiryTimeInMs()
-        known = self.best.get() if self.best.exists() else None
+        known = self.best.get()
         if known and not known[3] and known[0] <= 1000 * now:
             yield Row(release_id=key[0], source_id=known[1], seq=known[2])
             self.best.update((*known[:3], True))
@@ -237,7 +237,7 @@ class Deadline(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001
         new = list(rows)
-        known = self.seen.get() if self.seen.exists() else None
+        known = self.seen.get()
         if not known:
             self.handle.registerTimer(new[0].deadline_ms)
         errors = [(r.at, r.seq, r.error) for r in new if r.error is not None] + ([tuple(known[1:])] if known and known[3] is not None else [])
@@ -246,7 +246,7 @@ class Deadline(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001
-        known = self.seen.get() if self.seen.exists() else None
+        known = self.seen.get()
         if known and not known[0]:
             yield Row(release_id=key[0], status="NOT_CONFIRMED", last_error=known[3])
         self.seen.clear()
