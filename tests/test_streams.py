@@ -137,7 +137,9 @@ def test_epochs_are_whole_or_not_there(spark, tmp_path):
     assert collected(table.read(), "k", "v") == [(1, 5), (2, 9)]
     assert table.commit(of((1, 3)), 1, "w") and table.commit(of((3, 1)), 0, "other")
     assert collected(table.read(), "k", "v") == [(1, 3), (2, 9), (3, 1)] and len(table.folders()) == 3
+    before = table.read()
     assert table.commit(of((2, 8)), 2, "w")
+    assert collected(before, "k", "v") == [(1, 3), (2, 9), (3, 1)]  # a reader of the version before the merge
     assert collected(table.read(), "k", "v") == [(1, 3), (2, 8), (3, 1)] and len(table.folders()) == 1
     assert not table.commit(of((2, 0)), 2, "w") and table.commit(of((9, 9)), 3, "w")
     assert collected(epochs.EpochTable(spark, path, "k long, v long", least).read(), "k", "v") == [(1, 3), (2, 8), (3, 1), (9, 9)]

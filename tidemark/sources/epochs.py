@@ -36,10 +36,10 @@ class EpochTable:
         return sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
 
     def _state(self) -> dict:
-        """The newest manifest: its version, its folders, and the last epoch of each writer."""
+        """The newest manifest: its version, its folders, those that the last merge replaced, and the last epoch of each writer."""
         names = self._manifests()
         if not names:
-            return {"version": 0, "folders": [], "epochs": {}}
+            return {"version": 0, "folders": [], "replaced": [], "epochs": {}}
         found = self._files.open(self._place(f"{self.path}/manifest/{names[-1]}"))
         try:
             return json.loads(bytes(found.readAllBytes()).decode())
@@ -72,12 +72,12 @@ class EpochTable:
         return True
 
     def compact(self) -> None:
-        """All folders as one; the old ones go when the manifest no longer names them."""
+        """All folders as one; those that it replaces stay for who still reads them, until the next merge."""
         state = self._state()
         folder = f"data/merged-{state['version'] + 1:012d}"
         self._read(state["folders"]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        self._publish(state | {"folders": [folder]})
-        for old in state["folders"]:
+        self._publish(state | {"folders": [folder], "replaced": state["folders"]})
+        for old in state["replaced"]:
             delete(self.spark, f"{self.path}/{old}")
 
     def _read(self, folders: list[str]) -> DataFrame:
