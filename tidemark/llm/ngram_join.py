@@ -32,9 +32,9 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 from math import ceil, exp, factorial
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import Staging, kept, staged, whole_row
 
+if TYPE_CHECKING:  # workers that only hash texts do without it
+    import pandas as pd
+
 #: Cells of a part, and how many of them a signature covers.
 CUTS, KEEP = 3, 2
 #: Parts beyond those that the differences of linked sets can break.
@@ -288,6 +291,8 @@ def _against_hub(percent: int, n: int):
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         hub, whole = int(group["hub"].iloc[0]), int(group["n_chunks"].iloc[0]) == 1
         # an id with several texts is a hub with several sets; the first serves as the origin of differences
         hub_sets = [s for s in shingles(sorted(set(group.loc[group["is_hub"], "text"].dropna())), n) if len(s)]
@@ -314,6 +319,8 @@ def _pairs_within(percent: int):
     """A pair of blocks of a large group: each member with what it is joined to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         ids, hub = group["key"].to_numpy(np.int64), int(group["hub"].iloc[0])
         label = _labels(group["size"].to_numpy(np.int64), group["linked"].to_numpy(bool), [np.asarray(d, np.int64) for d in group["diff"]], percent)
         return pd.DataFrame({"key": ids, "joined": np.where(label < 0, hub, ids[label])})
