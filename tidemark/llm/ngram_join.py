@@ -14,7 +14,8 @@ the sets under a signature of at most PAIRS, each pair is named and stays if it
 other set is compared with its hubs, a number of rows in proportion to the signatures. As
 all sets under a signature share its hub, links among them are found among the differences
 from it, which are short: sets farther from the hub than any set that the hub does not link
-can reach are done, the rest of a group is compared in pairs of blocks. Groups are dealt
+can reach are done, the rest of a group is compared in pairs of blocks, those that the hub
+links with the others only. Groups are dealt
 out in chunks bounded in features and rows. Every comparison is of exact set sizes.
 Components then come from star contraction over the links found, a few rounds of
 aggregations and joins over staged tables. Joins of signatures and of texts are by shuffle
@@ -388,10 +389,14 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame,
     open_ = ~F.col("linked")
     groups = found.filter("diff is not null").groupBy("hub").agg(F.min(F.when(open_, apart - reach)).alias("lo"), F.max(F.when(open_, apart + reach)).alias("hi")).filter("lo is not null")
     rows = found.filter("diff is not null").join(groups, "hub").filter(apart.between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    blocks = rows.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "hub").withColumn("block", F.expr("pmod(xxhash64(key, 7), blocks)").cast("int"))
+    # blocks of open sets first, then of linked ones, which are compared with open ones only
+    parts = lambda what: F.ceil(F.count_if(what) / BLOCK).cast("int")
+    blocks = rows.groupBy("hub").agg(parts(open_).alias("n_open"), parts(F.col("linked")).alias("n_linked"))
+    deal = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.join(blocks, "hub").withColumn("block", F.when(open_, deal("n_open")).otherwise(F.col("n_open") + deal("n_linked")))
+    last = F.col("n_open") + F.when(open_, F.col("n_linked")).otherwise(0) - 1
     # block pairs (i, j), i <= j: a member goes to every pair that holds its block
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    pair = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     rows = rows.withColumn("at", F.explode(pair)).select("hub", "key", "size", "linked", "diff", "at.i", "at.j")
     inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "key long, joined long").select(F.col("key").alias("a"), F.col("joined").alias("b"))
     # a document with several texts holds its classes together
