@@ -176,7 +176,7 @@ def capture_files(spark: SparkSession, d: str, files: int = 4) -> str:
 
 # payloads and pages that contradict their definitions or themselves
 
-#: A producer-price table's figures: event, row, group, item, kind, seasonality.
+#: The figures of a published producer-price table, as event, row, group, item, kind, seasonality.
 PPI = [
     ("Core PPI (MoM)", "Final demand less foods and energy", "FD", "49104", "mom", "seasonally adjusted"), ("Core PPI (YoY)", "Final demand less foods and energy", "FD", "49104", "yoy", "unadjusted"),
     ("PPI (MoM)", "Final demand", "FD", "4", "mom", "seasonally adjusted"), ("PPI (YoY)", "Final demand", "FD", "4", "yoy", "unadjusted"),
