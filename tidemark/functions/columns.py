@@ -234,11 +234,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, ODD_SPACES, " " * len(ODD_SPACES)), r"\s+", " "))
 
 
-def html_to_text(c: Column, block: str = " ") -> Column:
-    """Visible text: script and style dropped, blocks and breaks as ``block``, entities decoded."""
+def html_to_text(c: Column, block: str = " ", loose: bool = True) -> Column:
+    """Visible text: script and style dropped, blocks and breaks as ``block``, entities decoded; ``loose`` as in ``decode_entities``."""
     t = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br[^>]*>|</?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|td|th)(?:\s[^>]*)?>", block)
-    t = decode_entities(F.regexp_replace(t, r"<[^>]*>", ""))
+    t = decode_entities(F.regexp_replace(t, r"<[^>]*>", ""), loose)
     if "\n" not in block:
         return squeeze(t)
     t = F.regexp_replace(F.translate(t, ODD_SPACES, " " * len(ODD_SPACES)), r"[ \t\r]+", " ")

@@ -139,11 +139,11 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
-def extract_links(docs: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", href_pattern: str = ".", text_pattern: str = "") -> DataFrame:
-    """(key, pos, href, url, text) of anchors, the first of each address per document."""
+def extract_links(docs: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", href_pattern: str = ".", text_pattern: str = "", loose: bool = True) -> DataFrame:
+    """(key, pos, href, url, text) of anchors, the first of each address per document; ``loose``: of their texts, as in ``decode_entities``."""
     pair = F.arrays_zip(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(2)).alias("text"))
     rows = docs.select(key, F.col(url).alias("_base"), F.posexplode(pair).alias("pos", "a"))
-    rows = rows.select(key, "pos", C.decode_entities(F.col("a.href"), loose=False).alias("href"), C.html_to_text(F.col("a.text")).alias("text"), "_base")
+    rows = rows.select(key, "pos", C.decode_entities(F.col("a.href"), loose=False).alias("href"), C.html_to_text(F.col("a.text"), loose=loose).alias("text"), "_base")
     rows = rows.filter(F.rlike("href", F.lit(href_pattern)) & F.rlike("text", F.lit(text_pattern))).withColumn("url", absolute(F.col("href"), F.col("_base")))
     return rows.groupBy(key, "url").agg(F.min("pos").alias("pos"), F.min_by(F.struct("href", "text"), "pos").alias("x")).select(key, "pos", "x.href", "url", "x.text")
 
@@ -222,12 +222,13 @@ SCRIPT_TITLE = r"""(?is)\btitle\s*[:=]\s*"([^"]+)\""""
 META_TITLE = r"""(?is)<meta[^>]*(?:name|property)=["'](?:og:|dc\.)?title["'][^>]*content=["']([^"']*)["']"""
 
 
-def extract_title(html: Column, first: tuple[str, ...] = (), preferred: str | None = None) -> Column:
-    """By order: patterns of ``first``, an h1 that fits ``preferred``, an h1 that isn't a search page's, the title element."""
-    heads = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), lambda x: C.html_to_text(x)), lambda h: (h != "") & ~F.contains(F.lower(h), F.lit("search results")))
+def extract_title(html: Column, first: tuple[str, ...] = (), preferred: str | None = None, loose: bool = True) -> Column:
+    """By order: patterns of ``first``, an h1 that fits ``preferred``, an h1 that isn't a search page's, the title element; ``loose`` as in ``decode_entities``."""
+    text = lambda x: C.html_to_text(x, loose=loose)
+    heads = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), text), lambda h: (h != "") & ~F.contains(F.lower(h), F.lit("search results")))
     fitting = [F.get(F.filter(heads, lambda h: F.rlike(h, F.lit(preferred))), F.lit(0))] if preferred else []
-    title = C.html_to_text(C.group(html, r"(?is)<title[^>]*>(.*?)</title>"))
-    return C.first_non_blank(*[C.html_to_text(C.group(html, p)) for p in first], *fitting, F.get(heads, F.lit(0)), title)
+    title = text(C.group(html, r"(?is)<title[^>]*>(.*?)</title>"))
+    return C.first_non_blank(*[text(C.group(html, p)) for p in first], *fitting, F.get(heads, F.lit(0)), title)
 
 
 def guard_reason(text: Column, required: list[str], forbidden: list[str]) -> Column:
