@@ -232,3 +232,20 @@ def test_no_temporary_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_path(Session(), "x")
+
+
+def test_periods_and_dates_read_their_text_once(spark):
+    """A derived text is evaluated once, whatever number of forms a date may have."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    for read in (C.to_period, C.parse_release_date, C.decode_entities, C.html_to_text):
+        plan = df.select(read(F.concat(F.col("t"), F.lit("-once-"))))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("-once-") == 1, read.__name__
+
+
+def test_periods_dates_and_spaces_keep_their_forms(spark):
+    periods = {"2026-04": "2026-04-01", " 2026-04-30 ": "2026-04-01", "2026-13": None, "2026 M04 Results": "2026-04-01", "March 2025, then Sept. 2026": "2026-09-01", "2026 APR": "2026-04-01", "12345 May": "2345-05-01", "Mayor 2026": None, "": None}
+    assert {k: one(spark, C.to_period(F.col("c")).cast("string"), c=k) for k in periods} == periods
+    dates = {"on Jan 2, 2006.": "2006-01-02", "2 January 2006": "2006-01-02", "31-01-2006": "2006-01-31", "x 2006-01-02": "2006-01-02", "/pr240131.htm": "2024-01-31", "/990131": "1999-01-31", "Feb 30, 2024": None, "none": None}
+    assert {k: one(spark, C.parse_release_date(F.col("c")).cast("string"), c=k) for k in dates} == dates
+    spaces = {" a  b\t\nc ": "a b c", "a b": "a b", "a   b": "a b", "a b": "a b", "": ""}
+    assert {k: one(spark, C.squeeze(F.col("c")), c=k) for k in spaces} == spaces

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
 from zlib import crc32
@@ -40,6 +41,16 @@ def group(c: Column, pattern: str, index: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_match(c: Column, pattern: str, at: int = 1) -> Column:
+    """The first match of a regular expression (``at`` -1: the last), null without one."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(at))
+
+
 def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*map(blank_to_null, cols))
 
@@ -57,15 +68,15 @@ def month_no(c: Column) -> Column:
 def to_period(c: Column) -> Column:
     """First of the month named by '2026-04', 'April 2026', '2026 APR' or '2026 M04 Results', the last if a text names several; null if none fits."""
     made = lambda y, m: F.try_make_timestamp(y.cast("int"), m.cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    last = lambda pattern: F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
-    by_name = lambda pattern, y, m: made(group(last(pattern), pattern, y), month_no(group(last(pattern), pattern, m)))
+    word = lambda m: month_no(F.regexp_extract(m, "[A-Za-z]+", 0))
     iso, coded = r"^\s*(\d{4})-(\d{2})(?:-\d{2})?\s*$", r"(\d{4})\s+M(0[1-9]|1[0-2])\b"
-    return F.coalesce(
-        made(group(c, iso, 1), group(c, iso, 2)),
-        made(group(c, coded, 1), group(c, coded, 2)),
-        by_name(rf"(?i){_MONTH}\s+(\d{{4}})", 2, 1),
-        by_name(rf"(?i)(\d{{4}})\s+{_MONTH}", 1, 2),
-    )
+    # the text, and a match in it, are bound: what coalesce may skip would be evaluated wherever it is named
+    return bound(c, lambda t: F.coalesce(
+        made(group(t, iso, 1), group(t, iso, 2)),
+        bound(first_match(t, coded), lambda m: made(F.left(m, F.lit(4)), F.right(m, F.lit(2)))),
+        bound(first_match(t, rf"(?i){_MONTH}\s+(\d{{4}})", -1), lambda m: made(F.right(m, F.lit(4)), word(m))),
+        bound(first_match(t, rf"(?i)(\d{{4}})\s+{_MONTH}", -1), lambda m: made(F.left(m, F.lit(4)), word(m))),
+    ))
 
 
 def bls_period(year: Column, code: Column) -> Column:
@@ -94,16 +105,23 @@ def bracket_period(release_date: Column, month: Column) -> Column:
 
 def parse_release_date(c: Column) -> Column:
     """Date of 'Jan 2, 2006', 'January 2, 2006', '2 January 2006', '02-01-2006', '2006-01-02' or a YYMMDD slug."""
-    named = lambda p, y, m, d: F.try_to_date(F.concat_ws("-", group(c, p, y), F.lpad(month_no(group(c, p, m)).cast("string"), 2, "0"), F.lpad(group(c, p, d), 2, "0")), "yyyy-MM-dd")
+    def found(t: Column, pattern: str, date: Callable[[Column], Column]) -> Column:
+        return bound(first_match(t, pattern), lambda m: F.when(m.isNotNull(), date(m)))
+
+    def named(t: Column, p: str, y: int, m: int, d: int) -> Column:
+        parts = lambda x: (F.regexp_extract(x, p, y), F.lpad(month_no(F.regexp_extract(x, p, m)).cast("string"), 2, "0"), F.lpad(F.regexp_extract(x, p, d), 2, "0"))
+        return found(t, p, lambda x: F.try_to_date(F.concat_ws("-", *parts(x)), "yyyy-MM-dd"))
+
     slug = r"(?:^|[^0-9])(\d{2})(\d{2})(\d{2})(?:[^0-9]|$)"
-    century = F.when(group(c, slug, 1).cast("int") >= 90, "19").otherwise("20")
-    return F.coalesce(
-        named(rf"(?i)\b{_MONTH}\s+(\d{{1,2}}),\s*(\d{{4}})", 3, 1, 2),
-        named(rf"(?i)\b(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}})", 3, 2, 1),
-        F.try_to_date(group(c, r"\b(\d{2}-\d{2}-\d{4})\b"), "dd-MM-yyyy"),
-        F.try_to_date(group(c, r"\b(\d{4}-\d{2}-\d{2})\b"), "yyyy-MM-dd"),
-        F.try_to_date(F.concat(century, group(c, slug, 1), group(c, slug, 2), group(c, slug, 3)), "yyyyMMdd"),
-    )
+    century = lambda x: F.when(F.left(x, F.lit(2)).cast("int") >= 90, "19").otherwise("20")
+    # bound as in to_period; a date is parsed only where one was found, since a failed parse is slow
+    return bound(c, lambda t: F.coalesce(
+        named(t, rf"(?i)\b{_MONTH}\s+(\d{{1,2}}),\s*(\d{{4}})", 3, 1, 2),
+        named(t, rf"(?i)\b(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}})", 3, 2, 1),
+        found(t, r"\b(\d{2}-\d{2}-\d{4})\b", lambda x: F.try_to_date(x, "dd-MM-yyyy")),
+        found(t, r"\b(\d{4}-\d{2}-\d{2})\b", lambda x: F.try_to_date(x, "yyyy-MM-dd")),
+        found(t, slug, lambda x: bound(F.regexp_extract(x, r"\d{6}", 0), lambda n: F.try_to_date(F.concat(century(n), n), "yyyyMMdd"))),
+    ))
 
 
 def to_utc(local: Column, tz: str) -> Column:
@@ -199,11 +217,6 @@ def number_from_cell(c: Column) -> Column:
 # text
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _referred(ref: Column) -> Column:
     """What a character reference stands for; itself if nothing. Of a name without semicolon the longest beginning that is a name counts."""
     shelves = F.from_json(F.lit(json.dumps(_SHELVED)), "array<map<string,string>>")
@@ -224,14 +237,20 @@ def _referred(ref: Column) -> Column:
 def decode_entities(c: Column, loose: bool = True) -> Column:
     """Named and numeric character references decoded, once each; ``loose``: without semicolon too, as in texts, not in addresses."""
     pattern = _REFERENCE + "?" if loose else _REFERENCE
-    parts = F.struct(F.split(c, pattern).alias("gaps"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("refs"))
-    joined = bound(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(_referred(F.get(p["refs"], i)), F.lit("")))), ""))
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+    def decoded(t: Column) -> Column:
+        parts = F.struct(F.split(t, pattern).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("refs"))
+        joined = bound(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(_referred(F.get(p["refs"], i)), F.lit("")))), ""))
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return bound(c, decoded)
 
 
 def squeeze(c: Column) -> Column:
     """Runs of spaces of any kind as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(c, ODD_SPACES, " " * len(ODD_SPACES)), r"\s+", " "))
+    # a single plain space is one already, and most are
+    other = rf"\t\n\x0B\f\r{ODD_SPACES}"
+    return F.trim(F.regexp_replace(c, f"(?: [ {other}]|[{other}])[ {other}]*", " "))
 
 
 def html_to_text(c: Column, block: str = " ", loose: bool = True) -> Column:
