@@ -238,7 +238,7 @@ def test_periods_and_dates_read_their_text_once(spark):
     """A derived text is evaluated once, whatever number of forms a date may have."""
     df = spark.range(1).select(F.col("id").cast("string").alias("t"))
     for read in (C.to_period, C.parse_release_date, C.decode_entities, C.html_to_text):
-        plan = df.select(read(F.concat(F.col("t"), F.lit("-once-"))))._jdf.queryExecution().optimizedPlan().toString()
+        plan = df.select(read(F.concat(F.col("t"), F.lit("-once-"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("-once-") == 1, read.__name__
 
 

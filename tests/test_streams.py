@@ -177,3 +177,13 @@ def test_a_batch_of_the_leaderboard_writes_in_proportion_to_its_rows(spark, log,
     newest = epochs.EpochTable(spark, f"file://{place}", J.HITS).folders()[-1]
     assert spark.read.parquet(f"file://{place}/{newest}").count() == 1
     assert board.filter("release_id = 0 and rank = 1").select("seq").first().seq == 99_999
+
+
+def test_a_batch_is_held_as_one_value_per_key(spark, tmp_path):
+    path, place = f"file://{tmp_path}/log", f"file://{tmp_path}/c"
+    rows = [(1, "s", seq, EVENT + timedelta(minutes=seq), 200, "a", 1, 1.0, None, EVENT) for seq in range(5)]
+    spark.createDataFrame(rows, X.LOG).coalesce(1).write.parquet(path)
+    stream = readers.stream_captures(spark, path, X.LOG, 1)
+    with J.settings(spark, J.ROCKS):
+        assert J.run_once(J.detect_changes_stream(stream, delay="1 hour"), "h", rocks=True, checkpoint=place).count() == 0
+        assert spark.read.format("statestore").option("stateVarName", "held").load(place).count() == 1
