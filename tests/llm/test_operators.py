@@ -306,6 +306,21 @@ def test_kneser_ney_against_brute_force(spark, docs, edge):
                 assert r.n == n and math.isclose(r.bits, bits, rel_tol=1e-9, abs_tol=1e-9), r.doc_id
 
 
+def test_kneser_ney_batches_hold_all_sizes_and_each_ngram_once(spark, tmp_path, monkeypatch):
+    texts = ["ab " * 40 if i % 3 else "cd " * 4000 for i in range(600)] + ["ef " * 60_000, None]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").coalesce(1).write.parquet(path)
+    with kneser_ney.Staging(spark, 50) as tables:
+        rows = kneser_ney._batched(spark.read.parquet(path), tables)
+        assert sorted(r["count"] for r in rows.groupBy("batch").count().collect()) == [1, 601]
+        codes = tables.put(kneser_ney._codes(rows), "codes")  # from many Arrow batches
+        assert codes.count() == codes.distinct().count()
+        monkeypatch.setattr(kneser_ney, "BATCH", 1 << 19)
+        rows = kneser_ney._batched(spark.read.parquet(path), tables)
+        # a block of 256 rows has a million bytes
+        assert rows.count() == 602 and rows.filter("doc_id < 600").select("batch").distinct().count() == 3
+
+
 def test_classifier_separates_held_out_labels(spark, docs, edge, empty):
     labels = {r.doc_id: r.quality for r in table(spark, DATA, "labels").collect()}
     trusted = table(spark, DATA, "labels").filter("quality = 1").select("doc_id")

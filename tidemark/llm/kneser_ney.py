@@ -6,9 +6,9 @@ sharded by n-gram; continuation counts, context totals and interpolated probabil
 from joins and aggregates among them, order by order.
 
 Documents are scored by sharded count joins too, in one form at every size. A batch is a
-bounded run of a file's documents; its distinct n-grams are joined with the model once for
+run of a file's documents, bounded in bytes; its distinct n-grams are joined with the model once for
 all batches, shard by shard, and meet the batch's texts, packed, again by its key. The model is
-neither broadcast nor collected. A document's cross-entropy decides against a quantile of
+neither broadcast nor collected; broadcast is where batches begin, a row for each BATCH bytes or file. A document's cross-entropy decides against a quantile of
 the held-out trusted documents of its language, with an allowance for short texts; the
 quantile is Spark's approximate one, off by one in ACCURACY of the ranks at most.
 
@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..sources.staging import shared_path, written
 from .common import Staging, staged
 
 ORDER = 4
@@ -42,10 +44,17 @@ QUANTILE, ACCURACY = 0.99, 10_000
 #: Bits that a text of n characters may lie above the quantile: MARGIN + SHORT / sqrt(n).
 MARGIN, SHORT = 0.15, 6.0
 START, END = 2, 3
-#: Bytes of a batch's texts at most; a larger text is a batch of its own.
+#: Bytes after which a batch of a file's texts ends, with the block of rows at hand.
 BATCH = 1 << 25
-#: Texts of up to so many bytes share batches of as many rows as that allows.
-SIZES = (1 << 12, 1 << 14, 1 << 17, 1 << 21)
+BLOCK = 256
+#: Texts of more bytes than the first are in batches of their own, of as many rows as BATCH allows; one beyond the last is a batch.
+SIZES = (1 << 17, 1 << 21)
+#: Rows that a Python worker is given at once.
+ARROW_ROWS = 2000
+#: n-grams that a worker gathers before it lets go of repeated ones, and distinct ones that it holds.
+FRESH, HELD = 1 << 21, 1 << 22
+#: Bytes of texts that are packed together.
+PACK = 1 << 23
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -158,44 +167,83 @@ def bits_of(codes: DataFrame, table: DataFrame) -> DataFrame:
 def _batched(docs: DataFrame, tables: Staging) -> DataFrame:
     """doc_id, lang, text and batch, a key that any reading of the files gives the same rows."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
-        rows = docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        rows = docs.select(*own, *place)
     except AnalysisException:  # not a file's rows
-        rows = tables.put(docs.select(*own), "kn-docs").select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    width = reduce(lambda rest, most: F.when(size <= most, F.lit(BATCH // most)).otherwise(rest), reversed(SIZES), F.lit(1))
-    return rows.select("doc_id", "lang", "text", F.xxhash64("file", width, F.floor(F.col("row") / width)).alias("batch"))
+        rows = tables.put(docs.select(*own), "kn-docs").select(*own, *place)
+    size, block = F.octet_length(F.coalesce("text", F.lit(""))), F.floor(F.col("row") / BLOCK)
+    small = size <= SIZES[0]
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.filter(small).groupBy("file", block.alias("block")).agg(F.sum(size).alias("bytes"))
+    number = F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / BATCH)
+    runs = tables.put(sums.withColumn("number", number).groupBy("file", "number").agg(F.min("block").alias("lo"), F.max("block").alias("hi")), "kn-runs")
+    rows = rows.join(F.broadcast(runs.withColumnRenamed("file", "_file")), (F.col("file") == F.col("_file")) & block.between(F.col("lo"), F.col("hi")), "left")
+    width = reduce(lambda rest, most: F.when(size <= most, F.lit(BATCH // most)).otherwise(rest), reversed(SIZES[1:]), F.lit(1))
+    key = F.when(small, F.xxhash64("file", F.lit(0), "number")).otherwise(F.xxhash64("file", width, F.floor(F.col("row") / width)))
+    return rows.select("doc_id", "lang", "text", key.alias("batch"))
 
 
 def _codes(rows: DataFrame) -> DataFrame:
     """(batch, code): the distinct n-grams of each batch, or of what a task holds of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        fresh: dict[int, list[np.ndarray]] = {}
+
+        def merge() -> None:
+            for key, codes in fresh.items():
+                held[key], _ = distinct(np.concatenate([held.get(key, np.empty(0, np.uint64)), *codes]))
+            fresh.clear()
+
+        def let_go() -> Iterator[pa.RecordBatch]:
+            for key, codes in held.items():
+                for at in range(0, len(codes), FRESH):
+                    found = codes[at : at + FRESH]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found.view(np.int64))], names=["batch", "code"])
+            held.clear()
+
+        n = 0
         for part in batches:
-            held: dict[int, list[np.ndarray]] = {}
             for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                held.setdefault(key, []).append(grams(symbols(text.as_py())))
-            for key, codes in held.items():
-                found, _ = distinct(np.concatenate(codes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found.view(np.int64))], names=["batch", "code"])
+                codes = grams(symbols(text.as_py()))
+                fresh.setdefault(key, []).append(codes)
+                n += len(codes)
+                if n >= FRESH:
+                    merge()
+                    n = 0
+                    if sum(map(len, held.values())) >= HELD:
+                        yield from let_go()
+        merge()
+        yield from let_go()
 
     return rows.select("batch", "text").mapInArrow(run, "batch long, code long")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """(batch, packed): the documents of each batch, or of what a task holds of it, as one compressed table."""
+    """(batch, packed): the documents of each batch, or of what a task holds of it, as compressed tables of about PACK bytes."""
+
+    def packed(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(parts).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+            out.write_table(own)
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
         for part in batches:
-            held: dict[int, list[int]] = {}
+            places: dict[int, list[int]] = {}
             for i, key in enumerate(part.column("batch").to_pylist()):
-                held.setdefault(key, []).append(i)
-            for key, places in held.items():
-                own = part.select(["doc_id", "lang", "text"]).take(pa.array(places))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
-                    out.write_batch(own)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "packed"])
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                held.setdefault(key, []).append(part.select(["doc_id", "lang", "text"]).take(pa.array(at)))
+            size += part.nbytes
+            if size >= PACK:
+                yield from (packed(*x) for x in held.items())
+                held, size = {}, 0
+        yield from (packed(*x) for x in held.items())
 
     return rows.mapInArrow(run, "batch long, packed binary")
 
@@ -228,13 +276,14 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
 
     ``trusted_ids``: doc_id of the trusted documents.
     """
-    with Staging(docs.sparkSession) as tables:
+    with Staging(docs.sparkSession, ARROW_ROWS) as tables:
         held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
         trusted = tables.put(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("held", held), "kn-trusted")
         counted = trusted.filter("not held")
         table = model(docs.join(counted, docs["doc_id"].cast("long") == counted["doc_id"], "left_semi"), tables)
         # twelve bytes a row or so: the scores, and per language two numbers
-        scored = staged(score(docs, table, tables).withColumn("rate", F.when((F.col("n") > 0) & ~F.isnan("bits"), F.col("bits") / F.col("n"))), "kn-scores")
+        rated = score(docs, table, tables).withColumn("rate", F.when((F.col("n") > 0) & ~F.isnan("bits"), F.col("bits") / F.col("n")))
+        scored = written(rated, shared_path(docs.sparkSession, "kn-scores"), ARROW_ROWS)
         allowance = F.lit(short) / F.sqrt("n")
         known = scored.filter("rate is not null").join(trusted, "doc_id").withColumn("net", F.col("rate") - allowance)
         at = lambda c: F.percentile_approx(F.when(c, F.col("net")), F.lit(quantile), F.lit(ACCURACY))
