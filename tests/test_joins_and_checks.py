@@ -160,3 +160,16 @@ def test_dimensions_are_bounded(spark):
     assert len(staging.small_rows(spark.range(5), 5)) == 5
     with pytest.raises(ValueError, match="more than 4"):
         staging.small_rows(spark.range(5), 4)
+
+
+def test_pages_of_one_small_file_are_parsed_by_all_cores(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.plans.catalog import QUERIES
+    from tidemark.sources import fixtures as X
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 28), float(i % 100)) for i in range(500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for pages in (X.history_pages, X.crosscheck_pages):
+        assert pages(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert QUERIES["card_history_join"](spark, str(tmp_path)).filter("reason is null").count() == 500

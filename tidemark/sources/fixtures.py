@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .staging import shared_path, table
+from .staging import shared_path, spread, table
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def event_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def history_pages(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, body: a card, then rows 'Mon d, yyyy (Mon)' with two or three values, from an event."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"), "event_id")
     day = lambda m: F.date_format(F.add_months(F.to_date("ts"), m), "MMM d, yyyy")
     month = lambda m: F.date_format(F.add_months(F.to_date("ts"), m), "MMM")
     v = F.format_string("%.1f%%", F.floor(F.col("value") / 10).cast("double") / 10)
@@ -211,7 +211,7 @@ def payload_figures(spark: SparkSession, d: str) -> DataFrame:
 
 def crosscheck_pages(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, body: a title, a sentence, a metric block, a change-from header and three levels; of seven pages five contradict themselves."""
-    e, k = table(spark, d, "events"), F.col("event_id") % 7
+    e, k = spread(table(spark, d, "events"), "event_id"), F.col("event_id") % 7
     month = lambda n, form: F.date_format(F.add_months(F.to_date("ts"), n), form)
     value = F.format_string("%.1f", F.floor(F.col("value") / 10).cast("double") / 10 + 0.1)
     last = F.format_string("%.1f", 100 + F.floor(F.col("value") / 10).cast("double") / 10 + 0.1 + F.when(k.isin(4, 6), 0.3).otherwise(0.0))

@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core that ``spread`` deals rows to.
+SPREAD = 4
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt evenly to all cores by a key, before each row is made to much more work than its bytes tell.
+
+    A file of a few megabytes is read in one task, and its pages would be parsed in that one.
+    """
+    return df.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def small_rows(df: DataFrame, most: int = 10_000) -> list[Row]:
     """The rows of a dimension that is bounded by what it describes; an error if it holds more than ``most``."""
     rows = df.limit(most + 1).collect()
