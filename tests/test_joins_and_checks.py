@@ -54,6 +54,23 @@ def test_interval_join_plans_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_interval_join_unfolds_equal_windows(spark):
+    """Windows of one start and end, some with a null id, some repeated; a column that must be equal; a map, which has no hash."""
+    points = [(i, "ab"[i % 2], DAY + timedelta(minutes=i)) for i in range(200)] * 2 + [(900, None, DAY)]
+    windows = [(k // 2 if k % 7 else None, "ab"[k // 3 % 2], DAY + timedelta(minutes=60 * (k % 3)), DAY + timedelta(minutes=60 * (k % 3) + 50), {"k": str(k % 5)}) for k in range(60)] + [(1, None, DAY, DAY, {})]
+    got = A.interval_join(spark.createDataFrame(points, "p long, s string, at timestamp"), spark.createDataFrame(windows, "w long, s string, lo timestamp, hi timestamp, m map<string, string>"), "at", "lo", "hi", "1 hour", ("s",))
+    assert got.columns == ["s", "p", "at", "w", "lo", "hi", "m"]
+    want = [(s, p, at, w, lo, hi, m) for p, s, at in points for w, own, lo, hi, m in windows if s is not None and s == own and lo <= at <= hi]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_interval_join_deals_one_bin_to_many_tasks(spark):
+    points = spark.range(2000).coalesce(1).select("id", F.lit(DAY).alias("at"))
+    windows = spark.range(30).coalesce(1).select(F.col("id").alias("w"), F.lit(DAY).alias("lo"), F.lit(DAY).alias("hi"))
+    tasks = A.interval_join(points, windows, "at", "lo", "hi", "1 hour").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 60_000
+
+
 # CSV
 
 
