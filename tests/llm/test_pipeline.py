@@ -1,14 +1,17 @@
 """The pipeline, stage by stage, against what brute force keeps."""
 
+import gc
 import sys
+import weakref
 from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+import pyarrow as pa
 
 import corpus_pipeline
-from tidemark.llm import mixing, ngram_join, quality, secrets
+from tidemark.llm import bpe, common, mixing, ngram_join, quality, secrets
 from tidemark.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -90,3 +93,29 @@ def test_mix_against_brute_force(spark):
     assert max(times.values()) <= 2
     for source, target in want.items():
         assert abs(taken[source] - target) <= max(n for s, n in words.values() if s == source), source
+
+
+def test_workers_give_back_what_another_operator_kept():
+    class Table:
+        pass
+
+    made, collecting = Table(), gc.isenabled()
+    made.own, gone = made, weakref.ref(made)
+    gc.disable()
+    try:
+        common.kept("test-a", lambda: made)
+        del made
+        common.kept("test-b", lambda: 1)
+        assert gone() is None
+    finally:
+        common._IN_WORKER.clear()
+        if collecting:
+            gc.enable()
+
+
+def test_a_worker_holds_the_ids_of_few_rows():
+    coder = bpe.PrefixBPE({bytes([i]): i for i in range(256)} | {b"ab": 256}, r".+")
+    texts = [None, ""] + ["ab" * (i % 5) for i in range(700)]
+    out = list(bpe.encoded(pa.record_batch({"key": list(range(702)), "text": texts}), coder))
+    assert max(b.num_rows for b in out) <= bpe.ROWS and [k for b in out for k in b.column(0).to_pylist()] == list(range(702))
+    assert [ids for b in out for ids in b.column(1).to_pylist()] == [[256] * ((t or "").count("ab")) for t in texts]

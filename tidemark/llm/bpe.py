@@ -28,6 +28,8 @@ from .common import kept
 CACHE = 400_000
 #: Bytes by which tokens that may end at a place are looked up.
 TAIL = 4
+#: Rows whose ids a worker holds at once.
+ROWS = 256
 
 
 class PrefixBPE:
@@ -178,6 +180,23 @@ def ranks_of(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line)}
 
 
+def encoded(batch: pa.RecordBatch, coder: PrefixBPE, with_ids: bool = True) -> Iterator[pa.RecordBatch]:
+    """Of a batch of keys and texts: key, ids, n_tokens and digests, of at most ROWS rows at once."""
+    for at in range(0, batch.num_rows, ROWS):
+        rows, out = batch.slice(at, ROWS), {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for value in rows.column(1):
+            ids = coder.encode(value.as_py() or "")
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            if with_ids:
+                out["ids"].append(pa.array(ids, pa.int32()))
+        arrays = [rows.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
+        if with_ids:
+            arrays.insert(1, pa.array(out["ids"], pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """key, ids, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text.
 
@@ -191,18 +210,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(name, lambda: PrefixBPE(ranks_of(shared.value), pattern))
         for batch in batches:
-            out = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for value in batch.column(1):
-                ids = coder.encode(value.as_py() or "")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                if with_ids:
-                    out["ids"].append(pa.array(ids, pa.int32()))
-            arrays = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
-            if with_ids:
-                arrays.insert(1, pa.array(out["ids"], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield from encoded(batch, coder, with_ids)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))

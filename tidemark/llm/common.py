@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,13 @@ def let(value: Column, body) -> Column:
 def kept(name: str, make: Callable[[], Held]) -> Held:
     """What a Python worker keeps from task to task under ``name``; what it kept under another name is let go first.
 
-    Workers outlive stages, and so would the tables of one operator while another runs.
+    Workers outlive stages, and so would the tables of one operator while another runs. What
+    hangs on a cycle goes with the collector only, and Arrow holds freed buffers until told.
     """
     if name not in _IN_WORKER:
-        _IN_WORKER.clear()
+        if _IN_WORKER:
+            _IN_WORKER.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _IN_WORKER[name] = make()
     return _IN_WORKER[name]
