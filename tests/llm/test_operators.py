@@ -477,6 +477,36 @@ def test_components_of_large_groups(spark, percent, most_broadcast, monkeypatch)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_signatures_of_a_common_passage_are_let_go(spark):
+    common = ngram_join.bands(80)["common"]
+    band = int(np.flatnonzero(common == 7)[0])
+    sig = lambda x: (band << (64 - ngram_join.BAND_BITS)) + x
+    pairs = [(sig(100 * (c // 2) + j), c) for c in range(10, 30) for j in range(5)]  # with the passage as many as linked sets share
+    group = [(sig(5000 + j), c) for c in range(40, 50) for j in range(7)]
+    rows = spark.createDataFrame(pairs + [(sig(x), c) for c in range(10, 30) for x in (1, 2)] + group, "sig long, cls long")
+    with ngram_join.Staging(spark) as tables:
+        got = sorted(tuple(r) for r in ngram_join.candidates(rows, 80, tables).collect())
+    assert got == [(c, c - 1) for c in range(11, 30, 2)] + [(c, 40) for c in range(41, 50)]
+
+
+def test_each_pair_of_blocks_is_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    monkeypatch.setattr(ngram_join, "CHUNK", 32)
+
+    def where(percent):  # a row for every pair of blocks that a member goes to
+        return lambda group: group[["key"]].assign(joined=-1 - group["i"].astype("int64") * 10 - group["j"])
+
+    monkeypatch.setattr(ngram_join, "_pairs_within", where)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(101)], "doc_id long, text string")
+    with ngram_join.Staging(spark) as tables:
+        feats = tables.put(ngram_join.features(docs, 3), "f")
+        classes = feats.selectExpr("cls", "key as rep", "n_shingles")
+        own = feats.filter("key > 0").selectExpr("0L as hub_rep", "key as rep", "n_shingles")
+        found = ngram_join.links(docs, feats, classes, own, 3, 80, tables).filter("b < 0").collect()
+    assert Counter(r.a for r in found) == {i: 2 for i in range(1, 101)}
+    assert {-1 - r.b for r in found} == {1, 2, 12}
+
+
 def test_similar_sets_share_a_signature():
     rng = random.Random(3)
     for _ in range(300):

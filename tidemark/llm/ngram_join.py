@@ -9,9 +9,11 @@ more parts than that takes, linked sets share not one but ``common`` signatures.
 
 Only counts travel before texts do. Signatures found in different sets only once are let
 go; a set that shares fewer than ``common`` in a band has no partner there and leaves; of
-the sets under a signature of at most PAIRS, each pair is named and stays if it shares
-``common``. Under a larger signature, the set with the smallest hash is the hub, and every
-other set is compared with its hubs, a number of rows in proportion to the signatures. As
+the sets under a signature of at most PAIRS, each pair is named and stays if it shares half
+of ``common``. Of its larger signatures in a band each set lets the most frequent go, as many
+as the other half: those of a passage that many texts hold, mostly. Under one that is left,
+the set with the smallest hash is the hub, and every other set is compared with its hubs, a
+number of rows in proportion to the signatures. As
 all sets under a signature share its hub, links among them are found among the differences
 from it, which are short: sets farther from the hub than any set that the hub does not link
 can reach are done, the rest of a group is compared in pairs of blocks, those that the hub
@@ -38,7 +40,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staging, kept, staged, whole_row
@@ -311,7 +313,7 @@ def _against_hub(percent: int, n: int):
         if whole and len(found):
             label = _labels(size, linked, diffs, percent)
             joined = np.where(label < 0, hub, ids[label])
-        return pd.DataFrame({"hub": hub, "key": ids, "size": size, "linked": linked, "joined": joined, "diff": None if whole else [d.view(np.int64) for d in diffs]})
+        return pd.DataFrame({"hub": hub, "key": ids, "size": size, "linked": linked, "joined": joined, "apart": None if whole else [len(d) for d in diffs], "diff": None if whole else [d.view(np.int64) for d in diffs]})
 
     return run
 
@@ -349,15 +351,23 @@ def candidates(rows: DataFrame, percent: int, tables: Staging) -> DataFrame:
     able = found.groupBy("cls", _band().alias("band")).agg(F.count("*").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "band")
     left = tables.put(found.withColumn("band", _band()).join(able.hint("shuffle_hash"), ["cls", "band"], "left_semi"), "join-able")
     tables.drop(found)
-    groups = left.groupBy("sig").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    grouped = tables.put(left.join(groups.hint("shuffle_hash"), "sig").select("sig", "cls", "hub", "n"), "join-groups")
+    groups = left.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    grouped = tables.put(left.join(groups.hint("shuffle_hash"), "sig").select("sig", "cls", "n"), "join-groups")
     tables.drop(left)
+    # of `common` signatures that linked sets share, `named` are of few sets, or more than `let_go` are of many; each set
+    # lets its most frequent ones go in an order that holds for all, so the rarest that two share stays with both
+    named = F.array(*[F.lit(int(x) - int(x) // 2) for x in bands(percent)["common"]])
+    let_go = F.array(*[F.lit(int(x) // 2) for x in bands(percent)["common"]])
     few = grouped.filter(F.col("n") <= PAIRS).groupBy("sig").agg(F.array_sort(F.collect_set("cls")).alias("d"))
     pairs = few.select("sig", F.explode(F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.lit(PAIRS)), lambda y: F.struct(x.alias("hub"), y.alias("cls")))))).alias("p"))
-    near = pairs.groupBy("p.hub", "p.cls", _band().alias("band")).agg(F.count("*").alias("n")).filter(F.col("n") >= F.get(common, F.col("band"))).select("cls", "hub")
-    many = grouped.filter((F.col("n") > PAIRS) & (F.col("cls") != F.col("hub"))).select("cls", "hub")
+    near = pairs.groupBy("p.hub", "p.cls", _band().alias("band")).agg(F.count("*").alias("n")).filter(F.col("n") >= F.get(named, F.col("band"))).select("cls", "hub")
+    order = Window.partitionBy("cls", "band").orderBy(F.desc("n"), "sig")
+    large = grouped.filter(F.col("n") > PAIRS).withColumn("band", _band()).withColumn("at", F.row_number().over(order))
+    large = tables.put(large.filter(F.col("at") > F.get(let_go, F.col("band"))).select("sig", "cls"), "join-large")
+    hubs = large.groupBy("sig").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("sig", "hub")
+    many = large.join(hubs.hint("shuffle_hash"), "sig").filter(F.col("cls") != F.col("hub")).select("cls", "hub")
     out = tables.put(near.union(many).distinct(), "join-candidates")
-    tables.drop(grouped)
+    tables.drop(grouped, large)
     return out
 
 
@@ -369,14 +379,14 @@ def paired(star: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, own: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """hub, key, size, linked, joined, diff of every candidate pair of ``own`` (hub_rep, rep, n_shingles)."""
+    """hub, key, size, linked, joined, apart, diff of every candidate pair of ``own`` (hub_rep, rep, n_shingles)."""
     parts = F.greatest(F.ceil(F.sum("n_shingles") / FEATURES), F.ceil(F.count("*") / CHUNK)).cast("int")
     chunks = own.groupBy("hub_rep").agg(parts.alias("n_chunks"))
     sized = own.join(chunks, "hub_rep").select(F.col("rep").alias("key"), F.col("hub_rep").alias("hub"), "n_chunks", F.expr("pmod(xxhash64(rep), n_chunks)").cast("int").alias("chunk"), F.lit(False).alias("is_hub"))
     hubs = chunks.select(F.col("hub_rep").alias("key"), F.col("hub_rep").alias("hub"), "n_chunks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.lit(True).alias("is_hub"))
     texts = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
     dealt = texts.join(sized.unionByName(hubs).hint("shuffle_hash"), "key")
-    return dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, key long, size long, linked boolean, joined long, diff array<long>")
+    return dealt.groupBy("hub", "chunk").applyInPandas(_against_hub(percent, n), "hub long, key long, size long, linked boolean, joined long, apart int, diff array<long>")
 
 
 def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame, n: int, percent: int, tables: Staging, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,18 +395,21 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame,
     direct = found.select(F.col("key").alias("a"), F.col("joined").alias("b"))
     # groups of several chunks that hold sets which their hub does not link: those sets, and all that can reach one
     reach = F.floor(F.col("size") * (100 - percent) / percent)
-    apart = F.size("diff")
     open_ = ~F.col("linked")
-    groups = found.filter("diff is not null").groupBy("hub").agg(F.min(F.when(open_, apart - reach)).alias("lo"), F.max(F.when(open_, apart + reach)).alias("hi")).filter("lo is not null")
-    rows = found.filter("diff is not null").join(groups, "hub").filter(apart.between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    # what is dealt out is settled without the differences, and these travel once, those that are compared only
+    wide = found.filter("apart is not null")
+    groups = wide.groupBy("hub").agg(F.min(F.when(open_, F.col("apart") - reach)).alias("lo"), F.max(F.when(open_, F.col("apart") + reach)).alias("hi")).filter("lo is not null")
+    within = F.col("apart").between(F.col("lo"), F.col("hi"))
     # blocks of open sets first, then of linked ones, which are compared with open ones only
     parts = lambda what: F.ceil(F.count_if(what) / BLOCK).cast("int")
-    blocks = rows.groupBy("hub").agg(parts(open_).alias("n_open"), parts(F.col("linked")).alias("n_linked"))
+    blocks = wide.join(groups, "hub").filter(within).groupBy("hub").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), parts(open_).alias("n_open"), parts(F.col("linked")).alias("n_linked"))
+    blocks = tables.put(blocks, "join-blocks")
     deal = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(F.col(n), F.lit(1))).cast("int")
-    rows = rows.join(blocks, "hub").withColumn("block", F.when(open_, deal("n_open")).otherwise(F.col("n_open") + deal("n_linked")))
+    rows = wide.join(blocks, "hub").filter(within).withColumn("block", F.when(open_, deal("n_open")).otherwise(F.col("n_open") + deal("n_linked")))
     last = F.col("n_open") + F.when(open_, F.col("n_linked")).otherwise(0) - 1
-    # block pairs (i, j), i <= j: a member goes to every pair that holds its block
-    pair = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    # block pairs (i, j), i < j, or a block alone: a pair compares all that it holds, and a member goes to every pair that holds its block
+    met = F.filter(F.sequence(F.lit(0), last), lambda j: (j != F.col("block")) | (last == 0))
+    pair = F.transform(met, lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     rows = rows.withColumn("at", F.explode(pair)).select("hub", "key", "size", "linked", "diff", "at.i", "at.j")
     inner = rows.groupBy("hub", "i", "j").applyInPandas(_pairs_within(percent), "key long, joined long").select(F.col("key").alias("a"), F.col("joined").alias("b"))
     # a document with several texts holds its classes together
@@ -404,7 +417,7 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, own: DataFrame,
     several = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     held_by = member.join(several, "key", "left_semi").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     out = tables.put(direct.union(inner).union(held_by).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "join-links")
-    tables.drop(found)
+    tables.drop(found, blocks)
     return out
 
 
