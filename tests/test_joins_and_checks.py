@@ -71,6 +71,24 @@ def test_interval_join_deals_one_bin_to_many_tasks(spark):
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 60_000
 
 
+def test_interval_join_pairs_pack_when_written(spark, tmp_path):
+    """A point with all 20,000 windows of its time in turn takes two bytes a row, since a page of Parquet then repeats nothing."""
+    points = spark.range(200).select(F.col("id").alias("p"), F.lit(DAY).alias("at")).union(spark.range(50).select("id", F.lit(DAY - timedelta(days=9)).alias("at")))
+    windows = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("w"), F.lit(DAY).alias("lo"), F.lit(DAY + timedelta(hours=1)).alias("hi"))
+    A.interval_join(points, windows, "at", "lo", "hi", "1 hour").select("w", "p").write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * 4_000_000
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert got.count() == 4_000_000 and got.select(F.sum(F.col("p") * 20_000 + F.col("w")), F.min("p"), F.max("p"), F.max("w")).first()[:] == (4_000_000 * 3_999_999 // 2, 0, 199, 19_999)
+
+
+@pytest.mark.parametrize("n_points, n_windows", [(1, 1), (7, 2100), (520, 9), (600, 2020)])
+def test_interval_join_unfolds_lists_of_any_length(spark, n_points, n_windows):
+    points = spark.range(n_points).select(F.col("id").alias("p"), F.lit(DAY).alias("at"))
+    windows = spark.range(n_windows).select(F.col("id").alias("w"), F.lit(DAY).alias("lo"), F.lit(DAY).alias("hi"))
+    got = A.interval_join(points, windows, "at", "lo", "hi", "1 hour").select("p", "w")
+    assert got.count() == got.distinct().count() == n_points * n_windows
+
+
 # CSV
 
 
